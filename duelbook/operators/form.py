@@ -126,10 +126,10 @@ def arena_form(
         # are read from the one cut table.
         sides = last_of_day(sides, key, n, TIE)
     if asks is None:
-        here = sums_before_own_days(sides, key, own, n, TIE)
+        here = sums_before_own_days(sides, key, own, n, TIE, is_cut=True)
         anywhere = sums_before_own_days(sides, wide_key, own, n, TIE)
     else:
-        here = sums_before(sides, asks, key, own, n, TIE)
+        here = sums_before(sides, asks, key, own, n, TIE, is_cut=True)
         anywhere = sums_before(sides, asks.select("side", "date").distinct(), wide_key, own, n, TIE)
     spare = anywhere.select("side", "date", *[F.col(m).alias(f"_any_{m}") for m in names])
     merged = here.join(spare, ["side", "date"], "left").select(

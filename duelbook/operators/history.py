@@ -28,9 +28,12 @@ def _with_zero(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def sums_before_own_days(
-    rows: DataFrame, key: list[str], measures: Measures, n: int, tie: list[str], day: str = "date"
+    rows: DataFrame, key: list[str], measures: Measures, n: int, tie: list[str], day: str = "date", is_cut: bool = False
 ) -> DataFrame:
-    """One row per (key, day) of the history itself: sums over the last n rows before that day."""
+    """One row per (key, day) of the history itself: sums over the last n rows before that day.
+
+    ``is_cut`` says the rows already went through ``last_of_day`` for this key.
+    """
     names = list(measures)
     cols = [*key, day]
     if n == 0:
@@ -38,7 +41,9 @@ def sums_before_own_days(
         frame = Window.partitionBy(*key).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
         return _with_zero(daily.select(*cols, *[F.sum(m).over(frame).alias(m) for m in names]), names)
     order = Window.partitionBy(*key).orderBy(day, *tie)
-    slim = last_of_day(rows.select(*cols, *tie, *[F.expr(c).alias(m) for m, c in measures.items()]), key, n, tie, day)
+    slim = rows.select(*cols, *tie, *[F.expr(c).alias(m) for m, c in measures.items()])
+    if not is_cut:
+        slim = last_of_day(slim, key, n, tie, day)
     framed = slim.select(
         *cols,
         F.lag(day).over(order).alias("_prev"),
@@ -49,7 +54,8 @@ def sums_before_own_days(
 
 
 def sums_before(
-    rows: DataFrame, asks: DataFrame, key: list[str], measures: Measures, n: int, tie: list[str], day: str = "date"
+    rows: DataFrame, asks: DataFrame, key: list[str], measures: Measures, n: int, tie: list[str], day: str = "date",
+    is_cut: bool = False,
 ) -> DataFrame:
     """For each (key, day) of ``asks``: sums over the key's last n rows before that day (n=0: all).
 
@@ -66,7 +72,9 @@ def sums_before(
         summed = both.select(*cols, "_kind", *[F.sum(m).over(frame).alias(m) for m in names])
         return _with_zero(summed.filter(F.col("_kind") == 0).drop("_kind"), names)
 
-    slim = last_of_day(rows.select(*cols, *tie, *[F.expr(c).alias(m) for m, c in measures.items()]), key, n, tie, day)
+    slim = rows.select(*cols, *tie, *[F.expr(c).alias(m) for m, c in measures.items()])
+    if not is_cut:
+        slim = last_of_day(slim, key, n, tie, day)
     both = slim.withColumn("_kind", F.lit(1)).unionByName(
         asks.select(*cols).withColumn("_kind", F.lit(0)), allowMissingColumns=True
     )

@@ -105,7 +105,7 @@ def _diff(contests: str, state: str, carried: str, names: list[str], arena: bool
 
 
 OUT = "case " + " ".join(f"when date < date '{d}' then {ids}" for d, ids in fx.CALENDAR) + " end"
-POOL = f"case when {OUT} is null then null else list_filter(range(0, 11), x -> not list_contains({OUT}, x)) end"
+POOL = f"case when {OUT} is null then null else list_filter(range(0, 11), lambda x: not list_contains({OUT}, x)) end"
 PICKED = "[a_pick, b_pick, remaining]"
 BANNED = "[a_ban1, a_ban2, b_ban1, b_ban2]"
 ARENAS = "(select unnest(range(0, 11)) arena) ar"
@@ -173,9 +173,9 @@ PAYOUTS = """case when match_id % 5 = 0 then cast([] as double[]) else
 def _prices(source: str, won: str) -> str:
     """CTE ``priced``: best, worst and middle implied probability of side a."""
     one = "case when v > 0 then cast(1 as double) / (v / cast(100 as double)) else cast(0 as double) end"
-    return f"""pr0 as (select *, list_transform({PAYOUTS}, v -> case when {won} then {one} else cast(1 as double) - ({one}) end) p from {source}),
-    pr1 as (select *, coalesce(list_max(list_filter(p, x -> x > 0 and x <> 1)), cast(0 as double)) best_odds,
-       coalesce(list_min(list_filter(p, x -> x < 1 and x <> 0)), cast(1 as double)) worst_odds from pr0),
+    return f"""pr0 as (select *, list_transform({PAYOUTS}, lambda v: case when {won} then {one} else cast(1 as double) - ({one}) end) p from {source}),
+    pr1 as (select *, coalesce(list_max(list_filter(p, lambda x: x > 0 and x <> 1)), cast(0 as double)) best_odds,
+       coalesce(list_min(list_filter(p, lambda x: x < 1 and x <> 0)), cast(1 as double)) worst_odds from pr0),
     priced as (select *, case when best_odds > 0 and best_odds < 1 and worst_odds > 0 and worst_odds < 1 then (best_odds + worst_odds) / cast(2 as double)
        when best_odds > 0 and best_odds < 1 then best_odds when worst_odds > 0 and worst_odds < 1 then worst_odds end odds from pr1)"""
 
@@ -195,7 +195,7 @@ CHANCES = f"""chances as (select match_id, a, b, date, arena, cast((match_id * 3
      cast(1 + (match_id * 13 + arena * 7) % 127 as double) / 128 a_chance from touched),
    kept as (select *, 1.0 - a_chance b_chance from (select *, row_number() over (partition by match_id order by play_prob, arena) rn from chances) z where rn > 2)"""
 
-FIVE = "list_transform(range(0, 5), i -> cast(({col} + 5 * i) % 24 as int))"
+FIVE = "list_transform(range(0, 5), lambda i: cast(({col} + 5 * i) % 24 as int))"
 AGENT_GAMES = f"""ag as (select game_id, 1 side_no, arena, date, won_a won, {FIVE.format(col='a_acs5')} own, {FIVE.format(col='b_acs5')} opp from games
    union all select game_id, 2, arena, date, not won_a, {FIVE.format(col='b_acs5')}, {FIVE.format(col='a_acs5')} from games),
    each_agent as (select *, unnest(own) agent from ag)"""
@@ -250,7 +250,7 @@ def sql() -> dict[str, str]:
     q["draft_steps"] = f"""with {SERIES}, st as (select *, {order} d, {POOL} pool, unnest(range(0, 7)) step from series)
       select match_id, a, b, date, cast(step as int) step, [1, 2, 1, 2, 1, 2, 0][step + 1] side_no,
         ['ban', 'ban', 'pick', 'pick', 'ban', 'ban', 'remaining'][step + 1] action, cast(d[step + 1] as bigint) arena,
-        case when pool is null then null else array_to_string(list_transform(list_filter(pool, x -> not list_contains(d[1:step], x)), x -> cast(x as varchar)), ',') end open_arenas
+        case when pool is null then null else array_to_string(list_transform(list_filter(pool, lambda x: not list_contains(d[1:step], x)), lambda x: cast(x as varchar)), ',') end open_arenas
       from st"""
     flags = ", ".join(f"cast(not list_contains({OUT}, {i}) as int) in_pool_{i}" for i in fx.ARENAS)
     q["pool_flags"] = f"with {SERIES} select match_id, date, {flags} from series"
@@ -306,9 +306,9 @@ def sql() -> dict[str, str]:
     q["elo_exact"] = f"""with recursive {SERIES}, {REGIONS}, {LABELLED},
       m as (select *, a_region league, row_number() over (partition by a_region order by date, match_id) seq from labelled
             where a_region = b_region and a_region <> 'unknown'),
-      r as (select league, cast(0 as bigint) seq, list_transform(range(0, 25), x -> cast(1500 as double)) elo, cast(null as bigint) match_id,
+      r as (select league, cast(0 as bigint) seq, list_transform(range(0, 25), lambda x: cast(1500 as double)) elo, cast(null as bigint) match_id,
               cast(null as double) a_elo, cast(null as double) b_elo from (select distinct league from m) l
-        union all select r.league, m.seq, list_transform(range(0, 25), i -> case
+        union all select r.league, m.seq, list_transform(range(0, 25), lambda i: case
               when i = m.a then r.elo[m.a + 1] + 32 * (case when m.won_a then 1 else 0 end - ({fa}))
               when i = m.b then r.elo[m.b + 1] + 32 * (case when m.won_a then 0 else 1 end - ({fb})) else r.elo[i + 1] end),
             m.match_id, r.elo[m.a + 1], r.elo[m.b + 1] from r join m on m.league = r.league and m.seq = r.seq + 1)
@@ -357,7 +357,7 @@ def sql() -> dict[str, str]:
         case when scored is null then 'no score' when not {COMPLETE} then 'no draft' end problem from priced"""
     totals = """totals as (select game_id, side_no, cast(sum(fks) as bigint) fks, cast(sum(kills) as bigint) kills, cast(sum(deaths) as bigint) deaths,
         cast(sum(assists) as bigint) assists, cast(sum(acs) as double) / 5 acs, case when sum(rating) <> 0 then sum(rating) / 5 end rating,
-        array_to_string(list_transform(list_sort(list(agent)), x -> cast(x as varchar)), ',') agents from players group by game_id, side_no)"""
+        array_to_string(list_transform(list_sort(list(agent)), lambda x: cast(x as varchar)), ',') agents from players group by game_id, side_no)"""
     sides = ", ".join(f"{s}.{x} {s}_{x}" for s in "ab" for x in ("agents", "fks", "rating", "acs", "kills", "assists", "deaths"))
     q["game_records"] = f"""with {PLAYERS}, {totals}, ids as (select distinct game_id from players)
       select ids.game_id, cast(o_orderdate as date) date, {sides} from ids join orders on o_orderkey = ids.game_id

@@ -20,6 +20,7 @@ def local_session(app: str = "duelbook", cpus: int | str = "*", memory: str = "8
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
