@@ -173,7 +173,7 @@ PAYOUTS = """case when match_id % 5 = 0 then cast([] as double[]) else
 def _prices(source: str, won: str) -> str:
     """CTE ``priced``: best, worst and middle implied probability of side a."""
     one = "case when v > 0 then cast(1 as double) / (v / cast(100 as double)) else cast(0 as double) end"
-    return f"""pr0 as (select *, list_transform({PAYOUTS}, lambda v: case when {won} then {one} else cast(1 as double) - ({one}) end) p from {source}),
+    return f"""pr0 as (select * exclude (best_odds, worst_odds, odds), list_transform({PAYOUTS}, lambda v: case when {won} then {one} else cast(1 as double) - ({one}) end) p from {source}),
     pr1 as (select *, coalesce(list_max(list_filter(p, lambda x: x > 0 and x <> 1)), cast(0 as double)) best_odds,
        coalesce(list_min(list_filter(p, lambda x: x < 1 and x <> 0)), cast(1 as double)) worst_odds from pr0),
     priced as (select *, case when best_odds > 0 and best_odds < 1 and worst_odds > 0 and worst_odds < 1 then (best_odds + worst_odds) / cast(2 as double)
@@ -343,13 +343,13 @@ def sql() -> dict[str, str]:
       union all select '/team/' || cast(c_custkey as varchar) || '/' || lower(c_mktsegment), lower(c_mktsegment), c_custkey, c_custkey from customer"""
     q["text_numbers"] = """select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity,
         case when l_partkey % 3 = 0 then cast(0 as double) else cast(l_partkey as double) end number,
-        cast(case when l_partkey % 4 = 0 then 0 else l_suppkey end as int) leading, l_linenumber won, cast(l_suppkey as int) lost,
+        cast(case when l_partkey % 4 = 0 then 0 else l_suppkey end as int) lead_int, l_linenumber won, cast(l_suppkey as int) lost,
         l_linenumber left_score, cast(case when l_partkey % 5 = 0 then null else l_partkey % 3 end as int) right_score,
         cast(l_shipdate as date) stamp_day, cast(l_shipdate as date) slash_day from lineitem"""
     q["h2h_net"] = f"with {SERIES} select match_id, {NET_H2H} net_h2h, {A_NET} a_net, {B_NET} b_net from series"
     q["draft_text"] = f"with {SERIES} select match_id, {COMPLETE} complete, {PARSED} from series"
 
-    q["series_records"] = f"""with {SERIES}, sc as (select * exclude (best_odds, worst_odds, odds), {SCORED} scored from series), {_prices('sc', 'scored')}
+    q["series_records"] = f"""with {SERIES}, sc as (select *, {SCORED} scored from series), {_prices('sc', 'scored')}
       select match_id, cast(a as bigint) a, cast(b as bigint) b, scored won_a, {PARSED},
         cast(case when scored then 2 when scored is not null then 0 end as int) a_gamewins,
         cast(case when scored then 1 when scored is not null then 2 end as int) b_gamewins,

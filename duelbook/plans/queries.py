@@ -383,7 +383,7 @@ def text_numbers(spark, folder):
     left, right = text.score_pair(F.col("score"))
     return raw.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
-        text.number_or_zero(F.col("maybe")).alias("number"), text.leading_int(F.col("lead")).alias("leading"),
+        text.number_or_zero(F.col("maybe")).alias("number"), text.leading_int(F.col("lead")).alias("lead_int"),
         won.alias("won"), lost.alias("lost"), left.alias("left_score"), right.alias("right_score"),
         text.stamp_date(F.col("stamp")).alias("stamp_day"), text.slash_date(F.col("slashed")).alias("slash_day"),
     )
@@ -478,7 +478,7 @@ def incremental_append(spark, folder):
 def stream_ingest(spark, folder):
     """All events and a second copy of them, deduplicated as a stream."""
     schema = fx.table(spark, folder, "events").schema
-    path = f"{folder.rstrip('/')}/events.parquet"
+    path = f"{folder.rstrip('/')}/events*.parquet"
     twice = streaming.landed(spark, path, schema).union(streaming.landed(spark, path, schema))
     return streaming.ingest(spark, twice, ["event_id"], "ts").select("event_id", "user_id", "event_type", "value")
 
@@ -558,9 +558,9 @@ def feature_tables_draft(spark, folder):
     return features.with_form(rows, games)
 
 
-def _choices(spark, folder) -> DataFrame:
-    series = features.rated_series(fx.series(spark, folder))
-    return cut(features.choice_features(series, fx.games(spark, folder), fx.ARENAS, fx.CALENDAR))
+def _quarter():
+    """Rating period of the model runs."""
+    return F.year("date") * 4 + F.quarter("date")
 
 
 def _game_rows(spark, folder) -> DataFrame:
@@ -568,7 +568,7 @@ def _game_rows(spark, folder) -> DataFrame:
 
 
 def _series_rows(spark, folder) -> DataFrame:
-    series = features.rated_series(fx.series(spark, folder))
+    series = features.rated_series(fx.series(spark, folder), _quarter())
     return cut(series.withColumn("winshare", F.col("pred")))
 
 
@@ -642,7 +642,7 @@ def train_backtest(spark, folder):
 def _backtest(spark, folder) -> backtest.Backtest:
     return backtest.train_and_test(
         fx.series(spark, folder), fx.games(spark, folder), fx.regions(spark, folder), fx.excluded(spark, folder),
-        fx.ARENAS, fx.CALENDAR, TRAIN_FROM, TEST_FROM, TEST_TO, **TREES
+        fx.ARENAS, fx.CALENDAR, TRAIN_FROM, TEST_FROM, TEST_TO, period=_quarter(), **TREES
     )
 
 
@@ -652,10 +652,10 @@ def upcoming_card(spark, folder):
     series, games = fx.series(spark, folder), fx.games(spark, folder)
     past, later = series.filter(F.col("date") < "2000-10-01"), series.filter(F.col("date") >= "2000-10-01")
     earlier_games = games.filter(F.col("date") < "2000-10-01")
-    choices = cut(features.choice_features(features.rated_series(past), earlier_games, fx.ARENAS, fx.CALENDAR))
+    choices = cut(features.choice_features(features.rated_series(past, _quarter()), earlier_games, fx.ARENAS, fx.CALENDAR))
     trained, _ = backtest.train_models(choices, cut(features.game_features(earlier_games)), TRAIN_FROM, "2000-10-01", **TREES)
     card = later.withColumns({"a_odds": 1.0 / F.col("best_odds"), "b_odds": 1.0 / (1.0 - F.col("worst_odds"))})
     return backtest.upcoming_card(
         card, past, earlier_games, trained, fx.teams(spark, folder), fx.ARENAS, fx.CALENDAR,
-        known=fx.first_tier(spark, folder), excluded=fx.excluded(spark, folder),
+        known=fx.first_tier(spark, folder), excluded=fx.excluded(spark, folder), period=_quarter(),
     )

@@ -13,7 +13,10 @@ def landed(spark: SparkSession, path: str, schema: T.StructType, files_per_trigg
     reader = spark.readStream.schema(schema).format("parquet")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.load(path)
+    rows = reader.load(path)
+    # Watermarks need instants: zone-less stamps are read in the session zone.
+    plain = [c for c, kind in rows.dtypes if kind == "timestamp_ntz"]
+    return rows.withColumns({c: rows[c].cast("timestamp") for c in plain}) if plain else rows
 
 
 def keep_first_stream(stream: DataFrame, key: list[str], event_time: str, late: str = "1 day") -> DataFrame:
