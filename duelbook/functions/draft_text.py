@@ -2,59 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ACTOR = r"(?U)(\w+) (?:ban|pick)"
-BAN = r"(?U)(\w+) ban (\w+);"
-PICK = r"(?U)(\w+) pick (\w+);"
-REMAINS = r"(?U)(\w+) remains"
+# One word: letters, digits and underscore of any script, tried only at its first character.
+WORD = r"(?<![\p{L}\p{N}_])[\p{L}\p{N}_]++"
+ACTOR = rf"({WORD}) (?:ban|pick)"
+BAN = rf"{WORD} ban {WORD};"
+PICK = rf"{WORD} pick {WORD};"
+REMAINS = rf"({WORD}) remains"
 
 FIELDS = ("a_ban1", "a_ban2", "b_ban1", "b_ban2", "a_pick", "b_pick", "remaining")
 
 
-def _moves(text: Column, pattern: str) -> Column:
-    who = F.regexp_extract_all(text, F.lit(pattern), 1)
-    what = F.regexp_extract_all(text, F.lit(pattern), 2)
-    return F.arrays_zip(who.alias("who"), what.alias("what"))
-
-
-def _of(moves: Column, actor: Column) -> Column:
-    return F.transform(F.filter(moves, lambda m: m["who"] == actor), lambda m: m["what"])
-
-
-def parse_draft(text: Column, arenas: list[str], tag_a: Column | None = None) -> Column:
-    """Struct of the seven arena ids, or null unless the draft is complete.
+def with_draft(df: DataFrame, text: str, arenas: list[str], tag_a: str | None = None) -> DataFrame:
+    """Adds ``complete`` and the seven arena ids, which are null unless the draft is complete.
 
     Complete means two actors with two bans and one pick each and one remaining arena, all of
-    them known. The first actor to appear is side 1 unless ``tag_a`` names the other.
+    them known. The first actor to appear is side 1 unless column ``tag_a`` names the other. The steps
+    are separate projections, so each pattern runs once per text.
     """
-    actors = F.array_distinct(F.regexp_extract_all(text, F.lit(ACTOR), 1))
-    first, second = F.get(actors, F.lit(0)), F.get(actors, F.lit(1))
+    col = F.col(text)
+    found = df.withColumns({
+        "_actors": F.array_distinct(F.regexp_extract_all(col, F.lit(ACTOR), 1)),
+        "_bans": F.regexp_extract_all(col, F.lit(BAN), 0),
+        "_picks": F.regexp_extract_all(col, F.lit(PICK), 0),
+        "_rest": F.regexp_extract(col, REMAINS, 1),
+    })
+    first, second = F.get("_actors", F.lit(0)), F.get("_actors", F.lit(1))
     if tag_a is not None:
-        swap = second == tag_a
+        swap = F.coalesce(second == F.col(tag_a), F.lit(False))
         first, second = F.when(swap, second).otherwise(first), F.when(swap, first).otherwise(second)
-    bans, picks = _moves(text, BAN), _moves(text, PICK)
-    bans_a, bans_b = _of(bans, first), _of(bans, second)
-    picks_a, picks_b = _of(picks, first), _of(picks, second)
-    rest = F.regexp_extract(text, REMAINS, 1)
-    known = F.array(*[F.lit(name) for name in arenas])
-
-    def arena(name: Column) -> Column:
-        place = F.array_position(known, name)
-        return F.when(place > 0, (place - 1).cast("int"))
-
-    names = (
-        F.get(bans_a, F.lit(0)), F.get(bans_a, F.lit(1)),
-        F.get(bans_b, F.lit(0)), F.get(bans_b, F.lit(1)),
-        F.get(picks_a, F.lit(0)), F.get(picks_b, F.lit(0)), rest,
+    named = found.withColumns({"_a": F.concat(first, F.lit(" ")), "_b": F.concat(second, F.lit(" "))})
+
+    def moves(of: str, actor: str, word: str) -> Column:
+        """Arena names of the actor's moves: 'actor word Arena;' without its ends."""
+        own = F.filter(F.col(of), lambda m: F.startswith(m, F.col(actor)))
+        return F.transform(own, lambda m: F.rtrim(F.substring_index(m, f" {word} ", -1), F.lit(";")))
+
+    split = named.withColumns({
+        "_bans_a": moves("_bans", "_a", "ban"), "_bans_b": moves("_bans", "_b", "ban"),
+        "_picks_a": moves("_picks", "_a", "pick"), "_picks_b": moves("_picks", "_b", "pick"),
+    })
+    counts = (
+        (F.size("_actors") == 2) & (F.size("_bans_a") == 2) & (F.size("_bans_b") == 2)
+        & (F.size("_picks_a") == 1) & (F.size("_picks_b") == 1) & (F.col("_rest") != "")
     )
-    complete = (
-        (F.size(actors) == 2)
-        & (F.size(bans_a) == 2) & (F.size(bans_b) == 2)
-        & (F.size(picks_a) == 1) & (F.size(picks_b) == 1)
-        & (rest != "")
-    )
-    for name in names:
-        complete = complete & F.array_contains(known, name)
-    return F.when(complete, F.struct(*[arena(n).alias(f) for n, f in zip(names, FIELDS)]))
+    known = F.array(*[F.lit(name) for name in arenas])
+    names = F.concat("_bans_a", "_bans_b", "_picks_a", "_picks_b", F.array("_rest"))
+    placed = split.withColumn("_places", F.when(counts, F.transform(names, lambda n: F.array_position(known, n))))
+    whole = placed.withColumn("complete", F.coalesce(~F.array_contains("_places", F.lit(0).cast("bigint")), F.lit(False)))
+    ids = {f: F.when(F.col("complete"), (F.get("_places", F.lit(i)) - 1).cast("int")) for i, f in enumerate(FIELDS)}
+    helpers = ["_actors", "_bans", "_picks", "_rest", "_a", "_b", "_bans_a", "_bans_b", "_picks_a", "_picks_b", "_places"]
+    return whole.withColumns(ids).drop(*helpers)

@@ -17,9 +17,13 @@ Measures = dict[str, str]
 
 
 def last_of_day(rows: DataFrame, key: list[str], n: int, tie: list[str], day: str = "date") -> DataFrame:
-    """The last n rows of every (key, day) by the tie-break columns."""
+    """The last n rows of every (key, day) by the tie-break columns.
+
+    The day leads the partition columns: sorts compare their first column fastest, and days are the
+    most selective one.
+    """
     order = [F.col(t).desc() for t in tie]
-    rank = F.row_number().over(Window.partitionBy(*key, day).orderBy(*order))
+    rank = F.row_number().over(Window.partitionBy(day, *key).orderBy(*order))
     return rows.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
 
 

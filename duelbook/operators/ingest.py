@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duelbook.functions import prices, text
-from duelbook.functions.draft_text import FIELDS, parse_draft
+from duelbook.functions.draft_text import FIELDS, with_draft
 from duelbook.operators.players import player_totals
 from duelbook.operators.sides import decided, first_of_key
 
@@ -45,8 +45,8 @@ def series_records(staged: DataFrame, arenas: list[str]) -> DataFrame:
     draft, and optionally a_tag.
     """
     score_a, score_b = text.score_pair(F.col("score"))
-    tag = F.col("a_tag") if "a_tag" in staged.columns else None
-    first = staged.select(
+    tag = "a_tag" if "a_tag" in staged.columns else None
+    first = with_draft(staged.select(
         text.match_id(F.col("link")).alias("match_id"),
         text.team_id(F.col("a_href")).alias("a"), text.team_id(F.col("b_href")).alias("b"),
         text.stamp_date(F.col("stamp")).alias("date"),
@@ -55,8 +55,8 @@ def series_records(staged: DataFrame, arenas: list[str]) -> DataFrame:
         text.history_net(F.col("a_wins"), F.col("a_losses")).alias("a_past"),
         text.history_net(F.col("b_wins"), F.col("b_losses")).alias("b_past"),
         F.coalesce(text.prices(F.col("payouts")), F.array().cast("array<double>")).alias("_paid"),
-        parse_draft(F.col("draft"), arenas, tag).alias("_draft"),
-    ).withColumn("won_a", F.col("a_gamewins") > F.col("b_gamewins"))
+        "draft", *([tag] if tag else []),
+    ), "draft", arenas, tag).withColumn("won_a", F.col("a_gamewins") > F.col("b_gamewins"))
     probs = prices.side_one_probabilities(F.col("_paid"), F.col("won_a"))
     priced = first.withColumn("_probs", probs).withColumns({
         "best_odds": prices.best_probability(F.col("_probs")),
@@ -67,10 +67,10 @@ def series_records(staged: DataFrame, arenas: list[str]) -> DataFrame:
         .when(F.col("date").isNull(), "no date")
         .when(F.col("won_a").isNull(), "no score")
         .when(F.exists("_paid", lambda p: p.isNull()), "bad price")
-        .when(F.col("_draft").isNull(), "no draft")
+        .when(~F.col("complete"), "no draft")
     )
     return priced.select(
-        "match_id", "a", "b", "won_a", *[F.col(f"_draft.{f}").alias(f) for f in FIELDS],
+        "match_id", "a", "b", "won_a", *FIELDS,
         "a_gamewins", "b_gamewins", "net_h2h", "a_past", "b_past", "odds", "best_odds", "worst_odds", "date",
         problem.alias("problem"),
     )

@@ -160,7 +160,7 @@ from {series}
 
 
 def arena_name(col: str) -> str:
-    return "case " + " ".join(f"when {col} = {i} then '{n}'" for i, n in enumerate(ARENA_NAMES)) + " end"
+    return f"split_part('{','.join(ARENA_NAMES)}', ',', cast({col} + 1 as int))"
 
 
 def staged_text(series_table: str) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duelbook.functions import prices, text
-from duelbook.functions.draft_text import FIELDS, parse_draft
+from duelbook.functions.draft_text import with_draft
 from duelbook.operators import draft, form, history, ingest, ledger, players, pool, ratings, scale, sides
 from duelbook.plans import backtest, features, models
 from duelbook.plans import fixtures as fx
@@ -400,8 +400,7 @@ def h2h_net(spark, folder):
 
 @query
 def draft_text(spark, folder):
-    rows = fx.staged(spark, folder).select("match_id", parse_draft(F.col("draft"), fx.ARENA_NAMES).alias("d"))
-    return rows.select("match_id", F.col("d").isNotNull().alias("complete"), *[F.col(f"d.{f}").alias(f) for f in FIELDS])
+    return with_draft(fx.staged(spark, folder).select("match_id", "draft"), "draft", fx.ARENA_NAMES).drop("draft")
 
 
 # Records, links, appends ------------------------------------------------------------------------
