@@ -21,7 +21,8 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 
 def good_rows(df: DataFrame) -> DataFrame:
-    return df.filter(F.col(BAD).isNull()).drop(BAD)
+    """Rows that fit the schema and have their id, the first column."""
+    return df.filter(F.col(BAD).isNull() & F.col(df.columns[0]).isNotNull()).drop(BAD)
 
 
 def to_library(df: DataFrame) -> DataFrame:
