@@ -9,10 +9,12 @@ n * (number of days) rows whatever the number of raw rows, so a hot key stays sm
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
-# Name of a sum -> SQL expression of its summand.
+# Name of a sum -> SQL expression of its summand. Summands are integers (or decimals): sums over the
+# last n rows are differences of running totals, exact for those.
 Measures = dict[str, str]
 
 
@@ -48,13 +50,17 @@ def sums_before_own_days(
     slim = rows.select(*cols, *tie, *[F.expr(c).alias(m) for m, c in measures.items()])
     if not is_cut:
         slim = last_of_day(slim, key, n, tie, day)
-    framed = slim.select(
-        *cols,
-        F.lag(day).over(order).alias("_prev"),
-        *[F.sum(m).over(order.rowsBetween(-n, -1)).alias(m) for m in names],
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    run = slim.select(
+        *cols, *tie, F.lag(day).over(order).alias("_prev"), *[F.coalesce(F.sum(m).over(earlier), F.lit(0)).alias(m) for m in names]
     )
     opening = F.col("_prev").isNull() | (F.col("_prev") != F.col(day))
-    return _with_zero(framed.filter(opening).drop("_prev"), names)
+    return run.select(*cols, "_prev", *_last_n(names, n, order)).filter(opening).drop("_prev")
+
+
+def _last_n(names: list[str], n: int, order: WindowSpec) -> list[Column]:
+    """Running totals -> totals of the last n rows, as a difference: constant work per row."""
+    return [(F.col(m) - F.coalesce(F.lag(m, n).over(order), F.lit(0))).alias(m) for m in names]
 
 
 def sums_before(
@@ -79,16 +85,19 @@ def sums_before(
     slim = rows.select(*cols, *tie, *[F.expr(c).alias(m) for m, c in measures.items()])
     if not is_cut:
         slim = last_of_day(slim, key, n, tie, day)
-    both = slim.withColumn("_kind", F.lit(1)).unionByName(
-        asks.select(*cols).withColumn("_kind", F.lit(0)), allowMissingColumns=True
+    order = Window.partitionBy(*key).orderBy(day, *tie)
+    through = order.rowsBetween(Window.unboundedPreceding, 0)
+    run = slim.select(*cols, *tie, F.lead(day).over(order).alias("_next"), *[F.sum(m).over(through).alias(m) for m in names])
+    closing = F.col("_next").isNull() | (F.col("_next") != F.col(day))
+    # One row per (key, day): the state after the day's last row.
+    states = run.select(*cols, "_next", *_last_n(names, n, order)).filter(closing)
+    both = states.select(*cols, F.lit(1).alias("_kind"), F.struct(*names).alias("_state")).unionByName(
+        asks.select(*cols, F.lit(0).alias("_kind")), allowMissingColumns=True
     )
-    # _seen counts history rows up to here; an ask sorts before the history of its own day, so its
-    # _seen is the number of earlier rows and the frame (_seen - n, _seen] holds exactly the last n.
-    arrival = Window.partitionBy(*key).orderBy(day, "_kind", *tie).rowsBetween(Window.unboundedPreceding, 0)
-    counted = both.withColumn("_seen", F.sum("_kind").over(arrival))
-    frame = Window.partitionBy(*key).orderBy("_seen").rangeBetween(-(n - 1), 0)
-    summed = counted.select(*cols, "_kind", *[F.sum(m).over(frame).alias(m) for m in names])
-    return _with_zero(summed.filter(F.col("_kind") == 0).drop("_kind"), names)
+    # An ask sorts before the state of its own day, so it sees earlier days only.
+    frame = Window.partitionBy(*key).orderBy(day, "_kind").rowsBetween(Window.unboundedPreceding, -1)
+    found = both.select(*cols, "_kind", F.last("_state", ignorenulls=True).over(frame).alias("_state")).filter(F.col("_kind") == 0)
+    return found.select(*cols, *[F.coalesce(F.col(f"_state.{m}"), F.lit(0)).alias(m) for m in names])
 
 
 def sums_of_trailing_months(
