@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 # One word: letters, digits and underscore of any script, tried only at its first character.
 WORD = r"(?<![\p{L}\p{N}_])[\p{L}\p{N}_]++"
 ACTOR = rf"({WORD}) (?:ban|pick)"
-BAN = rf"{WORD} ban {WORD};"
-PICK = rf"{WORD} pick {WORD};"
+MOVE = rf"{WORD} (?:ban|pick) {WORD};"
 REMAINS = rf"({WORD}) remains"
 
 FIELDS = ("a_ban1", "a_ban2", "b_ban1", "b_ban2", "a_pick", "b_pick", "remaining")
@@ -25,24 +24,23 @@ def with_draft(df: DataFrame, text: str, arenas: list[str], tag_a: str | None =
     col = F.col(text)
     found = df.withColumns({
         "_actors": F.array_distinct(F.regexp_extract_all(col, F.lit(ACTOR), 1)),
-        "_bans": F.regexp_extract_all(col, F.lit(BAN), 0),
-        "_picks": F.regexp_extract_all(col, F.lit(PICK), 0),
+        "_moves": F.transform(F.regexp_extract_all(col, F.lit(MOVE), 0), lambda m: F.split(F.rtrim(m, F.lit(";")), " ")),
         "_rest": F.regexp_extract(col, REMAINS, 1),
     })
     first, second = F.get("_actors", F.lit(0)), F.get("_actors", F.lit(1))
     if tag_a is not None:
         swap = F.coalesce(second == F.col(tag_a), F.lit(False))
         first, second = F.when(swap, second).otherwise(first), F.when(swap, first).otherwise(second)
-    named = found.withColumns({"_a": F.concat(first, F.lit(" ")), "_b": F.concat(second, F.lit(" "))})
+    named = found.withColumns({"_a": first, "_b": second})
 
-    def moves(of: str, actor: str, word: str) -> Column:
-        """Arena names of the actor's moves: 'actor word Arena;' without its ends."""
-        own = F.filter(F.col(of), lambda m: F.startswith(m, F.col(actor)))
-        return F.transform(own, lambda m: F.rtrim(F.substring_index(m, f" {word} ", -1), F.lit(";")))
+    def moves(actor: str, verb: str) -> Column:
+        """Arena names of the actor's moves of one kind, from (actor, verb, arena) words."""
+        own = F.filter(F.col("_moves"), lambda m: (m[0] == F.col(actor)) & (m[1] == verb))
+        return F.transform(own, lambda m: m[2])
 
     split = named.withColumns({
-        "_bans_a": moves("_bans", "_a", "ban"), "_bans_b": moves("_bans", "_b", "ban"),
-        "_picks_a": moves("_picks", "_a", "pick"), "_picks_b": moves("_picks", "_b", "pick"),
+        "_bans_a": moves("_a", "ban"), "_bans_b": moves("_b", "ban"),
+        "_picks_a": moves("_a", "pick"), "_picks_b": moves("_b", "pick"),
     })
     counts = (
         (F.size("_actors") == 2) & (F.size("_bans_a") == 2) & (F.size("_bans_b") == 2)
@@ -53,5 +51,5 @@ def with_draft(df: DataFrame, text: str, arenas: list[str], tag_a: str | None =
     placed = split.withColumn("_places", F.when(counts, F.transform(names, lambda n: F.array_position(known, n))))
     whole = placed.withColumn("complete", F.coalesce(~F.array_contains("_places", F.lit(0).cast("bigint")), F.lit(False)))
     ids = {f: F.when(F.col("complete"), (F.get("_places", F.lit(i)) - 1).cast("int")) for i, f in enumerate(FIELDS)}
-    helpers = ["_actors", "_bans", "_picks", "_rest", "_a", "_b", "_bans_a", "_bans_b", "_picks_a", "_picks_b", "_places"]
+    helpers = ["_actors", "_moves", "_rest", "_a", "_b", "_bans_a", "_bans_b", "_picks_a", "_picks_b", "_places"]
     return whole.withColumns(ids).drop(*helpers)

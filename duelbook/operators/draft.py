@@ -69,7 +69,7 @@ def draft_rates(
         "banned": "cast(arena in (own_ban1, own_ban2) as int)",
         "played": "cast(arena in (own_pick, opp_pick, remaining) as int)",
     }
-    state = sums_before(spread, asks, ["side", "arena"], sums, n, TIE)
+    state = sums_before(spread, asks, ["side", "arena"], sums, n, TIE, is_cut=True)
     total = F.col("total")
     return state.withColumns({
         "pick_rate": ratio(F.col("picked"), total),
