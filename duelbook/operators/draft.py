@@ -33,6 +33,11 @@ def touched_arenas(series: DataFrame, arenas: list[int], carried: list[str]) ->
     return series.select(*carried, F.inline(F.filter(marks, lambda m: m["played"].isNotNull())))
 
 
+def draft_asks(series: DataFrame, arenas: list[int]) -> DataFrame:
+    """Distinct (side, arena, date) of the touched arenas."""
+    return asks_of(touched_arenas(series, arenas, ["a", "b", "date"]), "arena")
+
+
 def draft_steps(series: DataFrame, arenas: list[int], calendar: Calendar) -> DataFrame:
     """The seven draft steps in order, with the pool still open before each."""
     moves = F.array(*[
@@ -97,11 +102,15 @@ def has_history(df: DataFrame) -> DataFrame:
 
 
 def draft_choices(
-    series: DataFrame, games: DataFrame, arenas: list[int], calendar: Calendar, carried: list[str], n: int = 20
+    series: DataFrame, games: DataFrame, arenas: list[int], calendar: Calendar, carried: list[str], n: int = 20,
+    asks: DataFrame | None = None,
 ) -> DataFrame:
-    """Arenas touched by each draft with both sides' mean rates before the series."""
+    """Arenas touched by each draft with both sides' mean rates before the series.
+
+    ``asks`` can be handed in from ``draft_asks`` of a cheaper form of the same series.
+    """
     rows = touched_arenas(series, arenas, carried)
-    asks = asks_of(rows, "arena")
+    asks = draft_asks(series, arenas) if asks is None else asks
     win = arena_win_rate(games, asks, n)
     return has_history(with_mean_rates(rows, win, draft_rates(series, asks, arenas, calendar, n)))
 

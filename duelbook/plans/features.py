@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duelbook.operators.draft import draft_choices, draft_rates, with_mean_rates
+from duelbook.operators.draft import draft_asks, draft_choices, draft_rates, with_mean_rates
 from duelbook.operators.form import (
     FORM,
     WIDE,
@@ -41,9 +41,12 @@ def wide_game_features(games: DataFrame, n: int = 20) -> DataFrame:
     return form_difference(games, figures, GAME_KEYS, WIDE)
 
 
-def with_form(rows: DataFrame, games: DataFrame, n: int = 20) -> DataFrame:
-    """Adds the seven form differences to rows with sides, arena and date."""
-    form = arena_form(games, asks_of(rows, "arena"), n)
+def with_form(rows: DataFrame, games: DataFrame, n: int = 20, asks: DataFrame | None = None) -> DataFrame:
+    """Adds the seven form differences to rows with sides, arena and date.
+
+    Hand in ``asks`` (any superset of the rows' own keys) when the rows are costly to compute.
+    """
+    form = arena_form(games, asks_of(rows, "arena") if asks is None else asks, n)
     return form_difference(rows, form, rows.columns)
 
 
@@ -53,10 +56,16 @@ def rated_series(series: DataFrame, period: Column | None = None) -> DataFrame:
     return fill_zero(with_difference(with_period_elo(timed), "past"), ["net_h2h"]).drop("period")
 
 
-def choice_features(series: DataFrame, games: DataFrame, arenas: list[int], calendar: Calendar, n: int = 20) -> DataFrame:
-    """Draft choices of rated series with mean rates and form differences."""
-    choices = draft_choices(series, games, arenas, calendar, SERIES_CARRIED, n)
-    return with_form(choices, games, n)
+def choice_features(
+    series: DataFrame, games: DataFrame, arenas: list[int], calendar: Calendar, n: int = 20, plain: DataFrame | None = None
+) -> DataFrame:
+    """Draft choices of rated series with mean rates and form differences.
+
+    ``plain`` is the same series before rating; the asked keys come from it, so ratings are joined once.
+    """
+    asks = draft_asks(series if plain is None else plain, arenas)
+    choices = draft_choices(series, games, arenas, calendar, SERIES_CARRIED, n, asks)
+    return with_form(choices, games, n, asks)
 
 
 def upcoming_features(
@@ -66,7 +75,7 @@ def upcoming_features(
     rows = for_each_arena(upcoming, calendar, arenas)
     asks = asks_of(rows, "arena")
     win = arena_win_rate(games, asks, n)
-    return with_form(with_mean_rates(rows, win, draft_rates(series, asks, arenas, calendar, n)), games, n)
+    return with_form(with_mean_rates(rows, win, draft_rates(series, asks, arenas, calendar, n)), games, n, asks)
 
 
 def second_tier_features(series: DataFrame, games: DataFrame, n: int = 20) -> DataFrame:

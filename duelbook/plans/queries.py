@@ -553,8 +553,9 @@ def feature_tables(spark, folder):
 def feature_tables_draft(spark, folder):
     """Draft choices with mean rates and form differences."""
     series, games = fx.series(spark, folder), fx.games(spark, folder)
-    rows = draft.draft_choices(series, games, fx.ARENAS, fx.CALENDAR, ["match_id", "a", "b", "date", "won_a"])
-    return features.with_form(rows, games)
+    asks = draft.draft_asks(series, fx.ARENAS)
+    rows = draft.draft_choices(series, games, fx.ARENAS, fx.CALENDAR, ["match_id", "a", "b", "date", "won_a"], asks=asks)
+    return features.with_form(rows, games, asks=asks)
 
 
 def _quarter():
@@ -651,7 +652,7 @@ def upcoming_card(spark, folder):
     series, games = fx.series(spark, folder), fx.games(spark, folder)
     past, later = series.filter(F.col("date") < "2000-10-01"), series.filter(F.col("date") >= "2000-10-01")
     earlier_games = games.filter(F.col("date") < "2000-10-01")
-    choices = cut(features.choice_features(features.rated_series(past, _quarter()), earlier_games, fx.ARENAS, fx.CALENDAR))
+    choices = cut(features.choice_features(features.rated_series(past, _quarter()), earlier_games, fx.ARENAS, fx.CALENDAR, plain=past))
     trained, _ = backtest.train_models(choices, cut(features.game_features(earlier_games)), TRAIN_FROM, "2000-10-01", **TREES)
     card = later.withColumns({"a_odds": 1.0 / F.col("best_odds"), "b_odds": 1.0 / (1.0 - F.col("worst_odds"))})
     return backtest.upcoming_card(

@@ -46,9 +46,9 @@ def test_head_to_head_is_order_free_and_strict(spark):
 
 def test_draft_text(spark):
     names = ["Alpha", "Bravo", "Coda", "Dune", "Echo", "Forge", "Grove"]
-    good = "KRÜ ban Alpha; T1 ban Bravo; KRÜ pick Coda; T1 pick Dune; KRÜ ban Echo; T1 ban Forge; Grove remains"
-    texts = [(1, good, "KRÜ"), (2, good, "T1"), (3, good.replace("T1 ban Forge; ", ""), "KRÜ"), (4, good.replace("Grove remains", ""), "KRÜ"),
-             (5, good.replace("T1 ban Forge", "X ban Forge"), "KRÜ"), (6, good.replace("Alpha", "Nowhere"), "KRÜ"), (7, "", "KRÜ"), (8, None, None)]
+    good = "ÖRÜ ban Alpha; U1 ban Bravo; ÖRÜ pick Coda; U1 pick Dune; ÖRÜ ban Echo; U1 ban Forge; Grove remains"
+    texts = [(1, good, "ÖRÜ"), (2, good, "U1"), (3, good.replace("U1 ban Forge; ", ""), "ÖRÜ"), (4, good.replace("Grove remains", ""), "ÖRÜ"),
+             (5, good.replace("U1 ban Forge", "X ban Forge"), "ÖRÜ"), (6, good.replace("Alpha", "Nowhere"), "ÖRÜ"), (7, "", "ÖRÜ"), (8, None, None)]
     df = spark.createDataFrame(texts, "id int, t string, tag string")
     plain = {r.id: tuple(r[f] for f in FIELDS) if r.complete else None for r in with_draft(df, "t", names).collect()}
     assert plain == {1: (0, 4, 1, 5, 2, 3, 6), 2: (0, 4, 1, 5, 2, 3, 6), **{i: None for i in range(3, 9)}}

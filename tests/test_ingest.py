@@ -40,9 +40,9 @@ def test_upcoming_records(spark):
 
 
 def test_links_and_append(spark):
-    html = '<a href="/team/17/gen">x</a><a href="/55/a-vs-b">y</a><a href="/team/17/gen">z</a><a href="/event/3">e</a>'
+    html = '<a href="/team/17/side">x</a><a href="/55/a-vs-b">y</a><a href="/team/17/side">z</a><a href="/event/3">e</a>'
     links = {r.href: (r.kind, r.team_id, r.match_id, r.team_path) for r in ingest.page_links(spark.createDataFrame([("u", html)], "url string, html string")).collect()}
-    assert links == {"/team/17/gen": ("team", 17, 17, "/17/gen"), "/55/a-vs-b": ("match", None, 55, None), "/event/3": ("event", None, None, None)}
+    assert links == {"/team/17/side": ("team", 17, 17, "/17/side"), "/55/a-vs-b": ("match", None, 55, None), "/event/3": ("event", None, None, None)}
     held = spark.createDataFrame([(1, "old")], "k int, v string")
     arrived = spark.createDataFrame([(1, "new"), (2, "b"), (2, "a"), (3, "c")], "k int, v string")
     got = sorted(tuple(r) for r in ingest.append_new(held, arrived, ["k"], [F.col("v")]).collect())

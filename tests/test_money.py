@@ -74,7 +74,7 @@ def test_texts(spark):
     assert value(text.leading_int(F.lit(" 12 (3)"))) == 12 and value(text.leading_int(F.lit("-"))) == 0
     assert value(text.slash_date(F.lit("2021/03/30"))) == dt.date(2021, 3, 30)
     assert value(text.stamp_date(F.lit("2024-06-22 17:00:00"))) == dt.date(2024, 6, 22)
-    assert value(text.team_slug(F.lit("/team/17/gen-g"))) == "gen-g" and value(text.team_id(F.lit("/team/17/gen-g"))) == 17
+    assert value(text.team_slug(F.lit("/team/17/side-x"))) == "side-x" and value(text.team_id(F.lit("/team/17/gen-g"))) == 17
     assert value(text.number_or_zero(F.lit("n/a"))) == 0.0
 
 
