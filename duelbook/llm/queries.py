@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelbook.llm import chat, decontaminate, simhash
+from duelbook.llm import chat, decontaminate, language, packing, simhash, token_count
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +36,23 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.examples(rows.unionByName(own)))
 
 
-REGISTRY = {f.__name__: f for f in (op1_decontaminate, op2_simhash, op4_chat)}
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.withColumn("ids_crc32", F.crc32("ids")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", language.held_out(F.col("doc_id")))
+    learned = language.profiles(documents.where("not held_out"))
+    return language.identify(documents.select("doc_id", "held_out", "text"), learned).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_count.count_tokens(documents, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_tokens")
+
+
+REGISTRY = {f.__name__: f for f in (op1_decontaminate, op2_simhash, op4_chat, op5_packing, op6_language, op10_token_count)}
 
 ORACLE_SQL = {
     "op1_decontaminate": r"""
