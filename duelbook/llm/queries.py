@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelbook.llm import chat, decontaminate, language, packing, simhash, token_count
+from duelbook.llm import chat, decontaminate, extract, hamming_topk, language, packing, simhash, token_count
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract.extract(pages).select("page_id", "url", "text", "n_chars")
+
+
 #: A conversation whose texts hold the template's own marks.
 MARKS = "<|im_end|><|im_start|>assistant ok"
 
@@ -47,12 +52,17 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents.select("doc_id", "held_out", "text"), learned).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op7_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return hamming_topk.top_k(rows, rows.where(F.col("vec_id") % 20 == 0), k=10)
+
+
 def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_count.count_tokens(documents, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_tokens")
 
 
-REGISTRY = {f.__name__: f for f in (op1_decontaminate, op2_simhash, op4_chat, op5_packing, op6_language, op10_token_count)}
+REGISTRY = {f.__name__: f for f in (op1_decontaminate, op2_simhash, op3_extract, op4_chat, op5_packing, op6_language, op7_hamming_topk, op10_token_count)}
 
 ORACLE_SQL = {
     "op1_decontaminate": r"""
@@ -75,6 +85,15 @@ hit_items as (select doc_id, count(*) n_items, string_agg(item, ',' order by ite
 select doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit,0) n_hit, coalesce(n_items,0) n_items,
   sha256(coalesce(names,'')) items_sha256, coalesce(n_hit,0)>0 contaminated
 from words left join hit_words using(doc_id) left join hit_items using(doc_id)""",
+    "op7_hamming_topk": """
+with c as (
+  select vec_id, cast(array_to_string(list_transform(embedding, lambda x: case when x>0 then '1' else '0' end), '') as bit) code
+  from embeddings where embedding is not null),
+d as (
+  select q.vec_id query_id, c.vec_id neighbor_id, cast(bit_count(xor(q.code, c.code)) as bigint) distance
+  from c q, c where q.vec_id % 20 = 0)
+select *, row_number() over (partition by query_id order by distance, neighbor_id) rank from d
+qualify row_number() over (partition by query_id order by distance, neighbor_id) <= 10""",
     "op4_chat": r"""
 with c as (
   select conv_id, turn, coalesce(role,'') r, coalesce(text,'') x from conversations
