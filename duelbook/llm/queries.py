@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelbook.llm import chat, decontaminate, extract, hamming_topk, language, packing, pii, simhash, token_count
+from duelbook.llm import chat, decontaminate, extract, hamming_topk, language, packing, pii, secret_scan, simhash, token_count
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,12 +65,17 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_count.count_tokens(documents, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_tokens")
 
 
-REGISTRY = {f.__name__: f for f in (op1_decontaminate, op2_simhash, op3_extract, op4_chat, op5_packing, op6_language, op7_hamming_topk, op8_pii, op10_token_count)}
+REGISTRY = {f.__name__: f for f in (op1_decontaminate, op2_simhash, op3_extract, op4_chat, op5_packing, op6_language, op7_hamming_topk, op8_pii, op9_secret_scan, op10_token_count)}
 
 ORACLE_SQL = {
     "op1_decontaminate": r"""
