@@ -53,10 +53,12 @@ WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 class Part:
     """An open element. ``kind``: None for plain; 'tag', 'site', 'mark' or 'head' for what is left out; void with an article inside."""
 
-    __slots__ = ("tag", "kind", "above", "number", "void", "links")
+    __slots__ = ("tag", "kind", "above", "number", "void", "links", "silent")
 
     def __init__(self, tag, kind, above, number):
         self.tag, self.kind, self.above, self.number, self.void, self.links = tag, kind, above, number, False, True
+        # inside a line there is no line of its own to leave out: its text is not taken
+        self.silent = above is not None and above.silent or kind == "tag" or kind is not None and tag not in BREAKS
 
 
 def mark_of(attributes: list[tuple[str, str | None]]) -> str | None:
@@ -80,13 +82,19 @@ def mark_of(attributes: list[tuple[str, str | None]]) -> str | None:
     return False
 
 
+def aside_article(attributes: list[tuple[str, str | None]]) -> bool:
+    """A class or id that begins with one of these makes an article a comment, a pointer to another one, or an advert."""
+    names = [x for n, v in attributes if v and n in ("class", "id") for x in v.split()]
+    return any((w := WORDS.match(x)) and w[0].lower() in ("comment", "comments", "related", "recommended", "ad", "ads", "promo", "sponsored") for x in names)
+
+
 class Lines(HTMLParser):
     """Collects lines: (text, tags, innermost element, inside a link only)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Part("", None, None, 0)
-        self.top, self.made = self.root, 0
+        self.top, self.made, self.at = self.root, 0, self.root
         self.lines: list[tuple[str, int, Part, bool]] = []
         self.held: list[str] = []
         self.tags, self.links, self.outside = 0, 0, False
@@ -94,7 +102,7 @@ class Lines(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.held).split())
         if text:
-            self.lines.append((text, self.tags, self.top, not self.outside))
+            self.lines.append((text, self.tags, self.at, not self.outside))
             self.tags = 0
         self.held, self.outside = [], False
 
@@ -127,8 +135,7 @@ class Lines(HTMLParser):
             return
         wrong = mark_of(attributes) if attributes and tag != "main" and tag not in INLINE else None
         if tag == "article" or tag == "main":
-            if tag == "article" and wrong and any(w in ("comment", "comments", "teaser", "related", "recommended", "ad", "promo", "sponsored")
-                                                  for n, v in attributes if v and n in ("class", "id") for w in map(str.lower, WORDS.findall(v))):
+            if tag == "article" and wrong and aside_article(attributes):
                 self.push(tag, "mark")
                 return
             part = self.top
@@ -160,6 +167,10 @@ class Lines(HTMLParser):
             self.close_to(tag)
 
     def handle_data(self, data):
+        if self.top.silent:
+            return
+        if not data.isspace() and not any(not h.isspace() for h in self.held):
+            self.at = self.top
         self.held.append(data)
         if not self.links and not data.isspace():
             self.outside = True
@@ -209,7 +220,7 @@ def main_text(html: str) -> str:
     parser.close()
     parser.flush()
     root = parser.root
-    lines = [x for x in parser.lines if not any(p.kind == "tag" and not p.void for p in above(x[2]))]
+    lines = parser.lines
     if not lines:
         return ""
     chosen = content(lines)
