@@ -21,10 +21,6 @@ def half_even(col: Column, places: int = 2) -> Column:
     return F.bround(col, places)
 
 
-def months_before(day: Column, months: int = 3) -> Column:
-    return F.add_months(day, -months)
-
-
 def elo_expected(own: Column, other: Column) -> Column:
     """Chance that the first rating beats the second, on the 400-point logistic scale."""
     return F.lit(1.0) / (F.lit(1.0) + F.pow(F.lit(10.0), (other - own) / F.lit(400.0)))

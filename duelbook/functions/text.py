@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 TEAM_ID = r"/team/(\d+)"
 TEAM_SLUG = r"/team/\d+/([^/]+)$"
 MATCH_ID = r"/(\d+)/"
-HREF = r'href="([^"]*)"'
+PAGE_DATE = r"(\d{4}[-/]\d{2}[-/]\d{2})"
+#: The address grammar of the pages. An href stands in either kind of quotes.
+HREF = r"""href=(?:"([^"]*)"|'([^']*)')"""
 
 
 def _group(text: Column, pattern: str, group: int = 1) -> Column:
@@ -43,7 +45,8 @@ def link_kind(href: Column) -> Column:
 
 
 def links(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit(HREF), 1)
+    double, single = (F.regexp_extract_all(html, F.lit(HREF), F.lit(i)) for i in (1, 2))
+    return F.zip_with(double, single, lambda d, s: F.when(d != "", d).otherwise(s))
 
 
 def stamp_date(text: Column) -> Column:
@@ -97,6 +100,14 @@ def history_net(wins: Column, losses: Column) -> Column:
     return total(wins) - total(losses)
 
 
+def bad_history(wins: Column, losses: Column) -> Column:
+    """Whether a history block holds a text that is no integer."""
+    def bad(values: Column) -> Column:
+        return F.coalesce(F.exists(values, lambda v: F.trim(v).try_cast("int").isNull()), F.lit(False))
+
+    return bad(wins) | bad(losses)
+
+
 def prices(texts: Column) -> Column:
     """'$182' -> 182.0 for each text."""
-    return F.transform(texts, lambda t: F.substring(t, 2, 1000).try_cast("double"))
+    return F.transform(texts, lambda t: t.substr(F.lit(2), F.length(t)).try_cast("double"))

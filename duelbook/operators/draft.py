@@ -58,7 +58,8 @@ def draft_rates(
 ) -> DataFrame:
     """Pick, ban and play rate per (side, arena, date) ask.
 
-    Counts the side's last n earlier series dated when the arena was in the pool. Whether an arena is
+    Counts the side's last n earlier series dated when the arena was in the pool; series past the last calendar entry
+    count for no arena (``pool.uncovered`` lists them). Whether an arena is
     in the pool depends on the date alone, so cutting each (side, day) to n series before spreading
     them over arenas loses nothing.
     """

@@ -17,6 +17,10 @@ from pyspark.sql.window import WindowSpec
 # last n rows are differences of running totals, exact for those.
 Measures = dict[str, str]
 
+#: Up to this n Spark's plans apply a rank filter in every task before the shuffle (spark.sql.optimizer.windowGroupLimitThreshold).
+PUSHED = 1000
+SALTS = 64
+
 
 def last_of_day(rows: DataFrame, key: list[str], n: int, tie: list[str], day: str = "date") -> DataFrame:
     """The last n rows of every (key, day) by the tie-break columns.
@@ -25,8 +29,16 @@ def last_of_day(rows: DataFrame, key: list[str], n: int, tie: list[str], day: st
     most selective one.
     """
     order = [F.col(t).desc() for t in tie]
-    rank = F.row_number().over(Window.partitionBy(day, *key).orderBy(*order))
-    return rows.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
+
+    def cut_by(df: DataFrame, *groups: str) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(day, *key, *groups).orderBy(*order))
+        return df.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
+
+    if n > PUSHED:
+        # the filter on the rank is not applied before the shuffle for such n: a hot (key, day) is cut in parts first
+        salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*tie), F.lit(SALTS)))
+        rows = cut_by(salted, "_salt").drop("_salt")
+    return cut_by(rows)
 
 
 def _with_zero(df: DataFrame, names: list[str]) -> DataFrame:

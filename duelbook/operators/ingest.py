@@ -17,7 +17,7 @@ def page_links(pages: DataFrame) -> DataFrame:
     h = F.col("href")
     return href.select(
         "href", text.link_kind(h).alias("kind"), text.team_id(h).alias("team_id"), text.match_id(h).alias("match_id"),
-        F.when(h.startswith("/team/"), F.substring(h, 6, 100_000)).alias("team_path"),
+        F.when(h.startswith("/team/"), h.substr(F.lit(6), F.length(h))).alias("team_path"),
     )
 
 
@@ -32,10 +32,40 @@ def high_water_mark(loaded: DataFrame, dated: str = "date", full_from: str | Non
     return loaded.agg(F.coalesce(day, F.lit(full_from).cast("date")).alias("start_date"))
 
 
-def append_new(existing: DataFrame, arrived: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """Existing rows, then the first copy of each arrived key they do not hold yet."""
+def new_rows(existing: DataFrame, arrived: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
+    """The first copy of each arrived key that the existing rows do not hold: what an append has to write."""
     fresh = arrived.join(existing.select(*key).distinct(), key, "left_anti").select(arrived.columns)
-    return existing.unionByName(first_of_key(fresh, key, order))
+    return first_of_key(fresh, key, order)
+
+
+def append_new(existing: DataFrame, arrived: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
+    """Existing rows, then the new ones."""
+    return existing.unionByName(new_rows(existing, arrived, key, order))
+
+
+def dated_links(pages: DataFrame) -> DataFrame:
+    """(href, match_id, date) of match links: the newest date (yyyy/mm/dd or yyyy-mm-dd) that a linking page carries.
+
+    A link on pages without a date has none.
+    """
+    day = F.regexp_extract("html", text.PAGE_DATE, 1)
+    each = pages.select(F.explode(text.links(F.col("html"))).alias("href"), text.slash_date(day).alias("date"))
+    h = F.col("href")
+    return each.where(text.link_kind(h) == "match").groupBy("href").agg(F.max("date").alias("date")).withColumn("match_id", text.match_id(h))
+
+
+def update(stored: DataFrame, links: DataFrame, staged: DataFrame, arenas: list[str], full_from: str) -> tuple[DataFrame, DataFrame]:
+    """One update of the series table: the rows to append, and the records set aside with their problem.
+
+    Links dated in the load window (from the day before the newest stored row, or ``full_from``) and not yet stored pick
+    the staged pages; those become records, and of the good ones the first of each match is new. A staged page is known by
+    its ``link``; pages of one link are taken in the order of their stamp.
+    """
+    start = high_water_mark(stored, full_from=full_from).scalar()
+    wanted = links_since(links, start).join(stored.select("match_id").distinct(), "match_id", "left_anti")
+    pages = staged.join(wanted.select(F.col("href").alias("link")).distinct(), "link", "left_semi")
+    good, bad = good_and_quarantined(series_records(pages, arenas))
+    return new_rows(stored, good, ["match_id"], [F.col("date"), F.col("a"), F.col("b")]), bad
 
 
 def series_records(staged: DataFrame, arenas: list[str]) -> DataFrame:
@@ -54,6 +84,7 @@ def series_records(staged: DataFrame, arenas: list[str]) -> DataFrame:
         text.alternating_net(F.col("h2h")).alias("net_h2h"),
         text.history_net(F.col("a_wins"), F.col("a_losses")).alias("a_past"),
         text.history_net(F.col("b_wins"), F.col("b_losses")).alias("b_past"),
+        (text.bad_history(F.col("a_wins"), F.col("a_losses")) | text.bad_history(F.col("b_wins"), F.col("b_losses"))).alias("_history_bad"),
         F.coalesce(text.prices(F.col("payouts")), F.array().cast("array<double>")).alias("_paid"),
         "draft", *([tag] if tag else []),
     ), "draft", arenas, tag).withColumn("won_a", F.col("a_gamewins") > F.col("b_gamewins"))
@@ -67,6 +98,7 @@ def series_records(staged: DataFrame, arenas: list[str]) -> DataFrame:
         .when(F.col("date").isNull(), "no date")
         .when(F.col("won_a").isNull(), "no score")
         .when(F.exists("_paid", lambda p: p.isNull()), "bad price")
+        .when(F.col("_history_bad"), "bad history")
         .when(~F.col("complete"), "no draft")
     )
     return priced.select(
@@ -81,19 +113,23 @@ def good_and_quarantined(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def game_records(players: DataFrame, headers: DataFrame, agents: list[int]) -> DataFrame:
-    """Player rows and game headers -> one row per game with both sides' totals."""
+    """Player rows and game headers -> one row per game with both sides' totals; ``problem`` is null for a good row."""
     totals = player_totals(players, agents)
-    names = ["agents", "fks", "rating", "acs", "kills", "assists", "deaths"]
+    names = ["agents", "fks", "rating", "acs", "kills", "assists", "deaths", "unknown_agents"]
     sides = totals.groupBy("game_id").agg(*[
         F.any_value(F.when(F.col("side_no") == no, F.col(x)), ignoreNulls=True).alias(f"{s}_{x}")
         for no, s in ((1, "a"), (2, "b")) for x in names
     ])
-    return headers.join(sides, "game_id")
+    unknown = F.coalesce("a_unknown_agents", F.lit(0)) + F.coalesce("b_unknown_agents", F.lit(0))
+    joined = headers.join(sides, "game_id")
+    return joined.withColumn("problem", F.when(unknown > 0, "unknown agent")).drop("a_unknown_agents", "b_unknown_agents")
 
 
 def upcoming_records(staged: DataFrame, today: Column, days: int = 7) -> DataFrame:
     """Fields of scheduled contests -> upcoming rows of the next ``days`` days with both sides known.
 
+    A row without an id or date is kept with its ``problem``; good rows have none.
+
     Staged columns: link, stamp, a_text, b_text, a_href, b_href, h2h, a_wins, a_losses, b_wins, b_losses,
     a_prices, b_prices.
     """
@@ -111,13 +147,15 @@ def upcoming_records(staged: DataFrame, today: Column, days: int = 7) -> DataFra
         F.coalesce(text.history_net(F.col("b_wins"), F.col("b_losses")), F.lit(0)).alias("b_past"),
         best("a_prices").alias("a_odds"), best("b_prices").alias("b_odds"),
     )
-    return rows.filter((F.col("date") >= today) & (F.col("date") < F.date_add(today, days)))
+    problem = F.when(F.col("match_id").isNull() | F.col("a").isNull() | F.col("b").isNull(), "no id").when(F.col("date").isNull(), "no date")
+    return rows.withColumn("problem", problem).filter(F.col("date").isNull() | (F.col("date") >= today) & (F.col("date") < F.date_add(today, days)))
 
 
 def team_rows(variants: DataFrame) -> DataFrame:
     """Name variants (href, place, name) -> one dimension row per team id.
 
-    The first name is the full one, then the abbreviation, then a second id.
+    The first name is the full one, then the abbreviation, then a second id. Links without an id belong to no team:
+    ``bad_team_links`` has them.
     """
     rows = variants.select(
         text.path_part(F.col("href"), 1).try_cast("bigint").alias("team_id"),
@@ -127,6 +165,11 @@ def team_rows(variants: DataFrame) -> DataFrame:
     def at(place: int) -> Column:
         return F.min(F.when(F.col("place") == place, F.col("name")))
 
-    return rows.groupBy("team_id").agg(
+    return rows.where("team_id is not null").groupBy("team_id").agg(
         F.min("linkname").alias("linkname"), at(0).alias("name"), at(1).alias("abbrev"), at(2).alias("secondary_id")
     )
+
+
+def bad_team_links(variants: DataFrame) -> DataFrame:
+    """The name variants whose link holds no team id."""
+    return variants.where(text.path_part(F.col("href"), 1).try_cast("bigint").isNull())

@@ -17,19 +17,21 @@ def player_totals(players: DataFrame, agents: list[int]) -> DataFrame:
     """Totals per (game_id, side_no), with the sorted agent ids.
 
     acs and rating are fifths of the sum, a zero rating sum is null. Agents are counted per dictionary
-    id and spelled out after the aggregation, so it keeps partial sums only and no lists.
+    id and spelled out after the aggregation, so it keeps partial sums only and no lists. ``unknown_agents`` counts
+    players whose agent is not in the dictionary (or null): a row with any is not complete.
     """
     counts = [F.count_if(F.col("agent") == i).alias(f"_n{i}") for i in agents]
+    unknown = F.count_if(~F.coalesce(F.col("agent").isin(agents), F.lit(False))).alias("unknown_agents")
     totals = players.groupBy("game_id", "side_no").agg(
         *[F.sum(x).alias(x) for x in ("fks", "kills", "deaths", "assists")],
-        F.sum("acs").alias("_acs"), F.sum("rating").alias("_rating"), *counts,
+        F.sum("acs").alias("_acs"), F.sum("rating").alias("_rating"), unknown, *counts,
     )
     ids = F.flatten(F.array(*[F.array_repeat(F.lit(i), F.col(f"_n{i}").cast("int")) for i in agents]))
     return totals.select(
         "game_id", "side_no", "fks", "kills", "deaths", "assists",
         (F.col("_acs") / F.lit(float(TEAM))).alias("acs"),
         F.when(F.col("_rating") != 0, F.col("_rating") / F.lit(float(TEAM))).alias("rating"),
-        ids.alias("agents"),
+        ids.alias("agents"), "unknown_agents",
     )
 
 

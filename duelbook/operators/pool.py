@@ -50,5 +50,13 @@ def with_pool_flags(df: DataFrame, calendar: Calendar, arenas: list[int]) -> Dat
 
 
 def for_each_arena(df: DataFrame, calendar: Calendar, arenas: list[int]) -> DataFrame:
-    """One row per contest and arena in the pool on its date."""
-    return df.withColumn("arena", F.explode(pool_on(calendar, F.col("date"), arenas)))
+    """One row per contest and arena in the pool on its date.
+
+    A contest past the last calendar entry, or without any arena, keeps one row with a null arena: ``uncovered`` picks them.
+    """
+    return df.withColumn("arena", F.explode_outer(pool_on(calendar, F.col("date"), arenas)))
+
+
+def uncovered(df: DataFrame, calendar: Calendar) -> DataFrame:
+    """The contests on whose date the calendar says nothing."""
+    return df.filter(out_of_pool(calendar, F.col("date")).isNull())

@@ -75,8 +75,8 @@ from {lineitem}
 
 # Pool calendar: until date -> arenas out of the pool before it. Orders run past the last entry.
 CALENDAR = [
-    ("1996-01-01", [6, 8, 9, 10]), ("1997-06-01", [1, 2, 9, 10]), ("1998-09-01", [2, 5, 9, 10]),
-    ("1999-06-01", [3, 5, 7, 10]), ("2000-06-01", [3, 4, 7, 10]), ("2001-06-01", [2, 3, 5, 6]),
+    ("1996-03-01", [0, 4, 7, 9]), ("1997-08-01", [1, 3, 8, 10]), ("1998-07-15", [2, 6, 7, 9]),
+    ("1999-04-01", [0, 5, 8, 10]), ("2000-08-01", [1, 4, 6, 9]), ("2001-05-01", [2, 3, 7, 8]),
 ]
 ARENAS = list(range(11))
 # Arena names by id.

@@ -36,20 +36,21 @@ def _asks(table: str, *more: str) -> str:
 
 
 def _last(name: str, hist: str, keys: str, key: list[str], tie: str, measures: dict[str, str], n: int) -> str:
-    """CTEs: sums over the last n rows of the key before each asked date, by sequence numbers."""
+    """CTEs: sums over the last n rows of the key before each asked date, from frames over the sequence of its rows."""
     k = ", ".join(key)
     on_e = " and ".join(f"q.{c} = e.{c}" for c in key)
     on_x = " and ".join(f"q.{c} = x.{c}" for c in key)
     qk = ", ".join(f"q.{c}" for c in key)
-    cols = ", ".join(f"{e} m_{m}" for m, e in measures.items())
-    sums = ", ".join(f"cast(coalesce(sum(x.m_{m}), 0) as bigint) {m}" for m in measures)
-    low = f"and x.seq > q.upto - {n}" if n else ""
+    order = f"partition by {k} order by date, {tie}"
+    frame = f"{order} rows between {f'{n - 1} preceding' if n else 'unbounded preceding'} and current row"
+    runs = ", ".join(f"sum({e}) over ({frame}) {m}" for m, e in measures.items())
+    sums = ", ".join(f"cast(coalesce(x.{m}, 0) as bigint) {m}" for m in measures)
     return f"""
-    {name}_seq as (select {k}, date, {cols}, row_number() over (partition by {k} order by date, {tie}) seq from {hist}),
-    {name}_end as (select {k}, date, max(seq) seq from {name}_seq group by all),
-    {name}_ask as (select {qk}, q.date, coalesce(e.seq, 0) upto from (select distinct {k}, date from {keys}) q
+    {name}_run as (select {k}, date, row_number() over ({order}) seq, {runs} from {hist}),
+    {name}_end as (select {k}, date, max(seq) seq from {name}_run group by all),
+    {name}_ask as (select {qk}, q.date, e.seq upto from (select distinct {k}, date from {keys}) q
        asof left join {name}_end e on {on_e} and q.date > e.date),
-    {name} as (select {qk}, q.date, {sums} from {name}_ask q left join {name}_seq x on {on_x} and x.seq <= q.upto {low} group by {qk}, q.date)"""
+    {name} as (select {qk}, q.date, {sums} from {name}_ask q left join {name}_run x on {on_x} and x.seq = q.upto)"""
 
 
 def ratio(num: str, den: str) -> str:
@@ -254,7 +255,9 @@ def sql() -> dict[str, str]:
       from st"""
     flags = ", ".join(f"cast(not list_contains({OUT}, {i}) as int) in_pool_{i}" for i in fx.ARENAS)
     q["pool_flags"] = f"with {SERIES} select match_id, date, {flags} from series"
-    q["pool_arenas"] = f"with {SERIES} select match_id, a, b, date, cast(unnest({POOL}) as int) arena from series"
+    q["pool_arenas"] = f"""with {SERIES} select match_id, a, b, date, cast(unnest({POOL}) as int) arena from series
+      union all select match_id, a, b, date, null from series where {OUT} is null"""
+    q["pool_uncovered"] = f"with {SERIES} select match_id, a, b, date from series where date >= date '{fx.CALENDAR[-1][0]}'"
     q["touched_arenas"] = f"with {SERIES}, {TOUCHED} select match_id, a, b, date, arena, played from touched"
     q["head_to_head"] = f"""with {SERIES}, {TOUCHED},
       met as (select least(a, b) lo, greatest(a, b) hi, date, unnest({PICKED}) arena from series)
@@ -302,18 +305,6 @@ def sql() -> dict[str, str]:
             group by side) g on g.side = r.side where r.p < (select max(period) from timed))
       select match_id, a, b, cast(period as int) period, round(x.elo, 6) a_elo, round(y.elo, 6) b_elo, round(x.elo - y.elo, 6) elo_diff
       from timed join r x on x.p = period and x.side = a join r y on y.p = period and y.side = b"""
-    fa, fb = ELO_A.format(ra="r.elo[m.a + 1]", rb="r.elo[m.b + 1]"), ELO_A.format(ra="r.elo[m.b + 1]", rb="r.elo[m.a + 1]")
-    q["elo_exact"] = f"""with recursive {SERIES}, {REGIONS}, {LABELLED},
-      m as (select *, a_region league, row_number() over (partition by a_region order by date, match_id) seq from labelled
-            where a_region = b_region and a_region <> 'unknown'),
-      r as (select league, cast(0 as bigint) seq, list_transform(range(0, 25), lambda x: cast(1500 as double)) elo, cast(null as bigint) match_id,
-              cast(null as double) a_elo, cast(null as double) b_elo from (select distinct league from m) l
-        union all select r.league, m.seq, list_transform(range(0, 25), lambda i: case
-              when i = m.a then r.elo[m.a + 1] + 32 * (case when m.won_a then 1 else 0 end - ({fa}))
-              when i = m.b then r.elo[m.b + 1] + 32 * (case when m.won_a then 0 else 1 end - ({fb})) else r.elo[i + 1] end),
-            m.match_id, r.elo[m.a + 1], r.elo[m.b + 1] from r join m on m.league = r.league and m.seq = r.seq + 1)
-      select match_id, league, round(a_elo, 6) a_elo, round(b_elo, 6) b_elo, round(a_elo - b_elo, 6) elo_diff from r where match_id is not null"""
-
     avg, bw = _bets("avg_bets", "pred", "odds", "odds"), _bets("bw_bets", "pred", "worst_odds", "best_odds")
     q["ledger_average"] = f"with {SERIES}, {avg} {_ledger('avg_bets', 'odds', 'odds')}"
     q["ledger_best_worst"] = f"with {SERIES}, {bw} {_ledger('bw_bets', 'best_odds', 'worst_odds')}"
@@ -357,13 +348,14 @@ def sql() -> dict[str, str]:
         case when scored is null then 'no score' when not {COMPLETE} then 'no draft' end problem from priced"""
     totals = """totals as (select game_id, side_no, cast(sum(fks) as bigint) fks, cast(sum(kills) as bigint) kills, cast(sum(deaths) as bigint) deaths,
         cast(sum(assists) as bigint) assists, cast(sum(acs) as double) / 5 acs, case when sum(rating) <> 0 then sum(rating) / 5 end rating,
-        array_to_string(list_transform(list_sort(list(agent)), lambda x: cast(x as varchar)), ',') agents from players group by game_id, side_no)"""
+        array_to_string(list_transform(list_sort(list(agent)), lambda x: cast(x as varchar)), ',') agents, count(*) filter (agent not between 0 and 23) unknown_agents
+        from players group by game_id, side_no)"""
     sides = ", ".join(f"{s}.{x} {s}_{x}" for s in "ab" for x in ("agents", "fks", "rating", "acs", "kills", "assists", "deaths"))
     q["game_records"] = f"""with {PLAYERS}, {totals}, ids as (select distinct game_id from players)
-      select ids.game_id, cast(o_orderdate as date) date, {sides} from ids join orders on o_orderkey = ids.game_id
+      select ids.game_id, cast(o_orderdate as date) date, {sides}, cast(null as varchar) problem from ids join orders on o_orderkey = ids.game_id
         left join totals a on a.game_id = ids.game_id and a.side_no = 1 left join totals b on b.game_id = ids.game_id and b.side_no = 2"""
     q["upcoming_records"] = f"""with {SERIES} select match_id, cast(a as bigint) a, cast(b as bigint) b, date, {NET_H2H} net_h2h, {A_NET} a_past, {B_NET} b_past,
-        {best_a} a_odds, {best_b} b_odds from series where match_id % 11 <> 5 and date >= date '1998-05-01' and date < date '1998-05-01' + interval 700 day"""
+        {best_a} a_odds, {best_b} b_odds, cast(null as varchar) problem from series where match_id % 11 <> 5 and date >= date '1998-05-01' and date < date '1998-05-01' + interval 700 day"""
     q["team_rows"] = """select c_custkey team_id, lower(c_mktsegment) linkname, c_name as name, 'C' || cast(c_custkey as varchar) abbrev,
         case when c_custkey % 4 <> 0 then c_mktsegment end secondary_id from customer"""
     q["distinct_links"] = r"""with l as (select distinct unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) href from pages)

@@ -121,6 +121,11 @@ def pool_arenas(spark, folder):
     return pool.for_each_arena(rows, fx.CALENDAR, fx.ARENAS)
 
 
+@query
+def pool_uncovered(spark, folder):
+    return pool.uncovered(fx.series(spark, folder).select("match_id", "a", "b", "date"), fx.CALENDAR)
+
+
 @query
 def touched_arenas(spark, folder):
     return _touched(fx.series(spark, folder))
@@ -262,15 +267,6 @@ def elo_period(spark, folder):
     )
 
 
-@query
-def elo_exact(spark, folder):
-    series = fx.series(spark, folder).select("match_id", "a", "b", "won_a", "date")
-    league = sides.with_regions(series, fx.regions(spark, folder)).filter(
-        (F.col("a_region") == F.col("b_region")) & (F.col("a_region") != "unknown")
-    ).withColumnRenamed("a_region", "league").drop("b_region")
-    return _six(ratings.with_exact_elo(league), "a_elo", "b_elo", "elo_diff").select("match_id", "league", "a_elo", "b_elo", "elo_diff")
-
-
 # Back-test --------------------------------------------------------------------------------------
 
 
@@ -479,7 +475,7 @@ def stream_ingest(spark, folder):
     schema = fx.table(spark, folder, "events").schema
     path = f"{folder.rstrip('/')}/events*.parquet"
     twice = streaming.landed(spark, path, schema).union(streaming.landed(spark, path, schema))
-    return streaming.ingest(spark, twice, ["event_id"], "ts").select("event_id", "user_id", "event_type", "value")
+    return streaming.ingest(spark, twice, ["event_id"], [F.col("ts")]).select("event_id", "user_id", "event_type", "value")
 
 
 @query

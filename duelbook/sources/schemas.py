@@ -11,6 +11,7 @@ def _schema(*fields) -> T.StructType:
     return T.StructType([T.StructField(name, kind, True) for name, kind in fields])
 
 
+# The column lists of the table files.
 SERIES_FILE = _schema(
     ("match_id", _L), ("t1", _L), ("t2", _L), ("winner", _B),
     ("t1_ban1", _I), ("t1_ban2", _I), ("t2_ban1", _I), ("t2_ban2", _I), ("t1_pick", _I), ("t2_pick", _I), ("remaining", _I),
@@ -18,6 +19,8 @@ SERIES_FILE = _schema(
     ("odds", _D), ("best_odds", _D), ("worst_odds", _D), ("date", _DT),
 )
 
+RATED_SERIES_FILE = _schema(*[(f.name, f.dataType) for f in SERIES_FILE.fields], ("t1_elo", _D), ("t2_elo", _D), ("elo_diff", _D))
+
 _PLAYER = [(f"agent{i}", _I) for i in range(1, 6)] + [
     ("fks", _I), ("rating", _D), ("acs", _D), ("kills", _I), ("assists", _I), ("deaths", _I)
 ]

@@ -1,8 +1,9 @@
-"""The append job as a stream: keep-first by key within a watermark, run to the end of what has landed."""
+"""The append job as a stream: keep-first by key, run to the end of what has landed."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from duelbook.operators.sides import first_of_key
@@ -20,7 +21,10 @@ def landed(spark: SparkSession, path: str, schema: T.StructType, files_per_trigg
 
 
 def keep_first_stream(stream: DataFrame, key: list[str], event_time: str, late: str = "1 day") -> DataFrame:
-    """First arrival of each key; state is dropped once the watermark passes, rows later than that too."""
+    """First arrival of each key with bounded state; rows behind the watermark are dropped.
+
+    For sources that are known to be late by less than ``late``. ``run_append_new`` keeps every late row.
+    """
     return stream.withWatermark(event_time, late).dropDuplicatesWithinWatermark(key)
 
 
@@ -33,21 +37,22 @@ def run_to_parquet(stream: DataFrame, out: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def run_append_new(stream: DataFrame, table: str, checkpoint: str, key: list[str], order: list) -> None:
-    """Appends to a parquet table only keys it does not hold, one batch folder per micro-batch.
+def run_append_new(stream: DataFrame, table: str, checkpoint: str, key: list[str], order: list, buckets: int = 64) -> None:
+    """Appends to a parquet table only keys it does not hold, however late; processes all that has landed, then stops.
 
-    A batch writes to the folder of its own number in overwrite mode, so a replayed batch after a lost
-    driver replaces its first try instead of doubling rows.
+    Rows are stored by hash bucket of their key, and a batch reads the buckets it touches only. A batch writes to the folder of its
+    own number in overwrite mode, so a replayed batch after a lost driver replaces its first try instead of doubling
+    rows. A restart with the same checkpoint goes on where it ended.
     """
     def append(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = first_of_key(batch, key, order)
+        fresh = first_of_key(batch, key, order).withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
         if number > 0:
-            held = spark.read.option("basePath", table).schema(batch.schema).parquet(
-                *[f"{table}/batch={i}" for i in range(number)]
-            )
-            fresh = fresh.join(held.select(*key).distinct(), key, "left_anti").select(batch.columns)
-        fresh.write.mode("overwrite").parquet(f"{table}/batch={number}")
+            touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+            schema = T.StructType([*batch.schema.fields, T.StructField("batch", T.LongType()), T.StructField("bucket", T.IntegerType())])
+            held = spark.read.schema(schema).parquet(table).where((F.col("batch") < number) & F.col("bucket").isin(touched))
+            fresh = fresh.join(held.select("bucket", *key).distinct(), ["bucket", *key], "left_anti")
+        fresh.write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/batch={number}")
 
     query = (
         stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -55,8 +60,8 @@ def run_append_new(stream: DataFrame, table: str, checkpoint: str, key: list[str
     query.awaitTermination()
 
 
-def ingest(spark: SparkSession, stream: DataFrame, key: list[str], event_time: str, late: str = "1 day") -> DataFrame:
-    """Runs the keep-first stream into a fresh table of the shared folder and reads it back."""
+def ingest(spark: SparkSession, stream: DataFrame, key: list[str], order: list) -> DataFrame:
+    """Runs the append job into a fresh table of the shared folder and reads it back."""
     folder = scratch_path(spark, "stream")
-    run_to_parquet(keep_first_stream(stream, key, event_time, late), f"{folder}/out", f"{folder}/checkpoint")
-    return spark.read.parquet(f"{folder}/out")
+    run_append_new(stream, f"{folder}/out", f"{folder}/checkpoint", key, order)
+    return spark.read.parquet(f"{folder}/out").drop("batch", "bucket")

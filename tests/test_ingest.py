@@ -3,6 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from duelbook.operators import ingest
+from duelbook.operators.sides import first_of_key
 from duelbook.streaming import ingest as streaming
 
 NAMES = ["Alpha", "Bravo", "Coda", "Dune", "Echo", "Forge", "Grove"]
@@ -18,9 +19,10 @@ def page(**over):
 
 
 def test_series_records_and_quarantine(spark):
-    rows = [page(), page(link="/nothing"), page(stamp="soon"), page(score="– : –"), page(payouts=["$abc"]), page(draft="none"), page(score="0 : 2", payouts=[])]
+    rows = [page(), page(link="/nothing"), page(stamp="soon"), page(score="– : –"), page(payouts=["$abc"]), page(draft="none"), page(score="0 : 2", payouts=[]),
+            page(b_wins=["1", "x"], b_losses=["0", "1"])]
     good, bad = ingest.good_and_quarantined(ingest.series_records(spark.createDataFrame(rows, STAGED), NAMES))
-    assert sorted(r.problem for r in bad.collect()) == ["bad price", "no date", "no draft", "no id", "no score"]
+    assert sorted(r.problem for r in bad.collect()) == ["bad history", "bad price", "no date", "no draft", "no id", "no score"]
     won, lost = sorted(good.collect(), key=lambda r: -r.a_gamewins)
     assert (won.match_id, won.a, won.b, won.won_a, won.date, won.net_h2h, won.a_past, won.b_past) == (123, 1, 2, True, dt.date(2024, 5, 1), 1, 1, None)
     assert (won.a_ban1, won.a_ban2, won.b_ban1, won.b_ban2, won.a_pick, won.b_pick, won.remaining) == (0, 4, 1, 5, 2, 3, 6)
@@ -34,13 +36,15 @@ def test_upcoming_records(spark):
         base = dict(link="/9/x", stamp="2024-05-03 10:00:00", a_href="/team/1/x", b_href="/team/2/y", score="", h2h=None, a_wins=None, a_losses=None,
                     b_wins=["1"], b_losses=["3"], a_prices=["1.5", "1.7"], b_prices=[], a_text="X", b_text="Y")
         return tuple((base | over).values())
-    df = spark.createDataFrame([row(), row(a_text=" TBD "), row(stamp="2024-05-08 10:00:00"), row(stamp="2024-05-07 23:00:00", link="/10/x")], schema)
-    got = ingest.upcoming_records(df, F.lit("2024-05-01").cast("date"), 7).orderBy("match_id").collect()
+    df = spark.createDataFrame([row(), row(a_text=" TBD "), row(stamp="2024-05-08 10:00:00"), row(stamp="2024-05-07 23:00:00", link="/10/x"), row(link="/x"), row(stamp="?")], schema)
+    good, bad = ingest.good_and_quarantined(ingest.upcoming_records(df, F.lit("2024-05-01").cast("date"), 7))
+    got = good.orderBy("match_id").collect()
     assert [tuple(r) for r in got] == [(9, 1, 2, dt.date(2024, 5, 3), None, 0, -2, 1.7, 1.0), (10, 1, 2, dt.date(2024, 5, 7), None, 0, -2, 1.7, 1.0)]
+    assert sorted(r.problem for r in bad.collect()) == ["no date", "no id"]
 
 
 def test_links_and_append(spark):
-    html = '<a href="/team/17/side">x</a><a href="/55/a-vs-b">y</a><a href="/team/17/side">z</a><a href="/event/3">e</a>'
+    html = '<a href="/team/17/side">x</a><a href="/55/a-vs-b">y</a><a href="/team/17/side">z</a><a href=\'/event/3\'>e</a>'
     links = {r.href: (r.kind, r.team_id, r.match_id, r.team_path) for r in ingest.page_links(spark.createDataFrame([("u", html)], "url string, html string")).collect()}
     assert links == {"/team/17/side": ("team", 17, 17, "/17/side"), "/55/a-vs-b": ("match", None, 55, None), "/event/3": ("event", None, None, None)}
     held = spark.createDataFrame([(1, "old")], "k int, v string")
@@ -53,19 +57,44 @@ def test_links_and_append(spark):
 
 def test_team_rows(spark):
     df = spark.createDataFrame([("/1/one", 0, "One"), ("/1/one", 1, "O"), ("/2/two", 0, "Two"), ("/2/two", 1, "T"), ("/2/two", 2, "77")], "href string, place int, name string")
+    df = df.union(spark.createDataFrame([("/x/y", 0, "Bad"), (None, 0, "None")], df.schema))
+    assert sorted(r.name for r in ingest.bad_team_links(df).collect()) == ["Bad", "None"]
     assert sorted(tuple(r) for r in ingest.team_rows(df).collect()) == [(1, "one", "One", "O", None), (2, "two", "Two", "T", "77")]
 
 
-def test_stream_goes_on_after_a_restart_and_appends_once(spark, tmp_path):
+def test_stream_goes_on_after_a_restart_and_loses_no_late_row(spark, tmp_path):
     src, out, check, table = (str(tmp_path / x) for x in ("src", "out", "check", "table"))
-    rows = [(1, dt.datetime(2024, 1, 1, 1)), (2, dt.datetime(2024, 1, 1, 2)), (1, dt.datetime(2024, 1, 1, 1))]
+    rows = [(1, dt.datetime(2024, 1, 9, 1)), (2, dt.datetime(2024, 1, 9, 2)), (1, dt.datetime(2024, 1, 9, 1))]
     first = spark.createDataFrame(rows, "id long, ts timestamp")
     first.coalesce(1).write.mode("append").parquet(src)
     read = lambda: streaming.landed(spark, src, first.schema, files_per_trigger=1)
     streaming.run_to_parquet(streaming.keep_first_stream(read(), ["id"], "ts"), out, check)
     streaming.run_append_new(read(), table, check + "-t", ["id"], [F.col("ts")])
-    spark.createDataFrame([(2, dt.datetime(2024, 1, 1, 2)), (3, dt.datetime(2024, 1, 1, 3))], first.schema).coalesce(1).write.mode("append").parquet(src)
+    more = [(2, dt.datetime(2024, 1, 9, 2)), (3, dt.datetime(2024, 1, 9, 3)), (4, dt.datetime(2024, 1, 2, 3))]  # the last is a week late
+    spark.createDataFrame(more, first.schema).coalesce(1).write.mode("append").parquet(src)
     streaming.run_to_parquet(streaming.keep_first_stream(read(), ["id"], "ts"), out, check)
     streaming.run_append_new(read(), table, check + "-t", ["id"], [F.col("ts")])
-    for path in (out, table):
-        assert sorted(r.id for r in spark.read.parquet(path).collect()) == [1, 2, 3]
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 2, 3]
+    whole = first_of_key(spark.read.parquet(src), ["id"], [F.col("ts")])
+    assert sorted((r.id, r.ts) for r in spark.read.parquet(table).collect()) == sorted((r.id, r.ts) for r in whole.collect())
+
+
+def test_update_twice(spark):
+    html = lambda day, *ids: f"<p>{day}</p>" + "".join(f'<a href="/{i}/x-vs-y">m</a>' for i in ids)
+    pages = spark.createDataFrame([("u", html("2024/05/02", 121, 123)), ("v", html("2024/04/01", 90)), ("w", html("none", 95))], "url string, html string")
+    links = ingest.dated_links(pages)
+    assert {(r.match_id, r.date) for r in links.collect()} == {(121, dt.date(2024, 5, 2)), (123, dt.date(2024, 5, 2)), (90, dt.date(2024, 4, 1)), (95, None)}
+    staged = spark.createDataFrame([page(link="/123/x-vs-y"), page(link="/121/x-vs-y", draft="none"), page(link="/90/x-vs-y"), page(link="/123/x-vs-y")], STAGED)
+    records = ingest.series_records(staged, NAMES).drop("problem")
+    stored = records.where("match_id = 0")
+    fresh, bad = ingest.update(stored, links, staged, NAMES, "2024-04-20")
+    assert [r.match_id for r in fresh.collect()] == [123] and [(r.match_id, r.problem) for r in bad.collect()] == [(121, "no draft")]
+    again, _ = ingest.update(stored.unionByName(fresh), links, staged, NAMES, "2024-04-20")
+    assert again.isEmpty()
+
+
+def test_unknown_agents_are_a_problem(spark):
+    people = spark.createDataFrame([(1, s, a, 1, 1, 1, 1, 1, 1.0) for s in (1, 2) for a in (0, 1, 2, 3, 99 if s == 2 else 4)],
+                                   "game_id long, side_no int, agent int, fks int, kills int, deaths int, assists int, acs int, rating double")
+    row = ingest.game_records(people, spark.createDataFrame([(1,)], "game_id long"), list(range(5))).first()
+    assert row.a_agents == [0, 1, 2, 3, 4] and row.b_agents == [0, 1, 2, 3] and row.problem == "unknown agent"
