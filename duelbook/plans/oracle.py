@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from duelbook.plans import fixtures as fx
+from duelbook.plans.models import GRID, grid_points
 
 FORM = ["round_wr", "fk_percent", "acs", "kills", "assists", "deaths", "kdr"]
 _SAME = {t: t for t in fx.TABLES}
@@ -378,6 +379,16 @@ def sql() -> dict[str, str]:
     ints = ", ".join(f"cast({f} as int) {f}" for f in DRAFT_FIELDS)
     q["csv_round_trip"] = f"""with {SERIES} select match_id, cast(a as bigint) a, cast(b as bigint) b, won_a, {ints}, {wins}, cast(net_h2h as double) net_h2h,
       cast(a_past as double) a_past, cast(b_past as double) b_past, odds, best_odds, worst_odds, date from series"""
+    fits = "match_id % 19 <> 4 and match_id % 23 <> 5"
+    q["csv_bad_rows"] = f"with {SERIES} select match_id, not ({fits}) bad from series"
+    q["names_file"], q["calendar_file"], q["region_files"] = q["named_sides"], q["pool_flags"], q["regional"]
+    good = f"(won_a or match_id % 2 = 0) and {COMPLETE}"
+    window = f"""stored as (select match_id, date from series where date < date '2000-01-01' and match_id % 3 <> 0 and {good}),
+      wanted as (select * from series where date >= (select cast(max(date) - interval 1 day as date) from stored) and match_id not in (select match_id from stored))"""
+    q["update_series"] = f"""with {SERIES}, {window} select match_id, cast(a as bigint) a, cast(b as bigint) b, date, won_a, cast(remaining as int) remaining
+      from wanted where {good}"""
+    q["update_quarantine"] = f"""with {SERIES}, {window} select match_id, date,
+      case when not (won_a or match_id % 2 = 0) then 'no score' else 'no draft' end problem from wanted where not ({good})"""
     q["season_table"] = f"with {SERIES} select {KEYS} from series where year(date) = 1999"
 
     q["player_totals"] = f"with {PLAYERS}, {totals} select * from totals"
@@ -410,6 +421,34 @@ def sql() -> dict[str, str]:
     q["feature_tables_draft"] = f"""with {SERIES}, {TOUCHED}, {_averages('c.match_id, c.a, c.b, c.date, c.won_a')},
       asked2 as ({_asks('choices', 'arena')}), {_with_fallback('asked2', FORM_SUMS, FORM_FIGURES)}
       {_diff('choices', 'f', 'match_id, a, b, date, won_a, arena, played, avg_win, avg_pick, avg_ban, avg_play', FORM)}"""
+    def held_out(key: str) -> str:
+        return f"cast('0x' || substr(md5({key} || '|42'), 1, 8) as bigint) % 1000 < 200"
+
+    choices = f"{SERIES}, {TOUCHED}, {_averages('c.match_id, c.a, c.b, c.date, c.won_a')}"
+    shared = f"{choices}, shared as (select match_id, a, b, date, won_a from choices group by all having count(*) > 2)"
+    checked = "true chance_in_range, true consistent"
+    id_text, game_text = "cast(match_id as varchar)", "game_id"
+    q["gbt_arena_pick"] = f"""with {choices} select match_id, arena, cast(played as int) label, {checked} from choices
+      where {held_out(f"{id_text} || '|' || cast(arena as varchar)")}"""
+    q["gbt_game_winner"] = f"with {GAMES} select game_id, cast(won_a as int) label, {checked} from games where {held_out(game_text)}"
+    q["gbt_one_arena"] = f"""with {GAMES}, t as (select game_id from games where arena = 3 and {held_out(game_text)})
+      select game_id, 3 arena, false no_model, true chance_in_range from t union all select game_id, 9, true, false from t"""
+    q["gbt_series_winner"] = f"with {shared} select match_id, cast(won_a as int) label, {checked} from shared where {held_out(id_text)}"
+    stated = "true in_range, true bet_as_stated, true outcome_as_stated"
+    bet_window = "date between date '2000-06-01' and date '2001-08-01'"
+    q["gbt_second_tier"] = f"with {SERIES} select match_id, date, won_a, {stated} from series where {bet_window}"
+    points = ", ".join("('" + str(sorted(p.items())).replace("'", "''") + "')" for p in grid_points(GRID, 2))
+    q["gbt_search"] = f"select point, true accuracy_in_range from (values {points}) z(point)"
+    q["classification_report"] = f"""with {GAMES} select cast(won_a as int) label, count(*) support, true precision_in_range, true recall_in_range, true f1_in_range
+      from games where {held_out(game_text)} group by won_a"""
+    q["importances"] = f"select feature, true importance_in_range, cast(1 as double) total from (values {', '.join(f"('{v}_diff')" for v in FORM)}) z(feature)"
+    q["train_backtest"] = f"""with {shared}, {REGIONS}, ex as (select n_nationkey k from nation where n_regionkey = 3)
+      select match_id, date, won_a, {stated} from shared join regions x on x.team_id = a join regions y on y.team_id = b
+      where {bet_window} and x.region = y.region and a not in (select k from ex) and b not in (select k from ex)"""
+    q["upcoming_card"] = f"""with {SERIES}, ex as (select n_nationkey k from nation where n_regionkey = 3)
+      select match_id, date, a, b, x.n_name a_name, y.n_name b_name, {OUT} is null no_chance, true in_range, true bet_as_stated
+      from series join nation x on x.n_nationkey = a join nation y on y.n_nationkey = b
+      where date >= date '2000-10-01' and a < 20 and b < 20 and a not in (select k from ex) and b not in (select k from ex)"""
     q["label_report"] = f"""with {SERIES}, p as (select won_a, pred > 0.5 said from series),
       k as (select c, count(*) filter (won_a = c) support, count(*) filter (said = c) said, count(*) filter (won_a = c and said = c) hit
             from p, (select unnest([false, true]) c) z group by c),

@@ -13,6 +13,7 @@ from duelbook.operators import draft, form, history, ingest, ledger, players, po
 from duelbook.plans import backtest, features, models
 from duelbook.plans import fixtures as fx
 from duelbook.session import cut, scratch_path
+from duelbook.sources import dictionaries
 from duelbook.sources import models as stored_models
 from duelbook.sources import tables
 from duelbook.streaming import ingest as streaming
@@ -22,7 +23,6 @@ REGISTRY: dict[str, Query] = {}
 
 # Windows of the train-and-bet runs over the test tables.
 TRAIN_FROM, TEST_FROM, TEST_TO = "1998-01-01", "2000-06-01", "2001-08-01"
-TREES = {"maxIter": 5, "maxDepth": 3}
 
 
 def query(fn: Query) -> Query:
@@ -478,6 +478,81 @@ def stream_ingest(spark, folder):
     return streaming.ingest(spark, twice, ["event_id"], [F.col("ts")]).select("event_id", "user_id", "event_type", "value")
 
 
+def _pages(series: DataFrame) -> DataFrame:
+    """Result pages of a day, with links to its matches."""
+    links = F.array_join(F.transform(F.array_sort(F.collect_set("link")), lambda h: F.concat(F.lit('<a href="'), h, F.lit('">x</a>'))), "")
+    return series.groupBy("date").agg(F.concat(F.lit("<p>"), F.date_format("date", "yyyy/MM/dd"), F.lit("</p>"), links).alias("html"))
+
+
+def _update(spark, folder):
+    staged = fx.staged(spark, folder)
+    records, _ = ingest.good_and_quarantined(ingest.series_records(staged, fx.ARENA_NAMES))
+    stored = records.filter((F.col("date") < UPDATE_FROM) & (F.col("match_id") % 3 != 0))
+    return ingest.update(stored, ingest.dated_links(_pages(staged.select("date", "link"))), staged, fx.ARENA_NAMES, "1990-01-01")
+
+
+UPDATE_FROM = "2000-01-01"
+
+
+@query
+def update_series(spark, folder):
+    """What one update appends to a table that ends on a day and misses some of its matches."""
+    return _update(spark, folder)[0].select("match_id", "a", "b", "date", "won_a", "remaining")
+
+
+@query
+def update_quarantine(spark, folder):
+    return _update(spark, folder)[1].select("match_id", "date", "problem")
+
+
+@query
+def csv_bad_rows(spark, folder):
+    """Series written as CSV with a leading index, columns in reverse order and some broken texts, read back by name."""
+    path = scratch_path(spark, "bad-csv")
+    rows = fx.series(spark, folder).withColumns({"a_gamewins": F.lit(2), "b_gamewins": F.lit(0)}).drop("pred")
+    wanted = [tables.schemas.library_name(f.name) for f in tables.schemas.SERIES_FILE.fields]
+    text = rows.select(*[F.col(c).cast("string").alias(c) for c in wanted]).withColumns({
+        "date": F.when(F.col("match_id").cast("long") % 19 == 4, F.lit("soon")).otherwise(F.col("date")),
+        "a_past": F.when(F.col("match_id").cast("long") % 23 == 5, F.lit("many")).otherwise(F.col("a_past"))})
+    tables.to_file(text.select(F.lit("0").alias("index"), *reversed(wanted))).write.option("header", True).csv(path)
+    raw = tables.read_csv(spark, path, tables.schemas.SERIES_FILE)
+    good = tables.good_rows(raw).select("match_id", F.lit(False).alias("bad"))
+    return good.unionByName(tables.bad_rows(raw).select(
+        F.element_at(F.split(tables.BAD, ","), -1).cast("long").alias("match_id"), F.lit(True).alias("bad")))
+
+
+@query
+def names_file(spark, folder):
+    """The nations' names written as an ordered list, read back as a dictionary and looked up."""
+    path = scratch_path(spark, "names")
+    names = fx.teams(spark, folder).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("team_id", "name"))), lambda s: s["name"]), "\n").alias("value"))
+    names.coalesce(1).write.text(path)
+    read = dictionaries.read_names(spark, path).select(F.col("id").cast("long").alias("team_id"), "name")
+    return sides.with_names(fx.series(spark, folder).select("match_id", "a", "b"), read).select("match_id", "a", "b", "a_name", "b_name")
+
+
+@query
+def calendar_file(spark, folder):
+    """The pool calendar written as lines, read back and used."""
+    path = scratch_path(spark, "calendar")
+    lines = [(f"{until};{','.join(map(str, out))}",) for until, out in fx.CALENDAR]
+    spark.createDataFrame(lines, "value string").write.text(path)
+    calendar = pool.calendar_entries(dictionaries.read_calendar(spark, path))
+    return pool.with_pool_flags(fx.series(spark, folder).select("match_id", "date"), calendar, fx.ARENAS)
+
+
+@query
+def region_files(spark, folder):
+    """One file for each region, read back with the region from the file name, used to find regional series."""
+    path = scratch_path(spark, "regions")
+    teams = fx.regions(spark, folder).join(fx.teams(spark, folder), "team_id").select(
+        F.col("team_id").alias("id"), F.lower("name").alias("linkname"), F.col("name").alias("fullname"), F.upper(F.substring("name", 1, 3)).alias("abbrev"), "region")
+    for k in range(5):  # one writer for each of the five regions of the configuration
+        teams.filter(F.col("region") == f"region_{k}").drop("region").coalesce(1).write.option("header", True).csv(f"{path}/region_{k}.csv")
+    read = tables.read_regions(spark, path)
+    return sides.regional(fx.series(spark, folder).select(fx.series_columns()), read)
+
+
 @query
 def csv_round_trip(spark, folder):
     """Series written as headered CSV and read back under the explicit schema."""
@@ -564,55 +639,100 @@ def _game_rows(spark, folder) -> DataFrame:
 
 
 def _series_rows(spark, folder) -> DataFrame:
-    series = features.rated_series(fx.series(spark, folder), _quarter())
-    return cut(series.withColumn("winshare", F.col("pred")))
+    """Series with the winshare that the arena-pick and game-winner models, learned from all series and games, give."""
+    series, games = fx.series(spark, folder), fx.games(spark, folder)
+    choices = cut(features.choice_features(features.rated_series(series, _quarter()), games, fx.ARENAS, fx.CALENDAR, plain=series))
+    pick, game = models.train_arena_pick(choices), models.train_game_winner(_game_rows(spark, folder))
+    return cut(models.series_scores(choices, pick, game).filter(F.col("winshare").isNotNull()))
+
 
+def _in_range(name: str):
+    return F.coalesce(F.col(name).between(0, 1), F.lit(False)).alias(f"{name}_in_range")
 
-def _fit_and_score(rows: DataFrame, key: str, names: list[str], label: str) -> DataFrame:
+
+def _fit_and_score(rows: DataFrame, key: list[str], names: list[str], label: str) -> DataFrame:
     """Fit on the split's training part, save, load, and score the held-out part."""
-    train, test = models.split(rows, [key, *(["arena"] if "played" in rows.columns else [])])
+    train, test = models.split(rows, key)
     path = scratch_path(rows.sparkSession, "model")
-    stored_models.save_model(models.train(train, names, label, **TREES), path)
-    return models.predicted(stored_models.load_model(path), test, names, label, key)
+    stored_models.save_model(models.train(train, names, label), path)
+    return models.predicted(stored_models.load_model(path), test, names, label, *key)
+
+
+def _checked(scored: DataFrame, *key: str) -> DataFrame:
+    """Held-out keys and labels, and whether chance and prediction fit each other: what a statement without the model can say."""
+    return scored.select(*key, F.col("label").cast("int").alias("label"), _in_range("chance"),
+                         ((F.col("chance") > 0.5) == (F.col("prediction") == 1)).alias("consistent"))
 
 
 @query
 def gbt_arena_pick(spark, folder):
     series, games = fx.series(spark, folder), fx.games(spark, folder)
     rows = cut(draft.draft_choices(series, games, fx.ARENAS, fx.CALENDAR, ["match_id", "a", "b", "date"]))
-    return _fit_and_score(rows, "match_id", models.AVERAGES, "played")
+    key = ["match_id", "arena"]
+    return _checked(_fit_and_score(rows, key, models.AVERAGES, "played"), *key)
 
 
 @query
 def gbt_game_winner(spark, folder):
-    return _fit_and_score(_game_rows(spark, folder), "game_id", features.DIFFS, "won_a")
+    return _checked(_fit_and_score(_game_rows(spark, folder), ["game_id"], features.DIFFS, "won_a"), "game_id")
+
+
+@query
+def gbt_one_arena(spark, folder):
+    """The game-winner model of arena 3, and none for an arena that was never played."""
+    rows = _game_rows(spark, folder)
+    train, test = models.split(rows, ["game_id"])
+    found = [(arena, models.train_game_winner(train, arena)) for arena in (3, 9)]
+    scored = [
+        models.score(model, test.filter(F.col("arena") == 3), features.DIFFS, "chance").select(
+            "game_id", F.lit(arena).alias("arena"), F.col("chance").isNull().alias("no_model"), _in_range("chance"))
+        for arena, model in found
+    ]
+    return tables.append_all(*scored)
 
 
 @query
 def gbt_series_winner(spark, folder):
-    return _fit_and_score(_series_rows(spark, folder), "match_id", models.SERIES_FEATURES, "won_a")
+    return _checked(_fit_and_score(_series_rows(spark, folder), ["match_id"], models.SERIES_FEATURES, "won_a"), "match_id")
 
 
 @query
 def gbt_second_tier(spark, folder):
-    return backtest.second_tier(
-        fx.series(spark, folder), fx.games(spark, folder), TRAIN_FROM, TEST_FROM, TEST_TO, **TREES
-    )[1]
+    """Scores of the bet window, and whether the ledger's row is the bet that the score asks for."""
+    scored, placed = backtest.second_tier(fx.series(spark, folder), fx.games(spark, folder), TRAIN_FROM, TEST_FROM, TEST_TO)
+    return _with_ledger(scored, placed, "win_chance", "odds", "odds")
+
+
+def _with_ledger(scored: DataFrame, placed: DataFrame, chance: str, price_a: str, price_b: str) -> DataFrame:
+    """Bets stated again from the stored chances: same rows, and the same outcome on each."""
+    c, pa, pb = F.col(chance), F.col(price_a), F.col(price_b)
+    side = F.when((c > pa) & (pa > 0.1), F.lit(True)).when((c < pb) & (pb < 0.9), F.lit(False))
+    rows = placed.select("match_id", F.col("correct").alias("_correct"), F.lit(True).alias("_placed"))
+    return scored.join(rows, "match_id", "left").select(
+        "match_id", "date", F.col("won_a"), F.coalesce(c.between(0, 1), F.lit(False)).alias("in_range"),
+        (side.isNotNull() == F.col("_placed").isNotNull()).alias("bet_as_stated"),
+        F.coalesce(F.col("_correct") == (side == F.col("won_a")), F.lit(True)).alias("outcome_as_stated"),
+    )
+
+
+#: Points of the search space that the registered query tries; the whole of it is ``points=None``.
+SEARCHED = 2
 
 
 @query
 def gbt_search(spark, folder):
-    """Held-out accuracy of a sample of the search space for the series model."""
-    grid = models.GRID | {"maxIter": [3, 5]}
-    train, _ = models.split(_series_rows(spark, folder), ["match_id"])
-    _, results = models.search(train, models.SERIES_FEATURES, "won_a", ["match_id"], grid, points=2, folds=2)
-    rows = [(str(sorted(point.items())), float(value)) for point, value in results]
-    return spark.createDataFrame(rows, "point string, accuracy double")
+    """Cross-validated accuracy of a seeded sample of the search space for the second-tier model."""
+    rows = cut(features.second_tier_features(fx.series(spark, folder), fx.games(spark, folder)))
+    train, _ = models.split(rows, ["match_id"])
+    _, results = models.search(train, features.DIFFS, "won_a", ["match_id"], points=SEARCHED, folds=2)
+    found = [(str(sorted(point.items())), float(value)) for point, value in results]
+    return spark.createDataFrame(found, "point string, accuracy double").select("point", _in_range("accuracy"))
 
 
 @query
 def classification_report(spark, folder):
-    return models.report(_fit_and_score(_game_rows(spark, folder), "game_id", features.DIFFS, "won_a"))
+    scored = _fit_and_score(_game_rows(spark, folder), ["game_id"], features.DIFFS, "won_a")
+    return models.report(scored).select("label", "support", *[_in_range(c) for c in ("precision", "recall", "f1")])
 
 
 @query
@@ -627,31 +747,38 @@ def label_report(spark, folder):
 @query
 def importances(spark, folder):
     rows = _game_rows(spark, folder)
-    return models.importances(models.train_game_winner(rows, **TREES), features.DIFFS, rows)
+    found = models.importances(models.train_game_winner(rows), features.DIFFS, rows)
+    total = found.agg(F.round(F.sum("importance"), 6).alias("total"))
+    return found.crossJoin(total).select("feature", _in_range("importance"), "total")  # seven rows beside one
 
 
 @query
 def train_backtest(spark, folder):
-    return _backtest(spark, folder).best_worst
+    run = backtest.train_and_test(
+        fx.series(spark, folder), fx.games(spark, folder), fx.regions(spark, folder), fx.excluded(spark, folder),
+        fx.ARENAS, fx.CALENDAR, TRAIN_FROM, TEST_FROM, TEST_TO, period=_quarter())
+    return _with_ledger(run.predictions, run.best_worst, "pred", "worst_odds", "best_odds")
 
 
-def _backtest(spark, folder) -> backtest.Backtest:
-    return backtest.train_and_test(
-        fx.series(spark, folder), fx.games(spark, folder), fx.regions(spark, folder), fx.excluded(spark, folder),
-        fx.ARENAS, fx.CALENDAR, TRAIN_FROM, TEST_FROM, TEST_TO, period=_quarter(), **TREES
-    )
+CARD_FROM = "2000-10-01"
 
 
 @query
 def upcoming_card(spark, folder):
     """Models trained before the card's first day score every later series as if it were upcoming."""
     series, games = fx.series(spark, folder), fx.games(spark, folder)
-    past, later = series.filter(F.col("date") < "2000-10-01"), series.filter(F.col("date") >= "2000-10-01")
-    earlier_games = games.filter(F.col("date") < "2000-10-01")
+    past, later = series.filter(F.col("date") < CARD_FROM), series.filter(F.col("date") >= CARD_FROM)
+    earlier_games = games.filter(F.col("date") < CARD_FROM)
     choices = cut(features.choice_features(features.rated_series(past, _quarter()), earlier_games, fx.ARENAS, fx.CALENDAR, plain=past))
-    trained, _ = backtest.train_models(choices, cut(features.game_features(earlier_games)), TRAIN_FROM, "2000-10-01", **TREES)
+    trained, _ = backtest.train_models(choices, cut(features.game_features(earlier_games)), TRAIN_FROM, CARD_FROM)
     card = later.withColumns({"a_odds": 1.0 / F.col("best_odds"), "b_odds": 1.0 / (1.0 - F.col("worst_odds"))})
-    return backtest.upcoming_card(
+    rows = backtest.upcoming_card(
         card, past, earlier_games, trained, fx.teams(spark, folder), fx.ARENAS, fx.CALENDAR,
         known=fx.first_tier(spark, folder), excluded=fx.excluded(spark, folder), period=_quarter(),
     )
+    p = F.col("pred")
+    bet = prices.pick_bet(prices.expected_value(p, F.col("a_odds")), prices.expected_value(1.0 - p, F.col("b_odds")))
+    return rows.select(
+        "match_id", "date", "a", "b", "a_name", "b_name", p.isNull().alias("no_chance"), F.coalesce(p.between(0, 1), F.lit(True)).alias("in_range"),
+        bet.eqNullSafe(F.col("bet")).alias("bet_as_stated"),
+    )

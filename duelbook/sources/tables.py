@@ -99,9 +99,10 @@ def read_teams(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_regions(spark: SparkSession, folder: str) -> DataFrame:
-    """Teams of every ``<region>.csv`` in the folder, as one table with the region from the file name."""
-    files = read_text_csv(spark, f"{folder.rstrip('/')}/*.csv").select("*", "_metadata.file_name")
-    region = F.regexp_extract("file_name", r"([^/]+)\.csv$", 1)
+    """Teams of every ``<region>.csv`` (a file, or a folder of files) in the folder, as one table with the region from that name."""
+    files = read_text_csv(spark, f"{folder.rstrip('/')}/*.csv").select("*", F.col("_metadata.file_path").alias("file_name"))
+    # a region is one file, or one folder of files as Spark writes them
+    region = F.regexp_extract("file_name", r"([^/]+)\.csv(?:/[^/]*)?$", 1)
     return good_rows(typed(files, schemas.TEAMS_FILE, "file_name")).select(
         F.col("id").alias("team_id"), "linkname", F.col("fullname").alias("name"), "abbrev", "secondary_id", region.alias("region")
     )
