@@ -12,6 +12,8 @@ from duelbook.operators.history import (
     attach_both,
     differences,
     last_of_day,
+    side_differences,
+    states_before_own_days,
     sums_before,
     sums_before_own_days,
     sums_of_trailing_months,
@@ -126,11 +128,11 @@ def arena_form(
         # are read from the one cut table.
         sides = last_of_day(sides, key, n, TIE)
     if asks is None:
-        here = sums_before_own_days(sides, key, own, n, TIE, is_cut=True)
-        anywhere = sums_before_own_days(sides, wide_key, own, n, TIE)
-    else:
-        here = sums_before(sides, asks, key, own, n, TIE, is_cut=True)
-        anywhere = sums_before(sides, asks.select("side", "date").distinct(), wide_key, own, n, TIE)
+        states = states_before_own_days(sides, names, n, TIE)
+        chosen = F.when(F.col("here.n") > 0, F.col("here")).otherwise(F.col("anywhere")).alias("state")
+        return _profile(states.select(*key, "date", chosen).select(*key, "date", "state.*"), key, figures)
+    here = sums_before(sides, asks, key, own, n, TIE, is_cut=True)
+    anywhere = sums_before(sides, asks.select("side", "date").distinct(), wide_key, own, n, TIE)
     spare = anywhere.select("side", "date", *[F.col(m).alias(f"_any_{m}") for m in names])
     merged = here.join(spare, ["side", "date"], "left").select(
         *key, "date",
@@ -149,8 +151,7 @@ def form_difference(contests: DataFrame, form: DataFrame, carried: list[str], va
     """Side a's figures minus side b's, by (side, arena, date) or (side, date)."""
     values = values or FORM
     more = ["arena"] if "arena" in form.columns else []
-    slim = contests.select(*carried)
-    return differences(attach_both(slim, form, values, *more), values, carried)
+    return side_differences(contests, form, values, carried, *more)
 
 
 def _win_sums(perspective: str) -> Measures:

@@ -157,5 +157,43 @@ def attach_both(contests: DataFrame, state: DataFrame, values: list[str], *more:
     return contests.withColumns({f"{s}_{v}": F.coalesce(F.col(f"{s}_{v}"), F.lit(0.0)) for s in "ab" for v in values})
 
 
+def states_before_own_days(sides: DataFrame, names: list[str], n: int, tie: list[str], day: str = "date") -> DataFrame:
+    """One row per (side, arena, day) of the history itself, with two states before that day: sums over the side's last n rows
+    on the arena, and over its last n rows on any arena (structs ``here`` and ``anywhere``, null without rows).
+
+    ``sides`` is cut by ``last_of_day`` for (side, arena), so a side has at most n rows for each arena and day. It is dealt out by
+    side once, which serves the windows of both states.
+    """
+    dealt = sides.repartition("side")
+    first_row = Window.partitionBy("side", day).orderBy(*tie).rowsBetween(Window.unboundedPreceding, 0)
+
+    def before(rows: DataFrame, out: str, *key: str) -> DataFrame:
+        order = Window.partitionBy(*key).orderBy(day, *tie)
+        earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+        run = rows.withColumns({f"_t_{m}": F.coalesce(F.sum(m).over(earlier), F.lit(0)) for m in names} | {f"_{out}_prev": F.lag(day).over(order)})
+        last = [(F.col(f"_t_{m}") - F.coalesce(F.lag(f"_t_{m}", n).over(order), F.lit(0)) if n else F.col(f"_t_{m}")).alias(m) for m in names]
+        return run.withColumn(out, F.struct(*last)).drop(*[f"_t_{m}" for m in names])
+
+    anywhere = before(dealt, "anywhere", "side")
+    # the state before a side's first row of a day holds for all its rows of the day
+    anywhere = anywhere.withColumn("anywhere", F.first("anywhere").over(first_row))
+    both = before(anywhere, "here", "side", "arena")
+    opening = F.col("_here_prev").isNull() | (F.col("_here_prev") != F.col(day))
+    return both.filter(opening).select("side", "arena", day, "here", "anywhere")
+
+
+def side_differences(contests: DataFrame, state: DataFrame, values: list[str], carried: list[str], *more: str, day: str = "date") -> DataFrame:
+    """Side a's values minus side b's from a table keyed (side, *more, day); missing keys count as 0.
+
+    The contests, unique by their carried columns, become one row for each side, which is joined once and summed with its sign.
+    """
+    each = contests.select(*carried, F.explode(F.array(
+        F.struct(F.col("a").alias("side"), F.lit(1.0).alias("sign")), F.struct(F.col("b").alias("side"), F.lit(-1.0).alias("sign")))).alias("_s"))
+    rows = each.select(*carried, F.col("_s.side").alias("side"), F.col("_s.sign").alias("_sign"))
+    joined = rows.join(state.select("side", *more, day, *[F.col(v).alias(f"_v_{v}") for v in values]), ["side", *more, day], "left")
+    sums = [F.sum(F.col("_sign") * F.coalesce(F.col(f"_v_{v}"), F.lit(0.0))).alias(f"{v}_diff") for v in values]
+    return joined.groupBy(*carried).agg(*sums).select(*carried, *[f"{v}_diff" for v in values])
+
+
 def differences(contests: DataFrame, values: list[str], carried: list[str]) -> DataFrame:
     return contests.select(*carried, *[(F.col(f"a_{v}") - F.col(f"b_{v}")).alias(f"{v}_diff") for v in values])

@@ -9,6 +9,7 @@ from duelbook.functions import prices, text
 from duelbook.functions.draft_text import FIELDS, with_draft
 from duelbook.operators.players import player_totals
 from duelbook.operators.sides import decided, first_of_key
+from duelbook.session import cut
 
 
 def page_links(pages: DataFrame) -> DataFrame:
@@ -64,7 +65,7 @@ def update(stored: DataFrame, links: DataFrame, staged: DataFrame, arenas: list[
     start = high_water_mark(stored, full_from=full_from).scalar()
     wanted = links_since(links, start).join(stored.select("match_id").distinct(), "match_id", "left_anti")
     pages = staged.join(wanted.select(F.col("href").alias("link")).distinct(), "link", "left_semi")
-    good, bad = good_and_quarantined(series_records(pages, arenas))
+    good, bad = good_and_quarantined(cut(series_records(pages, arenas)))
     return new_rows(stored, good, ["match_id"], [F.col("date"), F.col("a"), F.col("b")]), bad
 
 

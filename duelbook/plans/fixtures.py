@@ -172,7 +172,9 @@ def staged_text(series_table: str) -> str:
 
 def staged(spark: SparkSession, folder: str) -> DataFrame:
     """Landed page fields of every series: texts and text arrays."""
-    rows = spark.sql(staged_text("{series}"), series=series(spark, folder))
+    # the tables of one file give one task; landed pages come in many
+    contests = series(spark, folder).repartition(spark.sparkContext.defaultParallelism, "match_id")
+    rows = spark.sql(staged_text("{series}"), series=contests)
     m = F.col("match_id")
 
     def texts(*values):

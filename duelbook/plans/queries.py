@@ -487,7 +487,7 @@ def _pages(series: DataFrame) -> DataFrame:
 def _update(spark, folder):
     staged = fx.staged(spark, folder)
     records, _ = ingest.good_and_quarantined(ingest.series_records(staged, fx.ARENA_NAMES))
-    stored = records.filter((F.col("date") < UPDATE_FROM) & (F.col("match_id") % 3 != 0))
+    stored = cut(records.filter((F.col("date") < UPDATE_FROM) & (F.col("match_id") % 3 != 0)))
     return ingest.update(stored, ingest.dated_links(_pages(staged.select("date", "link"))), staged, fx.ARENA_NAMES, "1990-01-01")
 
 

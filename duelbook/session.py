@@ -43,8 +43,24 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+_MADE: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/duelbook/{label}-{uuid.uuid4().hex}"
+    """A path of its own in the shared folder; what is written there is deleted when the driver's process ends."""
+    if not _MADE:
+        atexit.register(_clean)
+    _MADE.append(f"{shared_dir(spark).rstrip('/')}/duelbook/{label}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def _clean() -> None:
+    spark = SparkSession.getActiveSession()
+    for path in _MADE if spark else []:
+        try:
+            remove_path(spark, path)
+        except Exception:  # the session is going down: what is left is the folder owner's to delete
+            return
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
