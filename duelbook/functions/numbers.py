@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,10 +11,6 @@ def ratio(num: Column, den: Column) -> Column:
     return F.when(den != 0, num.cast("double") / den.cast("double")).otherwise(F.lit(0.0))
 
 
-def mean_of(*cols: Column) -> Column:
-    return reduce(lambda x, y: x + y, cols) / F.lit(float(len(cols)))
-
-
 def half_even(col: Column, places: int = 2) -> Column:
     return F.bround(col, places)
 

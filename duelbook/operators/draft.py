@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duelbook.functions.numbers import mean_of, ratio
+from duelbook.functions.numbers import ratio
 from duelbook.operators.form import arena_win_rate
-from duelbook.operators.history import Measures, asks_of, attach_both, last_of_day, sums_before
+from duelbook.operators.history import Measures, asks_of, last_of_day, side_totals, sums_before
 from duelbook.operators.pool import Calendar, pool_on
 from duelbook.operators.sides import pair_key, side_rows
 
@@ -88,10 +88,8 @@ def with_mean_rates(contests: DataFrame, win: DataFrame, draft: DataFrame) -> Da
     """Adds avg_win, avg_pick, avg_ban, avg_play: the mean of the two sides' rates on the arena."""
     key = ["side", "arena", "date"]
     state = win.select(*key, "win_rate").join(draft.select(*key, *RATES), key)
-    both = attach_both(contests, state, ["win_rate", *RATES], "arena")
-    names = {"avg_win": "win_rate", "avg_pick": "pick_rate", "avg_ban": "ban_rate", "avg_play": "play_rate"}
-    means = {out: mean_of(F.col(f"a_{v}"), F.col(f"b_{v}")) for out, v in names.items()}
-    return both.select(*contests.columns, *[c.alias(out) for out, c in means.items()])
+    names = {"win_rate": "avg_win", "pick_rate": "avg_pick", "ban_rate": "avg_ban", "play_rate": "avg_play"}
+    return side_totals(contests, state, names, contests.columns, "arena", weights=(0.5, 0.5))
 
 
 AVERAGES = ["avg_win", "avg_pick", "avg_ban", "avg_play"]

@@ -9,8 +9,6 @@ from duelbook.functions.numbers import ratio
 from duelbook.operators.history import (
     Measures,
     asks_of,
-    attach_both,
-    differences,
     last_of_day,
     side_differences,
     states_before_own_days,
@@ -215,4 +213,4 @@ def win_rate_difference(series: DataFrame, games: DataFrame, arenas: list[int],
     state = sums_before(sides, asks_of(series), ["side"], sums, 0, [])
     rates = state.select("side", "date", *[ratio(F.col(f"w{i}"), F.col(f"g{i}")).alias(f"wr_{i}") for i in arenas])
     names = [f"wr_{i}" for i in arenas]
-    return differences(attach_both(series.select(*carried), rates, names), names, carried)
+    return side_differences(series, rates, names, carried)

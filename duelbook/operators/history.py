@@ -182,18 +182,21 @@ def states_before_own_days(sides: DataFrame, names: list[str], n: int, tie: list
     return both.filter(opening).select("side", "arena", day, "here", "anywhere")
 
 
-def side_differences(contests: DataFrame, state: DataFrame, values: list[str], carried: list[str], *more: str, day: str = "date") -> DataFrame:
-    """Side a's values minus side b's from a table keyed (side, *more, day); missing keys count as 0.
+def side_totals(
+    contests: DataFrame, state: DataFrame, values: dict[str, str], carried: list[str], *more: str, weights: tuple[float, float], day: str = "date"
+) -> DataFrame:
+    """Weighted sums of both sides' values from a table keyed (side, *more, day), as columns named by ``values``; missing keys count as 0.
 
-    The contests, unique by their carried columns, become one row for each side, which is joined once and summed with its sign.
+    The contests, unique by their carried columns, become one row for each side, which is joined once and summed.
     """
-    each = contests.select(*carried, F.explode(F.array(
-        F.struct(F.col("a").alias("side"), F.lit(1.0).alias("sign")), F.struct(F.col("b").alias("side"), F.lit(-1.0).alias("sign")))).alias("_s"))
-    rows = each.select(*carried, F.col("_s.side").alias("side"), F.col("_s.sign").alias("_sign"))
+    each = contests.select(*carried, F.explode(F.array(*[
+        F.struct(F.col(s).alias("side"), F.lit(w).alias("weight")) for s, w in zip("ab", weights)])).alias("_s"))
+    rows = each.select(*carried, F.col("_s.side").alias("side"), F.col("_s.weight").alias("_weight"))
     joined = rows.join(state.select("side", *more, day, *[F.col(v).alias(f"_v_{v}") for v in values]), ["side", *more, day], "left")
-    sums = [F.sum(F.col("_sign") * F.coalesce(F.col(f"_v_{v}"), F.lit(0.0))).alias(f"{v}_diff") for v in values]
-    return joined.groupBy(*carried).agg(*sums).select(*carried, *[f"{v}_diff" for v in values])
+    sums = [F.sum(F.col("_weight") * F.coalesce(F.col(f"_v_{v}"), F.lit(0.0))).alias(out) for v, out in values.items()]
+    return joined.groupBy(*carried).agg(*sums).select(*carried, *values.values())
 
 
-def differences(contests: DataFrame, values: list[str], carried: list[str]) -> DataFrame:
-    return contests.select(*carried, *[(F.col(f"a_{v}") - F.col(f"b_{v}")).alias(f"{v}_diff") for v in values])
+def side_differences(contests: DataFrame, state: DataFrame, values: list[str], carried: list[str], *more: str, day: str = "date") -> DataFrame:
+    """Side a's values minus side b's, as ``<value>_diff``."""
+    return side_totals(contests, state, {v: f"{v}_diff" for v in values}, carried, *more, weights=(1.0, -1.0), day=day)

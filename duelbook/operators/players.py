@@ -75,16 +75,16 @@ def comp_strength(games: DataFrame, months: int | None = 3) -> DataFrame:
     With ``months`` the rates are those of the trailing months before the game; with None the rates
     over all games.
     """
-    lineup = side_rows(games, keep=["game_id", "arena", "date"]).select(
-        "game_id", "side_no", "arena", "date", F.explode("own_agents").alias("agent")
-    )
+    lineup = side_rows(games, keep=["game_id", "arena", "date"]).select("game_id", "side_no", "arena", "date", "own_agents")
     if months is None:
-        rates, key = agent_win_rate(games), ["agent", "arena"]
+        rates, place = agent_win_rate(games), ["arena"]
     else:
-        key = ["agent", "arena", "date"]
-        sums = {"games": "1", "wins": "cast(won as int)"}
-        state = sums_of_trailing_months(agent_rows(games), lineup.select(*key).distinct(), ["agent", "arena"], sums, months)
+        place = ["arena", "date"]
+        asks = lineup.select(*place, F.explode("own_agents").alias("agent")).distinct()
+        state = sums_of_trailing_months(agent_rows(games), asks, ["agent", "arena"], {"games": "1", "wins": "cast(won as int)"}, months)
         rates = state.withColumn("win_rate", ratio(F.col("wins"), F.col("games")))
-    # Sums of the few distinct rates of a lineup, grouped by (game, side).
-    joined = lineup.join(rates.select(*key, "win_rate"), key, "left")
-    return joined.groupBy("game_id", "side_no").agg(F.avg(F.coalesce("win_rate", F.lit(0.0))).alias("comp_wr"))
+    # One map for each place, with at most one entry for each agent of the dictionary; a game is joined once and averaged in place.
+    maps = rates.groupBy(*place).agg(F.map_from_entries(F.collect_list(F.struct("agent", "win_rate"))).alias("rates"))
+    joined = lineup.join(maps, place, "left")
+    total = F.aggregate("own_agents", F.lit(0.0), lambda a, agent: a + F.coalesce(F.try_element_at(F.col("rates"), agent), F.lit(0.0)))
+    return joined.select("game_id", "side_no", F.try_divide(total, F.size("own_agents")).alias("comp_wr"))
