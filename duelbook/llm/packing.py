@@ -16,6 +16,8 @@ sequences. Only the id column of the input is carried.
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -32,6 +34,11 @@ CAPACITY, END = 2048, 1
 REMEMBERED = 250_000
 #: Signs split off a chunk's end after a letter: there the tokenizer always begins a new token.
 STOPS = b".,;:!?"
+#: A word of lower-case Latin letters is one word to the tokenizer too, so it can go to its model as it is.
+PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: The characters that byte-level models have for bytes: printable ones as they are, others from 256 on.
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = {b: b for b in PRINTABLE} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(PRINTABLE)))}
 
 
 class Ids:
@@ -78,7 +85,15 @@ class Ids:
                 plain.update(split[-1][1:])
             else:
                 plain.add(chunk)
-        self.encode([c for c in plain if c not in self.known])
+        unknown = [c for c in plain if c not in self.known]
+        tokenize = self.tokenizer.model.tokenize
+        other = []
+        for chunk in unknown:
+            if PLAIN.fullmatch(chunk):
+                self.known[chunk] = array("I", [t.id for t in tokenize(chunk.decode("latin-1").translate(BYTES))]).tobytes()
+            else:
+                other.append(chunk)
+        self.encode(other)
         for chunk, core, stops in split:
             self.known[chunk] = self.known[core] + self.known[stops]
 
