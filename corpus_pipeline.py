@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from duelbook.llm import decontaminate, language, packing, pii, simhash
 from duelbook.llm.batches import without
-from duelbook.session import scratch_path
+from duelbook.session import remove_path, scratch_path
 
 #: A text whose n-grams are this unlike every learned profile is in none of the languages.
 LEAST_SCORE = 0.2
@@ -62,9 +62,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows. What a stage wrote is deleted when the next one has written; the last input stays."""
+    docs, held = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if held:
+            remove_path(spark, held)
+        docs, held = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
