@@ -32,6 +32,8 @@ TABLE = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c +
 #: Symbols of a shard; three ranks below 2^21 fit one 63-bit sort key.
 SHARD = 1 << 20
 SAMPLE = 8
+#: Benchmark text of one pass over the documents; a task then holds under a million windows.
+BLOCK_BYTES = 4 << 20
 
 SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 FIELDS = [
@@ -288,7 +290,7 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def find_spans(documents: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
-               window: int = WINDOW, block_bytes: int = 32 << 20) -> DataFrame:
+               window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Adds n_words, n_hit, hit_spans (merged, in words, end exclusive) and items (sorted names) to the documents.
 
     Input columns of these names are replaced.
@@ -318,15 +320,17 @@ def find_spans(documents: DataFrame, benchmark: DataFrame, text: str = "text", i
 
 
 def remove_spans(documents: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
-                 window: int = WINDOW, block_bytes: int = 32 << 20) -> DataFrame:
+                 window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents with every occurrence of a window cut out of the text, and ``n_hit``, the words cut.
 
     Cutting goes on until the text has none, as a cut may join the ends of another window. Clean texts stay as they are,
     null texts too.
     """
     out = documents.withColumn("n_hit", F.lit(0).cast("long"))
-    for block in _blocks(benchmark, item, item_text, block_bytes):
+    for k, block in enumerate(_blocks(benchmark, item, item_text, block_bytes)):
         windows = Windows.of([(r["item"], bytes(r["text"])) for r in block.toLocalIterator()], window)
+        if k:  # a task holds the index of one block only
+            out = cut(out)
 
         def start(windows=windows):
             def work(texts):

@@ -19,8 +19,6 @@ n_pii is replaced; columns named _key, _found and _parts are dropped.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,12 +49,12 @@ SYLLABLES = {
 ALPHABETS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшщэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 HAN = "安白川东方高国海和华江金林明南平青山石天文西新阳玉云中"
 
-_CAP = r"\p{Lu}\p{Ll}+(?:[-'’]\p{Lu}\p{Ll}+)*"
+_CAP = r"\p{Lu}\p{Ll}+(?:[-'’]\p{Lu}\p{Ll}+){0,8}"
 _TITLE = "(?:" + "|".join(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES) + r")\.?\x20+"
 _NAMES = "(?:" + "|".join(n for v in GIVEN.values() for n in v) + ")"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = {
-    "email": r"[\p{L}\p{N}_][\p{L}\p{N}._%+-]*+@(?:[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?\.)+\p{L}{2,}",
+    "email": r"[\p{L}\p{N}_][\p{L}\p{N}._%+-]*+@(?:[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?\.){1,127}\p{L}{2,}",
     "ipv4": rf"(?<!\d\.){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)",
     "ipv6": r"(?<!:)(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])|(?<!:)(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,5}(?![0-9A-Fa-f:])",
     "iban": r"[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
