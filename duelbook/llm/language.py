@@ -62,12 +62,19 @@ def most_frequent(codes: np.ndarray, counts: np.ndarray, size: int) -> np.ndarra
 
 
 def sample(rows: DataFrame, text: str, lang: str, train_rows: int) -> DataFrame:
-    """About ``train_rows`` rows of each language, chosen by a hash of the text; all of a smaller language."""
+    """About ``train_rows`` rows of each language, chosen by a hash of the text; all of a smaller language.
+
+    The sizes of the languages, MOST_LANGUAGES numbers at most, become a filter, so texts are chosen where they are read.
+    """
     labelled = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages: the labels are no languages")
+    if not sizes:
+        return labelled.select("lang", "text")
     parts = 1 << 20
-    place = F.pmod(F.xxhash64("text"), F.lit(parts))
-    return labelled.join(sizes, "lang").where(place * F.col("n") < F.lit(parts * train_rows)).select("lang", "text")
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(parts, -(-parts * train_rows // r["n"])))])
+    return labelled.where(F.pmod(F.xxhash64("text"), F.lit(parts)) < F.element_at(share, F.col("lang"))).select("lang", "text")
 
 
 def profiles(rows: DataFrame, text: str = "text", lang: str = "lang", size: int = PROFILE, train_rows: int = TRAIN_ROWS) -> dict[str, list[int]]:
@@ -90,8 +97,6 @@ def profiles(rows: DataFrame, text: str = "text", lang: str = "lang", size: int
     out: dict[str, list[int]] = {}
     for row in top.orderBy("lang", "rank").toLocalIterator():
         out.setdefault(row["lang"], []).append(row["gram"])
-        if len(out) > MOST_LANGUAGES:
-            raise ValueError(f"more than {MOST_LANGUAGES} languages: the labels are no languages")
     return out
 
 
