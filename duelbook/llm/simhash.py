@@ -90,7 +90,9 @@ def links(distinct: DataFrame, bits: str = "bits", radius: int = RADIUS, crowd:
     """Edges (src < dst, by number) among distinct fingerprints, enough to connect all that are within the radius."""
     if radius != RADIUS:
         raise ValueError("cells are laid out for a radius of 2")
-    entered = distinct.select(F.col(bits).alias("x"), F.explode(cells(F.col(bits))).alias("cell"))
+    # a row becomes one for each cell: it is dealt out again first, as few tasks may hold the stored fingerprints
+    spread = distinct.select(bits).repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), bits)
+    entered = spread.select(F.col(bits).alias("x"), F.explode(cells(F.col(bits))).alias("cell"))
     sizes = entered.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     placed = cut(entered.join(sizes, "cell"))
     left = placed.where(F.col("n") <= crowd).select("cell", "x")
