@@ -80,11 +80,12 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, vector: str = "embed
     for radius in range(cuts.width + 1):
         frontier, open_ = cut(frontier), cut(open_)
         lookups = frontier.join(index, ["segment", "value"])
-        near = F.filter("held", lambda c: F.coalesce(cuts.distance(F.col("q"), c["code"]) <= F.col("far"), F.lit(True))
-                        & ~cuts.met_earlier(F.col("q"), c["code"], F.col("segment"), radius))
-        # of a bucket's part, no code beyond the k first by distance and smallest id can be among the k nearest
-        told = F.transform(near, lambda c: F.struct(cuts.distance(F.col("q"), c["code"]).alias("distance"), c["ids"][0].alias("first"), c["ids"].alias("ids")))
-        found = lookups.select("q", F.explode(F.slice(F.array_sort(told), 1, k)).alias("c")).select(
+        told = F.transform("held", lambda c: F.struct(cuts.distance(F.col("q"), c["code"]).alias("distance"), c["ids"][0].alias("first"), c["ids"].alias("ids"), c["code"].alias("code")))
+        near = F.filter(told, lambda c: c["distance"] <= F.col("far")) if radius else told
+        # no code of a bucket's part beyond its k first by distance and smallest id can be among the k nearest, also if some
+        # of those k are counted by another lookup
+        kept = F.filter(F.slice(F.array_sort(near), 1, k), lambda c: ~cuts.met_earlier(F.col("q"), c["code"], F.col("segment"), radius))
+        found = lookups.select("q", F.explode(kept).alias("c")).select(
             "q", F.col("c.distance").cast("long").alias("distance"), F.explode("c.ids").alias("n")).select("q", "distance", F.col("n.id").alias("id"))
         pool = found if best is None else best.unionByName(found)
         rank = F.row_number().over(Window.partitionBy("q").orderBy("distance", "id"))
@@ -94,7 +95,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, vector: str = "embed
         after = open_.select("q", "wanted").join(state, "q", "left").withColumn("covered", F.lit(total * radius) + F.col("wanted"))
         enough = F.coalesce((F.col("n") >= k) & (F.col("reach") < F.col("covered")), F.lit(False))
         missing = F.when(F.col("n") >= k, F.least(F.lit(total), F.col("reach") - total * (radius + 1) + 1)).otherwise(F.lit(total))
-        open_ = cut(after.where(~enough).select("q", F.when(F.col("n") >= k, F.col("reach")).alias("far"), missing.alias("wanted")))
+        open_ = cut(after.where(~enough).select("q", F.when(F.col("n") >= k, F.col("reach")).otherwise(F.lit(words * WORD)).alias("far"), missing.alias("wanted")))
         ended = radius == cuts.width or open_.isEmpty()
         settled = best if ended else best.join(open_, "q", "left_anti")
         done = settled if done is None else done.unionByName(settled)
