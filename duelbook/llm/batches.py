@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructField, StructType
 
 #: Rows of a text column handled at once; a long text is a piece of its own.
-ROWS, BYTES = 2000, 16 << 20
+ROWS, BYTES = 1000, 4 << 20
 
 
 def texts_of(column: pa.Array) -> list[bytes]:
@@ -20,7 +22,8 @@ def texts_of(column: pa.Array) -> list[bytes]:
 
 def pieces(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with at most ROWS rows, and at most about BYTES of text unless one text is longer."""
-    sizes = [len(v) for v in texts_of(batch.column(batch.schema.get_field_index(text)))]
+    lengths = pc.binary_length(batch.column(batch.schema.get_field_index(text)).cast(pa.large_binary()))
+    sizes = pc.fill_null(lengths, 0).to_pylist()
     start, held = 0, 0
     for i, size in enumerate(sizes):
         if i > start and (held + size > BYTES or i - start >= ROWS):
@@ -37,6 +40,14 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select([df[f"`{c}`"] for c in df.columns if c.lower() not in taken])
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a worker process lives on after its task, beside the executor's next ones."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def add_columns(df: DataFrame, text: str, fields: list[StructField], start: Callable[[], Callable[[list[bytes]], list[list]]]) -> DataFrame:
     """Adds ``fields``; ``start()`` runs once in a task and gives a function from texts to one list for each field.
 
@@ -56,5 +67,7 @@ def add_columns(df: DataFrame, text: str, fields: list[StructField], start: Call
                 columns = [piece.column(piece.schema.get_field_index(n)) for n in names]
                 columns += [pa.array(v, kind) for v, kind in zip(found, kinds)]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        del work
+        give_back()
 
     return source.mapInArrow(run, schema)

@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from duelbook.llm.batches import pieces, texts_of
+from duelbook.llm.batches import give_back, pieces, texts_of
 
 CAPACITY, END = 2048, 1
 #: Chunks whose ids a task remembers, twice at most.
-REMEMBERED = 250_000
+REMEMBERED = 120_000
 #: Signs split off a chunk's end after a letter: there the tokenizer always begins a new token.
 STOPS = b".,;:!?"
 #: A word of lower-case Latin letters is one word to the tokenizer too, so it can go to its model as it is.
@@ -222,5 +222,7 @@ def pack(documents: DataFrame, path: str, text: str = "text", doc_id: str = "doc
                         full += drain(levels, last=False)
                 yield rows(full)
         yield rows(drain(levels, last=True))
+        del known, levels
+        give_back()
 
     return source.mapInArrow(run, schema)
