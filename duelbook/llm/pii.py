@@ -10,7 +10,9 @@ and a number of attempt: letters become letters of the same script and case, dig
 again, a name gets a given name of the same gender and script. Equal domains and surnames stay equal.
 
 Collisions are looked up: no two entities of a kind share a surrogate, and none is another entity's real value. Losers try the next
-attempt, until all entities have one. All tables grow with the mentions and are joined by shuffles; texts without mentions
+attempt, until all entities have one. From attempt WIDEN on each attempt draws from a larger space: surnames get further syllables,
+e-mail names more characters, private IPv4 addresses leave their network, IPv6 addresses are written in full, phone numbers (up to 15
+digits) and numbers like 123-45-6789 get longer. Cards and IBANs keep their length, which leaves 10^11 values or more. All tables grow with the mentions and are joined by shuffles; texts without mentions
 are not shuffled.
 
 Null texts stay null, texts without mentions stay as they are. Repeated texts get the same result. An input column named
@@ -26,6 +28,8 @@ from duelbook.llm.batches import without
 from duelbook.session import cut
 
 ATTEMPTS = 64
+#: The attempt from which the spaces of surrogates grow.
+WIDEN = 4
 
 # Titles, given names by script and gender, syllables and letters by script.
 MALE_TITLES = ("Mr", "Herr", "Señor", "Monsieur", "господин", "κύριος")
@@ -148,18 +152,19 @@ def _shaped(text: Column, digest: Column) -> Column:
     return F.array_join(F.transform(_chars(text), other), "")
 
 
-def _surname(word: Column, digest: Column) -> Column:
+def _surname(word: Column, digest: Column, size: int) -> Column:
+    """A surname of so many syllables."""
     made = None
     for script, syllables in SYLLABLES.items():
-        value = F.concat(_pick(syllables, _number(digest, F.lit(0))), _pick(syllables, _number(digest, F.lit(1))), _pick(syllables, _number(digest, F.lit(2))))
+        value = F.concat(*[_pick(syllables, _number(digest, F.lit(k))) for k in range(size)])
         is_it = _script(word) == script
         made = F.when(is_it, value) if made is None else made.when(is_it, value)
     return F.initcap(made)
 
 
-def _name(canon: Column, gender: Column, attempt: Column, key: str) -> Column:
+def _name(canon: Column, gender: Column, attempt: int, key: str) -> Column:
     words = F.split(canon, " ")
-    whole = _digest(key, F.lit("name"), attempt, canon)
+    whole = _digest(key, F.lit("name"), F.lit(attempt), canon)
     known = F.coalesce(gender, F.when(_number(whole, F.lit(9)) % 2 == 0, "m").otherwise("f"))
     given = None
     for (script, g), names in GIVEN.items():
@@ -168,38 +173,47 @@ def _name(canon: Column, gender: Column, attempt: Column, key: str) -> Column:
         given = F.when(is_it, value) if given is None else given.when(is_it, value)
     # a surname alone decides the first attempt, so relatives keep one name
     rest = F.transform(F.when(F.size(words) > 1, F.slice(words, 2, 9)).otherwise(words), lambda w: _surname(
-        w, _digest(key, F.lit("surname"), F.when(attempt == 0, w).otherwise(F.concat(canon, attempt.cast("string"), w)))))
+        w, _digest(key, F.lit("surname"), F.concat(canon, F.lit(str(attempt)), w) if attempt else w), 3 + max(0, attempt - WIDEN + 1)))
     return F.when(F.size(words) > 1, F.concat(given, F.lit(" "), F.array_join(rest, " "))).otherwise(F.array_join(rest, " "))
 
 
-def _surrogate(kind: Column, canon: Column, gender: Column, attempt: Column, key: str) -> Column:
-    digest = _digest(key, kind, attempt, canon)
+def _surrogate(kind: Column, canon: Column, gender: Column, attempt: int, key: str) -> Column:
+    digest = _digest(key, kind, F.lit(attempt), canon)
     shaped = _shaped(canon, digest)
+    wider = max(0, attempt - WIDEN + 1)
     local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
     stem, top = F.regexp_extract(domain, r"^(.*)\.[^.]+$", 1), F.substring_index(domain, ".", -1)
-    longer = F.when(attempt >= 4, F.substring(digest, 200, 6)).otherwise("")
+    longer = F.substring(digest, 200, min(56, 5 + wider)) if wider else F.lit("")
     email = F.concat(_shaped(local, digest), longer, F.lit("@"), _shaped(stem, _digest(key, F.lit("domain"), domain)), F.lit("."), top)
     octets = [(_number(digest, F.lit(k)) % 254 + 1).cast("string") for k in range(4)]
-    ipv4 = (F.when(F.startswith(canon, F.lit("10.")), F.concat_ws(".", F.lit("10"), *octets[1:]))
-            .when(F.startswith(canon, F.lit("192.168.")), F.concat_ws(".", F.lit("192.168"), *octets[2:]))
-            .otherwise(F.concat_ws(".", *octets)))
-    ipv6 = F.array_join(F.transform(_chars(canon), lambda c, i: F.when(c == ":", c).otherwise(F.lower(F.hex(_number(digest, i) % 16)))), "")
+    # a full private network goes over into the next larger one, then into all addresses
+    ten, any_ = F.concat_ws(".", F.lit("10"), *octets[1:]), F.concat_ws(".", *octets)
+    ipv4 = (F.when(F.startswith(canon, F.lit("10.")), any_ if wider > WIDEN else ten)
+            .when(F.startswith(canon, F.lit("192.168.")), any_ if wider > WIDEN else ten if wider else F.concat_ws(".", F.lit("192.168"), *octets[2:]))
+            .otherwise(any_))
+    ipv6 = F.regexp_replace(F.substring(digest, 1, 32), "(.{4})(?=.)", "$1:") if wider else F.array_join(F.transform(_chars(canon), lambda c, i: F.when(c == ":", c).otherwise(F.lower(F.hex(_number(digest, i) % 16)))), "")
     body = F.concat(F.substring(canon, 1, 1), F.substring(shaped, F.lit(2), F.length(canon) - 2))
     card = F.concat(body, ((10 - _luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10).cast("string"))
     country, account = F.substring(canon, 1, 2), F.substring(shaped, 5, 100)
     iban = F.concat(country, F.lpad((98 - _mod97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0"), account)
     phone = F.when(F.startswith(canon, F.lit("+")), F.concat(F.substring(canon, 1, 2), F.substring(shaped, 3, 100))).otherwise(shaped)
+    ssn = shaped
+    if wider:
+        digits = F.translate(F.substring(digest, 200, min(56, wider)), "abcdef", "012345")
+        phone = F.concat(phone, F.substring(digits, F.lit(1), F.greatest(F.lit(0), 15 - F.length(F.regexp_replace(canon, r"\D", "")))))
+        ssn = F.concat(ssn, digits)
     return (F.when(kind == "email", email).when(kind == "ipv4", ipv4).when(kind == "ipv6", ipv6).when(kind == "card", card).when(kind == "iban", iban)
-            .when(kind == "phone", phone).when(kind == "name", _name(canon, gender, attempt, key)).otherwise(shaped))
+            .when(kind == "phone", phone).when(kind == "ssn", ssn).when(kind == "name", _name(canon, gender, attempt, key)).otherwise(shaped))
 
 
 def _written(kind: Column, raw: Column, surrogate: Column) -> Column:
-    """The surrogate in the format of a mention."""
+    """The surrogate in the format of a mention; what is longer than it follows."""
     signs = F.regexp_replace(surrogate, r"\+", "")
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     filled = F.aggregate(_chars(raw), start, lambda a, c: F.when(
         F.regexp_like(c, F.lit("[A-Za-z0-9]")), F.struct(F.concat(a["out"], F.substring(signs, a["at"] + 1, F.lit(1))).alias("out"), (a["at"] + 1).alias("at"))
-    ).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["at"].alias("at"))))["out"]
+    ).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["at"].alias("at"))),
+        lambda a: F.concat(a["out"], F.substring(signs, a["at"] + 1, F.length(signs))))
     title = F.regexp_extract(raw, f"^{_TITLE}", 0)
     shout = F.when(raw == F.upper(raw), F.upper(surrogate)).otherwise(surrogate)
     return F.when(kind.isin("phone", "card", "ssn", "iban"), filled).when(kind == "name", F.concat(title, surrogate)).otherwise(shout)
@@ -223,7 +237,7 @@ def surrogates(found: DataFrame, key: str) -> DataFrame:
     real = entities.select("kind", F.col("canon").alias("lower"))
     pending, settled = entities, None
     for attempt in range(ATTEMPTS):
-        tried = pending.withColumn("surrogate", _surrogate(F.col("kind"), F.col("canon"), F.col("gender"), F.lit(attempt), key)).withColumn("lower", F.lower("surrogate"))
+        tried = pending.withColumn("surrogate", _surrogate(F.col("kind"), F.col("canon"), F.col("gender"), attempt, key)).withColumn("lower", F.lower("surrogate"))
         first = F.row_number().over(Window.partitionBy("kind", "lower").orderBy("canon"))
         tried = cut(tried.withColumn("place", first))
         free = tried.where("place = 1").join(real, ["kind", "lower"], "left_anti")

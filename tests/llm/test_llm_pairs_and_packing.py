@@ -280,3 +280,16 @@ def test_queries_on_empty_and_null_tables(spark, tmp_path):
         expected = {"op4_chat": 2, "op7_hamming_topk": 0}.get(name, 2)
         assert len(fn(spark, f"{tmp_path}/null").collect()) == expected, name
     assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == corpus_pipeline.run(spark, f"{tmp_path}/null").count() == 0
+
+
+def test_surrogates_do_not_run_out(spark):
+    # more one-word names than three syllables give, every address of the form x::y, and a full private network
+    cons, vowels = "bcdfghjklmnprstvwz", "aeiou"
+    names = [f"Mr {a.upper()}{b}{c}{d}q" for a in cons for b in vowels for c in cons for d in cons][:17000]
+    six = [f"{a:x}::{b:x}" for a in range(16) for b in range(16)]
+    four = [f"192.168.{a}.{b}" for a in range(256) for b in range(256)]
+    values = names + six + four
+    docs = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "doc_id int, text string")
+    got = {r.doc_id: (r.text, r.n_pii) for r in pii.pseudonymise(docs, "k").collect()}
+    assert len(got) == len(values) and {n for _, n in got.values()} == {1}
+    assert len({t for t, _ in got.values()}) == len(set(values)) and not {t.lower() for t, _ in got.values()} & {v.lower() for v in values}
