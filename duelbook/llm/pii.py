@@ -4,6 +4,10 @@ Detected: e-mail addresses, phone numbers (international, or with an area code s
 digit), IBANs (likewise), numbers like 123-45-6789, IPv4 and IPv6 addresses, and names: a title or a known given name before
 capitalised words.
 
+What fails its check uses up no text: cards and IBANs are looked for at every place where one may begin, others resume behind that place,
+and of overlapping ones the first stays. IBANs have their country's length, phone numbers 8 to 15 digits; a short number right behind
+a phone number cannot be told from its last digits and counts as them.
+
 An entity is a kind and a canonical value (lower case, or the digits alone), so every way of writing it is one entity and gets
 one surrogate in all documents, written in the format of each mention. The surrogate comes from a hash of the key, the kind, the value
 and a number of attempt: letters become letters of the same script and case, digits digits, check digits are right
@@ -57,17 +61,32 @@ _CAP = r"\p{Lu}\p{Ll}+(?:[-'’]\p{Lu}\p{Ll}+){0,8}"
 _TITLE = "(?:" + "|".join(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES) + r")\.?\x20+"
 _NAMES = "(?:" + "|".join(n for v in GIVEN.values() for n in v) + ")"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+#: Characters after the check digits of an IBAN by country.
+IBAN_SIZES = {
+    11: "NO", 12: "BE", 14: "DK FI FK FO GL NL SD", 15: "MK SI", 16: "AT BA EE KZ LT LU MN XK", 17: "CH CR HR LI LV",
+    18: "BG BH DE GB GE IE ME RS VA", 19: "AE GI IL IQ OM SO TL", 20: "AD CZ ES MD PK RO SA SE SK TN VG", 21: "LY PT ST", 22: "IS TR",
+    23: "BI DJ FR GR IT MC MR SM", 24: "AL AZ BY CY DO GT HN HU LB NI PL SV YE", 25: "BR EG PS QA UA", 26: "JO KW MU", 27: "MT SC", 29: "LC RU",
+}
+_IBAN = "|".join(rf"(?:{codes.replace(' ', '|')})\d{{2}}(?:\x20?[A-Z0-9]{{4}}){{{n // 4}}}" + (rf"\x20?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, codes in IBAN_SIZES.items())
+_OTHER = f"(?!{'|'.join(IBAN_SIZES.values()).replace(' ', '|')})"
+#: No card begins here; one behind a country code and another number has more digits than a phone number.
+_NO_CARD = r"(?![\x20-]\d{4}(?:[\x20-]\d{4}){3}(?!\d)|[\x20-]\d{4}[\x20-]\d{6}[\x20-]\d{5}(?!\d))"
+_DIGIT = r"\d[\x20./()-]{0,3}"
 PATTERNS = {
     "email": r"[\p{L}\p{N}_][\p{L}\p{N}._%+-]*+@(?:[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?\.){1,127}\p{L}{2,}",
     "ipv4": rf"(?<!\d\.){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)",
     "ipv6": r"(?<!:)(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])|(?<!:)(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,5}(?![0-9A-Fa-f:])",
-    "iban": r"[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": rf"(?=[A-Z]{{2}}\d{{2}})(?:{_IBAN}|{_OTHER}[A-Z]{{2}}\d{{2}}(?:\x20?[A-Z0-9]{{4}}){{2,7}}(?:\x20?[A-Z0-9]{{1,3}})?)(?![A-Za-z0-9])",
     "ssn": r"\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"\d{13,19}(?!\d)|\d{4}(?:-\d{4}){2}-\d{1,7}(?!\d)|\d{4}(?:\x20\d{4}){2}\x20\d{1,7}(?!\d)|\d{4}[\x20-]\d{6}[\x20-]\d{5}(?!\d)",
-    "phone": r"\+\d{1,3}(?:[\x20./-]?\(?\d{1,5}\)?){2,5}(?!\d)|\(\d{3}\)[\x20-]?\d{3}[\x20.-]\d{4}(?!\d)|\d{3}[.-]\d{3}[.-]\d{4}(?!\d)",
+    "phone": rf"\+\d{{1,3}}(?:{_NO_CARD}[\x20./-]?\(?\d{{1,5}}\)?){{2,5}}(?!\d)(?<={_DIGIT * 8})(?<!{_DIGIT * 16})|" r"\(\d{3}\)[\x20-]?\d{3}[\x20.-]\d{4}(?!\d)|\d{3}[.-]\d{3}[.-]\d{4}(?!\d)",
     "name": rf"{_TITLE}{_CAP}(?:\x20{_CAP}){{0,2}}|{_NAMES}(?:\x20{_CAP}){{1,2}}",
 }
-PATTERN = r"(?<![\p{L}\p{N}])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
+#: Kinds whose check can fail: matched without using up text, in the first group.
+CHECKED = ("iban", "card")
+PATTERN = r"(?<![\p{L}\p{N}])(?:" + "|".join(
+    [f"(?:{PATTERNS[k]})" for k in ("email", "ipv4", "ipv6")] + [f"(?=({'|'.join(f'(?:{PATTERNS[k]})' for k in CHECKED)}))"]
+    + [f"(?:{PATTERNS[k]})" for k in ("ssn", "phone", "name")]) + ")"
 
 
 def _chars(text: Column) -> Column:
@@ -219,16 +238,45 @@ def _written(kind: Column, raw: Column, surrogate: Column) -> Column:
     return F.when(kind.isin("phone", "card", "ssn", "iban"), filled).when(kind == "name", F.concat(title, surrogate)).otherwise(shout)
 
 
+def _gaps(split: Column, matches: Column) -> Column:
+    """The texts before, between and behind the matches; where an empty match begins the text, ``split`` leaves out the first."""
+    return F.when(F.size(split) > matches, split).otherwise(F.concat(F.array(F.lit("")), split))
+
+
 def mentions(documents: DataFrame, text: str = "text") -> DataFrame:
-    """(_key, place, raw, kind, canon, gender) of every match in the distinct texts; kind is null for what a check rules out.
+    """(_key, place, raw, kind, canon, gender, used, cut, skip) of every match in the distinct texts.
 
-    The key is a hash of the text.
+    The key is a hash of the text. The kind is null for what a check or an earlier match rules out. ``used`` is the text that the pattern
+    used up, ``cut`` and ``skip`` how many code points of it, and of the text up to the next match, earlier and own mentions cover.
     """
-    found = documents.where(F.regexp_like(F.col(text), F.lit(PATTERN))).select(
-        F.sha2(text, 256).alias("_key"), F.posexplode(F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0))).alias("place", "raw"))
-    once = found.groupBy("_key", "place").agg(F.first("raw").alias("raw"))
-    kinds = once.withColumn("kind", _kind(F.col("raw")))
-    return kinds.withColumns({"canon": _canon(F.col("kind"), F.col("raw")), "gender": F.when(F.col("kind") == "name", _gender(F.col("raw")))})
+    hit = documents.where(F.regexp_like(F.col(text), F.lit(PATTERN))).select(F.sha2(text, 256).alias("_key"), F.col(text).alias("x"))
+    used, ahead = (F.regexp_extract_all(F.col("x"), F.lit(PATTERN), F.lit(k)) for k in (0, 1))
+    hit = hit.select("_key", F.split("x", PATTERN, -1).alias("split"), used.alias("used"), ahead.alias("ahead"))
+    lengths = F.transform(_gaps(F.col("split"), F.size("used")), lambda g: F.length(g).cast("long"))
+    rows = hit.select("_key", F.posexplode(F.arrays_zip(lengths.alias("gap"), F.col("used"), F.col("ahead"))).alias("place", "m"))
+    once = rows.where("m.used is not null").groupBy("_key", "place").agg(F.first(F.struct(
+        "m.gap", "m.used", F.coalesce(F.nullif("m.ahead", F.lit("")), F.col("m.used")).alias("raw"))).alias("m"))
+    order = Window.partitionBy("_key").orderBy("place")
+    before, upto = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = once.select("_key", "place", "m.used", "m.raw", "m.gap").withColumn("kind", _kind(F.col("raw"))).withColumn(
+        "behind", F.sum(F.col("gap") + F.length("used")).over(upto)).withColumn("start", F.col("behind") - F.length("used"))
+    placed = placed.withColumn("end", F.when(F.col("kind").isNotNull(), F.col("start") + F.length("raw")))
+    # mentions that overlap, directly or by others, are a group; in it the first stays, and the first behind it, and so on
+    apart = F.coalesce(F.col("start") >= F.max("end").over(before), F.lit(True))
+    grouped = placed.withColumn("apart", apart).withColumn("group", F.sum(F.col("apart").cast("int")).over(upto))
+    start = F.struct(F.lit(0).cast("long").alias("end"), F.array().cast("array<int>").alias("places"))
+    runs = F.sort_array(F.collect_list(F.when(F.col("end").isNotNull(), F.struct("place", "start", "end"))).over(Window.partitionBy("_key", "group")))
+    kept = F.aggregate(F.col("runs"), start, lambda a, m: F.when(m["start"] >= a["end"], F.struct(
+        m["end"].alias("end"), F.concat(a["places"], F.array(m["place"])).alias("places"))).otherwise(a), lambda a: a["places"])
+    chosen = grouped.withColumn("runs", runs).withColumn("stays", F.when(F.size("runs") > 1, F.array_contains(kept, F.col("place"))).otherwise(F.lit(True)))
+    chosen = chosen.withColumn("kind", F.when(F.col("stays"), F.col("kind"))).withColumn("end", F.when(F.col("kind").isNotNull(), F.col("end")))
+    none = F.lit(0).cast("long")
+    told = chosen.withColumns({
+        "cut": F.greatest(none, F.coalesce(F.max("end").over(before) - F.col("start"), none)),
+        "skip": F.greatest(none, F.coalesce(F.max("end").over(upto) - F.col("behind"), none))})
+    return told.select(
+        "_key", "place", "raw", "kind", _canon(F.col("kind"), F.col("raw")).alias("canon"), F.when(F.col("kind") == "name", _gender(F.col("raw"))).alias("gender"),
+        "used", "cut", "skip")
 
 
 def surrogates(found: DataFrame, key: str) -> DataFrame:
@@ -256,10 +304,14 @@ def pseudonymise(documents: DataFrame, key: str, text: str = "text") -> DataFram
     source = without(documents, ["n_pii", "_key", "_found", "_parts"])
     found = cut(mentions(source, text))
     named = found.join(surrogates(found, key), ["kind", "canon"], "left")
-    parts = named.withColumn("new", F.coalesce(_written(F.col("kind"), F.col("raw"), F.col("surrogate")), F.col("raw"))).groupBy("_key").agg(
-        F.sort_array(F.collect_list(F.struct("place", "new"))).alias("_found"), F.count("surrogate").alias("n_pii"))
+    old = F.substring(F.col("used"), F.col("cut").cast("int") + 1, F.length("used"))
+    parts = named.withColumn("new", F.coalesce(_written(F.col("kind"), F.col("raw"), F.col("surrogate")), old)).groupBy("_key").agg(
+        F.sort_array(F.collect_list(F.struct("place", "new", F.col("skip").cast("int").alias("skip")))).alias("_found"), F.count("surrogate").alias("n_pii"))
     has = F.coalesce(F.regexp_like(F.col(text), F.lit(PATTERN)), F.lit(False))
     hit = source.where(has).withColumn("_key", F.sha2(text, 256)).join(parts, "_key")
-    pieces = F.zip_with(F.split(F.col(text), PATTERN, -1), F.transform("_found", lambda s: s["new"]), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    replaced = hit.withColumn(text, F.array_join(pieces, "")).select(*[F.col(f"`{c}`") for c in source.columns], "n_pii")
+    hit = hit.withColumn("_parts", F.split(F.col(text), PATTERN, -1))
+    gaps = _gaps(F.col("_parts"), F.size("_found"))
+    pieces = F.zip_with(F.col("_found"), F.slice(gaps, 2, F.size("_found")), lambda m, gap: F.concat(
+        m["new"], F.when(m["skip"] > 0, F.substring(gap, m["skip"] + 1, F.length(gap))).otherwise(gap)))
+    replaced = hit.withColumn(text, F.concat(F.element_at(gaps, 1), F.array_join(pieces, ""))).select(*[F.col(f"`{c}`") for c in source.columns], "n_pii")
     return source.where(~has).withColumn("n_pii", F.lit(0).cast("long")).unionByName(replaced)

@@ -293,3 +293,19 @@ def test_surrogates_do_not_run_out(spark):
     got = {r.doc_id: (r.text, r.n_pii) for r in pii.pseudonymise(docs, "k").collect()}
     assert len(got) == len(values) and {n for _, n in got.values()} == {1}
     assert len({t for t, _ in got.values()}) == len(set(values)) and not {t.lower() for t, _ in got.values()} & {v.lower() for v in values}
+
+
+def test_failed_checks_use_up_no_text(spark):
+    spain, belgium, card = "ES91 2100 0418 4502 0005 1332", "BE68 5390 0754 7034", "4111 1111 1111 1111"
+    cases = {
+        f"{spain} BIC CAIXESBB": (spain, " BIC CAIXESBB"), f"a {spain.replace(' ', '')} BIC": (spain.replace(" ", ""), " BIC"),
+        f"pay {belgium} EUR 5": (belgium, " EUR 5"), f"ID12 {card}": (card, "ID12 "), f"1234 5678 9012 {card}.": (card, "1234 5678 9012 "),
+        f"{spain} {card} x": (spain, " x"), f"Tel +49 30 123456 {card} y": (card, " y"), "+49 30 12345678 1234 5678 1234 z": ("+49 30 12345678", " z"),
+        "+4930123456789012345 k": ("", "+4930123456789012345 k"), f"DE00 {card} {spain}": (spain, "DE00 "),
+    }
+    docs = spark.createDataFrame(list(enumerate(cases)), "doc_id int, text string")
+    got = {r.doc_id: (r.text, r.n_pii) for r in pii.pseudonymise(docs, "k").collect()}
+    for k, (source, (gone, stays)) in enumerate(cases.items()):
+        text, n = got[k]
+        assert (not gone or gone not in text and n >= 1) and stays in text and len(text) == len(source), (source, text, n)
+    assert got[5][1] == 2 and card not in got[5][0] and got[6][1] == 2 and "30 123456 " not in got[6][0] and got[9][1] == 2 and card not in got[9][0]
