@@ -326,27 +326,59 @@ def remove_spans(documents: DataFrame, benchmark: DataFrame, text: str = "text",
     Cutting goes on until the text has none, as a cut may join the ends of another window. Clean texts stay as they are,
     null texts too.
     """
+    blocks = _blocks(benchmark, item, item_text, block_bytes)
     out = documents.withColumn("n_hit", F.lit(0).cast("long"))
-    for k, block in enumerate(_blocks(benchmark, item, item_text, block_bytes)):
-        windows = Windows.of([(r["item"], bytes(r["text"])) for r in block.toLocalIterator()], window)
-        if k:  # a task holds the index of one block only
-            out = cut(out)
-
-        def start(windows=windows):
-            def work(texts):
-                out, cuts, left = list(texts), [0] * len(texts), list(range(len(texts)))
-                while left:
-                    _, spans, _ = hits([out[i] for i in left], windows)
-                    hit = [(i, s) for i, s in zip(left, spans) if s]
-                    for i, s in hit:
-                        out[i] = without_spans(out[i], s)
-                        cuts[i] += sum(b - a for a, b in s)
-                    left = [i for i, _ in hit]
-                return [[t.decode("utf-8", "replace") if c else None for t, c in zip(out, cuts)], cuts]
-            return work
-
-        fields = [T.StructField("_cut_text", T.StringType()), T.StructField("_cut_words", T.LongType())]
-        out = add_columns(out, text, fields, start).withColumns({
-            text: F.coalesce("_cut_text", F.col(text)), "n_hit": F.col("n_hit") + F.col("_cut_words"),
-        }).drop("_cut_text", "_cut_words")
-    return out
+    return _remove_one(out, blocks[0], text, window) if len(blocks) == 1 else _remove_blocks(out, blocks, text, window)
+
+
+def _windows(block: DataFrame, window: int) -> Windows:
+    return Windows.of([(r["item"], bytes(r["text"])) for r in block.toLocalIterator()], window)
+
+
+def _remove_one(out: DataFrame, block: DataFrame, text: str, window: int) -> DataFrame:
+    """A task that has all windows cuts a text until it is clean."""
+    windows = _windows(block, window)
+
+    def start():
+        def work(texts):
+            out, cuts, left = list(texts), [0] * len(texts), list(range(len(texts)))
+            while left:
+                _, spans, _ = hits([out[i] for i in left], windows)
+                hit = [(i, s) for i, s in zip(left, spans) if s]
+                for i, s in hit:
+                    out[i] = without_spans(out[i], s)
+                    cuts[i] += sum(b - a for a, b in s)
+                left = [i for i, _ in hit]
+            return [[t.decode("utf-8", "replace") if c else None for t, c in zip(out, cuts)], cuts]
+        return work
+
+    fields = [T.StructField("_cut_text", T.StringType()), T.StructField("_cut_words", T.LongType())]
+    return add_columns(out, text, fields, start).withColumns({
+        text: F.coalesce("_cut_text", F.col(text)), "n_hit": F.col("n_hit") + F.col("_cut_words"),
+    }).drop("_cut_text", "_cut_words")
+
+
+def _remove_blocks(left: DataFrame, blocks: list[DataFrame], text: str, window: int) -> DataFrame:
+    """The spans of all blocks are found in the same text and cut at once; texts that were cut are searched again for all blocks."""
+    merged = F.udf(lambda x, y: _merge([(s["start"], s["end"]) for s in [*x, *y]]), T.ArrayType(SPAN))
+    shorter = F.udf(lambda t, spans: without_spans(t.encode("utf-8", "replace"), [(s["start"], s["end"]) for s in spans]).decode("utf-8", "replace"), T.StringType())
+    done = None
+    while True:
+        for k, block in enumerate(blocks):  # a task holds the index of one block only
+            windows = _windows(block, window)
+
+            def start(windows=windows):
+                def work(texts):
+                    return [[[{"start": a, "end": b} for a, b in s] for s in hits(texts, windows)[1]]]
+                return work
+
+            found = add_columns(left, text, [T.StructField("_cut_new", T.ArrayType(SPAN))], start)
+            left = cut(found.withColumn("_cut_spans", merged("_cut_spans", "_cut_new") if k else F.col("_cut_new")).drop("_cut_new"))
+        hit = F.size("_cut_spans") > 0
+        clean = left.where(~hit).drop("_cut_spans")
+        done = clean if done is None else done.unionByName(clean)
+        left = left.where(hit)
+        if left.isEmpty():
+            return done
+        words = F.aggregate("_cut_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+        left = left.withColumns({text: shorter(F.col(text), F.col("_cut_spans")), "n_hit": F.col("n_hit") + words}).drop("_cut_spans")

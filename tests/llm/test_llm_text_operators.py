@@ -164,3 +164,14 @@ def test_token_count_ties():
     # two ways of equal score: the one whose last piece is longest wins, and the count follows it
     counter = token_count.Counter([("▁a", -1.0), ("b", -1.0), ("c", -1.0), ("bc", -2.0), ("▁ab", -2.0)])
     assert counter.text("abc") == 2 and counter.text("ab") == 1
+
+
+def test_removal_does_not_depend_on_blocks(spark):
+    passage = [f"p{i}" for i in range(12)]
+    longer = [f"a{i}" for i in range(8)] + passage + [f"b{i}" for i in range(8)]
+    joined = [f"c{i}" for i in range(10)]
+    bench = spark.createDataFrame([(1, " ".join(passage)), (2, " ".join(longer)), (3, " ".join(joined))], "item_id int, text string")
+    rows = [(1, "x " + " ".join(longer) + " y", "k"), (2, " ".join(joined[:5] + passage + joined[5:]) + " z", "k"), (3, None, "k"), (4, "clean", "k")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, items string")
+    whole, parted = ({r.doc_id: (r.text, r.n_hit, r["items"]) for r in decontaminate.remove_spans(docs, bench, block_bytes=b).collect()} for b in (1 << 20, 16))
+    assert whole == parted and whole[1] == ("x  y", 28, "k") and whole[2][1] == 22 and whole[3] == (None, 0, "k") and whole[4] == ("clean", 0, "k")
