@@ -4,8 +4,8 @@ A profile is the list of the most frequent n-grams (one to three letters, lower-
 of frequency, ties by code. A text gets the language whose profile has the smallest out-of-place distance to its own: the
 sum over its n-grams of how far the two ranks differ, or the profile's length where an n-gram is missing there.
 
-Profiles are learned from a sample of about ``train_rows`` labelled rows of each language, chosen by a hash of their text,
-or from all if there are fewer. Prediction reads whole texts and nothing but the text. The score is 1 - distance / largest
+Profiles are learned from a sample of about ``train_rows`` distinct labelled texts of each language, chosen by their hash,
+or from all if there are fewer; copies count once. Prediction reads whole texts and nothing but the text. The score is 1 - distance / largest
 possible distance, from 0 to 1; of equal distances the first language by name wins.
 
 A null text, or one without letters, is ``und`` with score 0; so is every text if nothing was learned. Rows with a null label
@@ -62,19 +62,21 @@ def most_frequent(codes: np.ndarray, counts: np.ndarray, size: int) -> np.ndarra
 
 
 def sample(rows: DataFrame, text: str, lang: str, train_rows: int) -> DataFrame:
-    """About ``train_rows`` rows of each language, chosen by a hash of the text; all of a smaller language.
+    """About ``train_rows`` distinct texts of each language, chosen by their hash; all of a language with fewer.
 
-    The sizes of the languages, MOST_LANGUAGES numbers at most, become a filter, so texts are chosen where they are read.
+    The numbers of distinct texts, one for each of at most MOST_LANGUAGES languages, become a filter, so texts are chosen where they are
+    read; only hashes and the chosen texts are shuffled.
     """
-    labelled = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    labelled = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang")).withColumn("hash", F.xxhash64("text"))
+    sizes = labelled.groupBy("lang").agg(F.count_distinct("hash").alias("n")).limit(MOST_LANGUAGES + 1).collect()
     if len(sizes) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages: the labels are no languages")
     if not sizes:
         return labelled.select("lang", "text")
     parts = 1 << 20
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(parts, -(-parts * train_rows // r["n"])))])
-    return labelled.where(F.pmod(F.xxhash64("text"), F.lit(parts)) < F.element_at(share, F.col("lang"))).select("lang", "text")
+    chosen = labelled.where(F.pmod("hash", F.lit(parts)) < F.element_at(share, F.col("lang")))
+    return chosen.groupBy("lang", "hash").agg(F.first("text").alias("text")).select("lang", "text")
 
 
 def profiles(rows: DataFrame, text: str = "text", lang: str = "lang", size: int = PROFILE, train_rows: int = TRAIN_ROWS) -> dict[str, list[int]]:

@@ -175,3 +175,11 @@ def test_removal_does_not_depend_on_blocks(spark):
     docs = spark.createDataFrame(rows, "doc_id int, text string, items string")
     whole, parted = ({r.doc_id: (r.text, r.n_hit, r["items"]) for r in decontaminate.remove_spans(docs, bench, block_bytes=b).collect()} for b in (1 << 20, 16))
     assert whole == parted and whole[1] == ("x  y", 28, "k") and whole[2][1] == 22 and whole[3] == (None, 0, "k") and whole[4] == ("clean", 0, "k")
+
+
+def test_language_sample_counts_copies_once(spark):
+    rows = [(f"only text number {k}", "aa") for k in range(3) for _ in range(400)] + [(f"other {k}", "bb") for k in range(300)]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    got = language.sample(docs, "text", "lang", 20).collect()
+    assert sorted(r.text for r in got if r.lang == "aa") == [f"only text number {k}" for k in range(3)]
+    assert 5 < len([r for r in got if r.lang == "bb"]) < 60
