@@ -45,13 +45,17 @@ breadcrumbs comment commentlist comments consent cookie cookies disqus dropdown
 gdpr hidden menu menus modal nav navbar navigation newsletter notice notices notification notifications outbrain
 overlay pager paginate pagination paywall popover popup promo promos promotion recommended related replies respond search share
 sharebar sharing sidebar sidebars signup skip skyscraper social sponsor sponsored sponsors subscribe subscription taboola toolbar topbar tracking widget widgets""".split())
+#: Those of them that mark readers' comments.
+TALK = frozenset("comment commentlist comments disqus replies respond".split())
 #: Words that mark a site's header, but inside an article its own head.
 HEADS = frozenset(("header", "masthead"))
+#: Classes that tell what an element has or has not, not what it is.
+STATE = re.compile(r"(?:has|have|with|without|no|not|is-not)[-_]", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Part:
-    """An open element. ``kind``: None for plain; 'tag', 'site', 'mark' or 'head' for what is left out; void with an article inside."""
+    """An open element. ``kind``: None for plain; 'tag', 'site', 'mark', 'talk', 'role' (or hidden) or 'head' for what is left out; void if not so after all."""
 
     __slots__ = ("tag", "kind", "above", "number", "void", "links", "silent")
 
@@ -65,18 +69,20 @@ def mark_of(attributes: list[tuple[str, str | None]]) -> str | None:
     head = None
     for name, value in attributes:
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return "mark"
+            return "role"
         if not value:
             continue
         if name in ("class", "id"):
-            words = {w.lower() for w in WORDS.findall(value)}
+            words = {w.lower() for x in value.split() if not STATE.match(x) for w in WORDS.findall(x)}
+            if words & TALK:
+                return "talk"
             if words & MARKS:
                 return "mark"
             if words & HEADS:
                 head = "head"
         elif name == "role":
             if value.strip().lower() in ROLES:
-                return "mark"
+                return "role"
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
     return False
@@ -140,7 +146,7 @@ class Lines(HTMLParser):
                 return
             part = self.top
             while part.above is not None:
-                if part.kind in ("mark", "head") and part.tag != "article" or part.tag in ("form", "header", "nav"):
+                if part.kind in ("mark", "role", "talk", "head") and part.tag != "article" or part.tag in ("form", "header", "nav"):
                     part.void = True
                 part = part.above
             self.push(tag, None)
@@ -214,6 +220,35 @@ def content(lines: list[tuple[str, int, Part, bool]]) -> list[bool]:
     return [s >= limit for s in smooth]
 
 
+def overrule(lines: list[tuple[str, int, Part, bool]], chosen: list[bool]) -> None:
+    """A class, id or form does not leave out an element that holds most of the content, or the h1 and a fifth of it.
+
+    If most of the content is left out even so, no class, id or form leaves it out. Comments count only if all content is in them.
+    What is left out for its tag or role, or as links only, is no content here.
+    """
+    total, inside, marked, counted = 0, {}, {}, []
+    for (text, _, part, link), good in zip(lines, chosen):
+        parts = above(part)
+        if not good or link or any(p.kind in ("tag", "role", True) and not p.void or p.kind == "site" and p.tag != "form" for p in parts):
+            continue
+        counted.append((len(text), parts))
+    if any(not any(p.kind == "talk" and not p.void for p in parts) for _, parts in counted):
+        counted = [(n, parts) for n, parts in counted if not any(p.kind == "talk" and not p.void for p in parts)]
+    for n, parts in counted:
+        total += n
+        for p in parts:
+            if p.kind and not p.void:
+                inside[p.number] = inside.get(p.number, 0) + n
+                marked[p.number] = p
+    heads = {p.number for _, _, part, _ in lines if any(x.tag == "h1" for x in above(part)) for p in above(part)}
+    for number, n in inside.items():
+        if 2 * n > total or number in heads and 5 * n > total:
+            marked[number].void = True
+    if 2 * sum(n for n, parts in counted if any(p.kind and not p.void for p in parts)) > total:
+        for p in marked.values():
+            p.void = True
+
+
 def main_text(html: str) -> str:
     parser = Lines()
     parser.feed(html)
@@ -224,6 +259,7 @@ def main_text(html: str) -> str:
     if not lines:
         return ""
     chosen = content(lines)
+    overrule(lines, chosen)
     inside: dict[int, tuple[int, Part]] = {}
     total = 0
     for (text, _, part, _), good in zip(lines, chosen):

@@ -183,3 +183,19 @@ def test_language_sample_counts_copies_once(spark):
     got = language.sample(docs, "text", "lang", 20).collect()
     assert sorted(r.text for r in got if r.lang == "aa") == [f"only text number {k}" for k in range(3)]
     assert 5 < len([r for r in got if r.lang == "bb"]) < 60
+
+
+SENTENCE = "A sentence of the text that goes on. " * 8
+BODY = "".join(f"<p>{k} {SENTENCE}</p>" for k in range(4))
+TEXT = "\n".join(f"{k} {SENTENCE.strip()}" for k in range(4))
+
+
+def test_extract_marks_do_not_take_the_content():
+    for opening, closing in [('<div class="layout has-sidebar">', "</div>"), ('<div class="with-sidebar">', "</div>"), ('<div class="elementor-widget-text-editor">', "</div>"),
+                             ('<div class="share-enabled">', "</div>"), ('<div id="search-result">', "</div>"), ("<form>", "</form>"), ('<article><div class="elementor-widget">', "</div></article>")]:
+        page = f'<body><nav><a href=x>Home</a></nav>{opening}<h1>Head</h1>{BODY}<div class="sidebar"><p>Short aside.</p></div>{closing}<footer>Imprint</footer></body>'
+        assert extract.main_text(page) == "Head\n" + TEXT, opening
+    widgets = "".join(f'<div class="elementor-widget">{p}</p></div>' for p in BODY.split("</p>")[:-1])
+    assert extract.main_text(f"<article>{widgets}</article>") == extract.main_text(f"<body>{widgets}") == TEXT
+    talk = f'<section id="comments">{BODY}{BODY}</section><div hidden>{BODY}{BODY}</div>'
+    assert extract.main_text(f"<body><div><h1>Head</h1>{BODY}</div>{talk}") in (TEXT, "Head\n" + TEXT)
