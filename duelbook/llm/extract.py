@@ -3,9 +3,10 @@
 The standard library's parser streams tags and texts. Each block (paragraph, heading, list item, table row, part between line
 breaks) is a line with its text, its number of tags and the elements it stands in. A line's ratio of characters to tags is
 smoothed over its neighbours with Gaussian weights; lines whose smoothed ratio is above the threshold, the mean less half a
-standard deviation, form the content cluster. The content region is the element that holds it: the ``article`` or ``main`` with
-most content, or without them the smallest element with ``SHARE`` of the content's characters. All lines of the region
-are kept, but for elements that are no article text by their tag, role, class or id (menus, headers, footers, sidebars,
+standard deviation, form the content cluster. The content region is the elements that hold it: all plain ``article`` elements with
+content, or the ``main`` if most of its content is outside of articles, or without them the smallest element with ``SHARE`` of the
+content's characters. All lines of the region, content lines and h1 beside it (in the ``main``, if there is one, with
+the lines from its h1 to the article) are kept, but for elements that are no article text by their tag, role, class or id (menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles, comments); headings in an article's own header stay. Without an ``article`` or
 ``main`` lists of nothing but links go too.
 
@@ -273,11 +274,30 @@ def main_text(html: str) -> str:
         for p in above(part):
             if p.tag in ("article", "main") and not left_out(p, root):
                 named[p.number] = (named.get(p.number, (0, p))[0] + (0 if left_out(part, p) else len(text)), p)
-    articles = [x for x in named.values() if x[1].tag == "article"] or list(named.values())
-    if articles:
-        # the largest by content, of nested ones the outermost
-        _, _, _, region = max((inside.get(p.number, (0, p))[0], size, -p.number, p) for size, p in articles)
-        kept = [text for text, _, part, _ in lines if region in above(part) and not left_out(part, region)]
+    if named:
+        size = {n: (inside.get(n, (0, p))[0], length, -n) for n, (length, p) in named.items()}
+        tops = [p for _, p in named.values() if p.tag == "article" and not any(x.tag == "article" and x.number in named for x in above(p.above))]
+        held = [p for p in tops if size[p.number][0]]
+        mains = [p for _, p in named.values() if p.tag == "main"]
+        main = max(mains, key=lambda p: size[p.number], default=None)
+        if main and size[main.number][0] > 2 * sum(size[p.number][0] for p in held if main in above(p)):
+            # most of its content is outside of articles
+            held = [main] + [p for p in held if main not in above(p)]
+        held = held or [max((p for _, p in named.values()), key=lambda p: size[p.number])]
+        kept, headed = [], False
+        for (text, _, part, link), good in zip(lines, chosen):
+            up = above(part)
+            region = next((p for p in held if p in up), None)
+            if region:
+                headed = False
+                if not left_out(part, region):
+                    kept.append(text)
+            elif main and main in up and not left_out(part, main):
+                # the headline, the lines from it to the article, and other content beside the articles
+                head = any(p.tag == "h1" for p in up)
+                headed = headed or head
+                if head or (good or headed) and not link:
+                    kept.append(text)
         return "\n".join(kept)
     region = root
     if total:
@@ -285,7 +305,10 @@ def main_text(html: str) -> str:
         region = max(enough, key=lambda p: p.number)
         if region.tag in ("p", "li") or region.tag in HEADINGS:
             region = region.above
-    kept = [x for x in lines if region in above(x[2]) and not left_out(x[2], root)]
+    # content beside the region, with the other lines of the element it stands in
+    beside = {x[2].above.number for x, good in zip(lines, chosen) if good and not x[3] and x[2].above and x[2].above not in above(region)}
+    kept = [x for x, good in zip(lines, chosen) if not left_out(x[2], root) and (
+        region in above(x[2]) or good and not x[3] or any(p.tag == "h1" or p.number in beside and not x[3] for p in above(x[2])))]
     for _, _, part, link in kept:
         if not link:
             for p in above(part):

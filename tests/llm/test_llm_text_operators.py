@@ -199,3 +199,13 @@ def test_extract_marks_do_not_take_the_content():
     assert extract.main_text(f"<article>{widgets}</article>") == extract.main_text(f"<body>{widgets}") == TEXT
     talk = f'<section id="comments">{BODY}{BODY}</section><div hidden>{BODY}{BODY}</div>'
     assert extract.main_text(f"<body><div><h1>Head</h1>{BODY}</div>{talk}") in (TEXT, "Head\n" + TEXT)
+
+
+def test_extract_selection_keeps_all_content():
+    one = lambda k, n=1: "".join(f"<p>{k} {SENTENCE}</p>" for _ in range(n))
+    said = lambda k, n=1: [f"{k} {SENTENCE.strip()}"] * n
+    teaser = '<article class="teaser"><p>Read this too, it is short.</p></article>'
+    assert extract.main_text(f"<body><main><h1>Head</h1>{one(1, 4)}{teaser}</main>").split("\n")[:5] == ["Head", *said(1, 4)]
+    assert extract.main_text(f"<main><h1>Head</h1>{one('lead')}<article>{one(2, 4)}</article></main>").split("\n") == ["Head", *said("lead"), *said(2, 4)]
+    assert extract.main_text(f"<body><article>{one(1, 3)}</article><article>{one(2, 2)}</article>").split("\n") == said(1, 3) + said(2, 2)
+    assert extract.main_text(f"<body><h1>Head</h1><div>{one(1, 17)}</div><div>{one(2, 3)}</div>").split("\n") == ["Head", *said(1, 17), *said(2, 3)]
