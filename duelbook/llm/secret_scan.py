@@ -3,9 +3,9 @@
 Strong findings stand alone: ``assign`` (a named secret with a value), ``access`` (an access key id) and ``hex`` (a long hexadecimal
 run). Weak candidates are ``ident`` (a named user or client), ``key`` (a bare 40-character token of mixed case with digits) and
 ``endpoint`` (a service address). They are reported only next to what completes them: within the same scope, the text between two
-blank lines, and at most ``reach`` code points apart (by their starts), an ident needs a secret (assign, hex or key), a key needs an
-identifier (access or ident) or an endpoint, and an endpoint needs a secret. The join is a range frame over the parts of a
-scope, so a part meets those in reach and no pairs are made.
+blank lines, and at most ``reach`` code points between the end of one and the start of the other, an ident needs a secret (assign, hex or key), a key needs an
+identifier (access or ident) or an endpoint, and an endpoint needs a secret. The join is the
+latest end before and the first start behind, by frames over the parts of a scope, so no pairs are made.
 
 Offsets are code points, end exclusive. Matches of a kind are leftmost and do not overlap; those that are too short are dropped
 after matching. Kinds may overlap each other.
@@ -64,10 +64,13 @@ def findings(found: DataFrame, reach: int = REACH) -> DataFrame:
     """(_key, kind, start, end): strong parts, and weak ones with what completes them in their scope."""
     upto = Window.partitionBy("_key").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     scoped = found.withColumn("scope", F.sum(F.when(F.col("kind") == BREAK, 1).otherwise(0)).over(upto)).where(F.col("kind") != BREAK)
-    near = Window.partitionBy("_key", "scope").orderBy("start").rangeBetween(-reach, reach)
+    order = Window.partitionBy("_key", "scope").orderBy("start")
+    upto, on = order.rangeBetween(Window.unboundedPreceding, Window.currentRow), order.rangeBetween(Window.currentRow, Window.unboundedFollowing)
 
     def beside(*kinds):
-        return F.max(F.col("kind").isin(*kinds)).over(near)
+        is_it = F.col("kind").isin(*kinds)
+        ends, starts = F.max(F.when(is_it, F.col("end"))).over(upto), F.min(F.when(is_it, F.col("start"))).over(on)
+        return F.coalesce(F.col("start") - ends <= reach, F.lit(False)) | F.coalesce(starts - F.col("end") <= reach, F.lit(False))
 
     completed = (F.col("kind").isin(*STRONG) | ((F.col("kind") == "ident") & F.col("secret")) | ((F.col("kind") == "endpoint") & F.col("secret"))
                  | ((F.col("kind") == "key") & F.col("other")))

@@ -309,3 +309,11 @@ def test_failed_checks_use_up_no_text(spark):
         text, n = got[k]
         assert (not gone or gone not in text and n >= 1) and stays in text and len(text) == len(source), (source, text, n)
     assert got[5][1] == 2 and card not in got[5][0] and got[6][1] == 2 and "30 123456 " not in got[6][0] and got[9][1] == 2 and card not in got[9][0]
+
+
+def test_secret_parts_are_linked_from_end_to_start(spark):
+    key, address = "aB3" + "x" * 37, "https://db.x/" + "p" * 400
+    docs = spark.createDataFrame([(1, f"{address} {key}"), (2, f"{key} {address} user=bob"), (3, f"{key} {'x' * 301} user=bob")], "doc_id int, text string")
+    got = {r.doc_id: r.spans for r in secret_scan.scan(docs).collect()}
+    n = len(address)
+    assert got == {1: f"endpoint:0:{n},key:{n + 1}:{n + 41}", 2: f"key:0:40,endpoint:41:{n + 41}", 3: ""}
