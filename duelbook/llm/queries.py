@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelbook.llm import chat, decontaminate, extract, hamming_topk, language, packing, pii, secret_scan, simhash, token_count
+from duelbook.llm import chat, decontaminate, extract, hamming_topk, language, manifest, packing, pii, secret_scan, simhash, token_count
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,7 +75,19 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(documents, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_tokens")
 
 
-REGISTRY = {f.__name__: f for f in (op1_decontaminate, op2_simhash, op3_extract, op4_chat, op5_packing, op6_language, op7_hamming_topk, op8_pii, op9_secret_scan, op10_token_count)}
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    text, fields = F.col("text"), [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    untouched = manifest.leaf_digest([*fields, text])
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, manifest.leaf_digest([*fields, lower])).otherwise(untouched)
+    listed = manifest.manifest(documents.select("doc_id", "source", untouched.alias("leaf"), tampered.alias("tampered")))
+    told = listed.select("doc_id", "leaf", "subroot", "root", manifest.proof_digest(F.col("proof")).alias("proof_sha256"),
+                         manifest.folded(F.col("tampered"), F.col("proof")).alias("folded_root"))
+    return told.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+REGISTRY = {f.__name__: f for f in (op1_decontaminate, op2_simhash, op3_extract, op4_chat, op5_packing, op6_language, op7_hamming_topk, op8_pii, op9_secret_scan, op10_token_count, op13_manifest)}
 
 ORACLE_SQL = {
     "op1_decontaminate": r"""
@@ -120,4 +132,42 @@ select conv_id, count(*) n_turns, sha256(string_agg(r||chr(10)||x||chr(10),'' or
   sha256(coalesce(string_agg(x,'' order by p) filter (r='assistant'),'')) loss_sha256,
   cast(sum(upto) filter (r='assistant' or p=n) as bigint) formatted_chars
 from f group by conv_id""",
+    "op13_manifest": """
+with recursive fields as (
+  select doc_id, source, text, concat_ws('', coalesce(octet_length(encode(doc_id::varchar))||':'||doc_id, '-'),
+    coalesce(octet_length(encode(source))||':'||source, '-'), coalesce(octet_length(encode(lang))||':'||lang, '-'),
+    coalesce(octet_length(encode(n_chars::varchar))||':'||n_chars, '-')) head,
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') low,
+    xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(string_split(doc_id::varchar, ''), lambda c: [ascii(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda c, x: case when x >= 0 then xor(c, x) else xor(c >> 1, 3988292384 * (c & 1)) end)) crc from documents),
+digests as (
+  select doc_id, case when source is null then '' else 's'||source end tree, sha256(head||coalesce(octet_length(encode(text))||':'||text, '-')) leaf,
+    sha256(head||coalesce(octet_length(encode(case when crc % 5 = 0 then low else text end))||':'||case when crc % 5 = 0 then low else text end, '-')) changed from fields),
+leaves as (select *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 pos, count(*) over (partition by tree) n from digests),
+up as (
+  select tree, 0 lvl, pos, n, leaf d from leaves
+  union all
+  select tree, lvl + 1, pos // 16, (max(n) + 15) // 16, sha256(string_agg(d, '' order by pos)) from up where n > 1 group by tree, lvl, pos // 16),
+tops as (select tree, d, row_number() over (order by tree) - 1 pos, count(*) over () n from up where n = 1),
+crown as (
+  select 0 lvl, pos, n, d from tops
+  union all
+  select lvl + 1, pos // 16, (max(n) + 15) // 16, sha256(string_agg(d, '' order by pos)) from crown where n > 1 group by lvl, pos // 16),
+runs as (select tree, lvl, pos // 16 run, list(d order by pos) ds from up where n > 1 group by all),
+crown_runs as (select lvl, pos // 16 run, list(d order by pos) ds from crown where n > 1 group by all),
+low_steps as (
+  select l.tree, l.pos, r.lvl, array_to_string(ds[1:(l.pos >> (4*r.lvl)) & 15], '')||'|'||array_to_string(ds[((l.pos >> (4*r.lvl)) & 15) + 2:], '') step
+  from leaves l join runs r on r.tree = l.tree and r.run = l.pos >> (4*r.lvl + 4)),
+high_steps as (
+  select t.tree, r.lvl, array_to_string(ds[1:(t.pos >> (4*r.lvl)) & 15], '')||'|'||array_to_string(ds[((t.pos >> (4*r.lvl)) & 15) + 2:], '') step
+  from tops t join crown_runs r on r.run = t.pos >> (4*r.lvl + 4)),
+lows as (select tree, pos, list(step order by lvl) steps from low_steps group by all),
+highs as (select tree, list(step order by lvl) steps from high_steps group by all),
+proofs as (
+  select l.doc_id, l.leaf, l.changed, t.d subroot, (select d from crown where n = 1) root, list_concat(coalesce(a.steps, []), coalesce(b.steps, [])) steps
+  from leaves l join tops t on t.tree = l.tree left join lows a on a.tree = l.tree and a.pos = l.pos left join highs b on b.tree = l.tree),
+told as (
+  select doc_id, leaf, subroot, root, sha256(replace(array_to_string(steps, ''), '|', '')) proof_sha256,
+    list_reduce(list_concat([changed], steps), lambda d, s: sha256(split_part(s, '|', 1)||d||split_part(s, '|', 2))) folded_root from proofs)
+select *, folded_root = root verified from told""",
 }
