@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelbook.llm import chat, decontaminate, extract, hamming_topk, language, manifest, packing, pii, secret_scan, simhash, token_count
+from duelbook.llm import chat, decontaminate, extract, hamming_topk, language, manifest, packing, pii, runs, secret_scan, simhash, token_count
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +75,30 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(documents, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_tokens")
 
 
+def _repeated(documents: DataFrame) -> DataFrame:
+    """(doc_id, text): every tenth document by checksum has a stretch of its words repeated to the end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    planted = documents.select("doc_id", "text", g.alias("g"), F.when(h % 10 == 0, words).alias("words")).withColumn("n", F.size("words"))
+    planted = planted.withColumn("a", F.when(F.col("n") > 0, F.expr("cast(g % n as int)")))
+    planted = planted.withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    # slices and repeats of whole arrays: no step a word
+    tail = F.expr("slice(flatten(array_repeat(slice(words, a + 1, p), cast(ceil((n - a) / p) as int))), 1, n - a)")
+    text = F.when(F.col("n") > 0, F.array_join(F.concat(F.expr("slice(words, 1, a)"), tail), " ")).otherwise(F.col("text"))
+    return planted.select("doc_id", text.alias("text"))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(_repeated(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    best = F.col("densest")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.expr("1000 * densest.length div densest.period").alias("exponent_milli"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     text, fields = F.col("text"), [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
@@ -87,7 +111,7 @@ def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
-REGISTRY = {f.__name__: f for f in (op1_decontaminate, op2_simhash, op3_extract, op4_chat, op5_packing, op6_language, op7_hamming_topk, op8_pii, op9_secret_scan, op10_token_count, op13_manifest)}
+REGISTRY = {f.__name__: f for f in (op1_decontaminate, op2_simhash, op3_extract, op4_chat, op5_packing, op6_language, op7_hamming_topk, op8_pii, op9_secret_scan, op10_token_count, op12_runs, op13_manifest)}
 
 ORACLE_SQL = {
     "op1_decontaminate": r"""
