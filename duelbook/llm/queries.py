@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelbook.llm import chat, decontaminate, extract, hamming_topk, language, manifest, packing, pii, runs, secret_scan, simhash, token_count
+from duelbook.llm import chat, decontaminate, extract, hamming_topk, language, lsh_search, manifest, packing, pii, runs, secret_scan, simhash, token_count
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +75,11 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(documents, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_tokens")
 
 
+def op11_lsh_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return lsh_search.search(rows, rows.where(F.col("vec_id") % 20 == 0), k=20)
+
+
 def _repeated(documents: DataFrame) -> DataFrame:
     """(doc_id, text): every tenth document by checksum has a stretch of its words repeated to the end."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -111,7 +116,7 @@ def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
-REGISTRY = {f.__name__: f for f in (op1_decontaminate, op2_simhash, op3_extract, op4_chat, op5_packing, op6_language, op7_hamming_topk, op8_pii, op9_secret_scan, op10_token_count, op12_runs, op13_manifest)}
+REGISTRY = {f.__name__: f for f in (op1_decontaminate, op2_simhash, op3_extract, op4_chat, op5_packing, op6_language, op7_hamming_topk, op8_pii, op9_secret_scan, op10_token_count, op11_lsh_search, op12_runs, op13_manifest)}
 
 ORACLE_SQL = {
     "op1_decontaminate": r"""
