@@ -26,6 +26,7 @@ from collections.abc import Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from duelbook.llm.batches import without
 from duelbook.session import cut
@@ -34,7 +35,9 @@ FAN, DEPTH = 16, 2
 SPAN = FAN ** DEPTH
 
 RESULTS = ["subroot", "root", "proof"]
-STEP = "struct<before:string,after:string>"
+STEP = T.StructType([T.StructField("before", T.StringType()), T.StructField("after", T.StringType())])
+TOLD = [T.StructField("tree", T.StringType()), T.StructField("pos", T.LongType()), T.StructField("proof", T.ArrayType(STEP)),
+        T.StructField("subroot", T.StringType()), T.StructField("root", T.StringType())]
 _STEP = pa.list_(pa.struct([("before", pa.string()), ("after", pa.string())]))
 
 
@@ -128,12 +131,11 @@ def _up(nodes: DataFrame) -> DataFrame:
     return rows.groupBy("tree", "span").applyInArrow(run, "tree string, pos long, n long, digest string")
 
 
-def _down(nodes: DataFrame, above: DataFrame, also: dict[str, str] | None = None) -> DataFrame:
+def _down(nodes: DataFrame, above: DataFrame, also: Sequence[str] = ()) -> DataFrame:
     """(tree, pos, proof, subroot, root) of the nodes from the messages (tree, pos, proof, subroot, root) of those a round higher.
 
-    ``also`` names further columns of the nodes to keep, with their types.
+    ``also`` names further columns of the nodes to keep.
     """
-    also = also or {}
 
     def run(table: pa.Table, message: pa.Table) -> pa.Table:
         table = table.sort_by("pos")
@@ -144,7 +146,7 @@ def _down(nodes: DataFrame, above: DataFrame, also: dict[str, str] | None = None
 
     rows = nodes.select("tree", "pos", "digest", *[c for c in also if c != "digest"], _levels(F.col("n")).alias("levels"), F.expr(f"pos div {SPAN}").alias("span"))
     messages = above.select(F.col("tree").alias("t"), F.col("pos").alias("s"), "proof", "subroot", "root")
-    schema = f"tree string, pos long, proof array<{STEP}>, subroot string, root string" + "".join(f", {c} {kind}" for c, kind in also.items())
+    schema = T.StructType(TOLD + [T.StructField(c, nodes.schema[c].dataType) for c in also])
     return rows.groupBy("tree", "span").cogroup(messages.groupBy("t", "s")).applyInArrow(run, schema)
 
 
@@ -166,20 +168,19 @@ def manifest(rows: DataFrame, source: str = "source", key: str = "doc_id", leaf:
     held = rows.select(
         F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), F.col(f"`{leaf}`").alias("digest"), F.col(f"`{key}`").alias("key"),
         F.when(F.col(f"`{source}`").isNull(), "").otherwise(F.concat(F.lit("s"), F.col(f"`{source}`").cast("string"))).alias("tree"))
-    kind = held.schema["row"].dataType.simpleString()
     leaves = placed(held, ["key", "digest"]).drop("key")
     trees = _forest(leaves)
     tops = placed(trees[-1].select(F.col("tree").alias("name"), "digest", F.lit("").alias("tree")), ["name"])
     crown = _forest(tops)
     # the reversed sweep: from the root to the sources' roots, and from those to the leaves
-    told = crown[-1].select("tree", "pos", F.array().cast(f"array<{STEP}>").alias("proof"), F.lit(None).cast("string").alias("subroot"), F.col("digest").alias("root"))
+    told = crown[-1].select("tree", "pos", F.array().cast(T.ArrayType(STEP)).alias("proof"), F.lit(None).cast("string").alias("subroot"), F.col("digest").alias("root"))
     for nodes in crown[-2:0:-1]:
         told = _down(nodes, told)
-    told = _down(tops, told, {"name": "string", "digest": "string"}).select(
+    told = _down(tops, told, ["name", "digest"]).select(
         F.col("name").alias("tree"), F.lit(0).cast("long").alias("pos"), "proof", F.col("digest").alias("subroot"), "root")
     for nodes in trees[-2:0:-1]:
         told = _down(nodes, told)
-    return _down(leaves, told, {"row": kind}).select("row.*", "subroot", "root", "proof")
+    return _down(leaves, told, ["row"]).select("row.*", "subroot", "root", "proof")
 
 
 def folded(leaf: Column, proof: Column) -> Column:

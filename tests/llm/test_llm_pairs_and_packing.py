@@ -245,7 +245,7 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark, tmp_path):
 
 def test_every_operator_is_registered():
     names = sorted(queries.REGISTRY, key=lambda n: int(n[2:].split("_")[0]))
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14))
     assert set(queries.ORACLE_SQL) <= set(names)
 
 
@@ -277,7 +277,7 @@ def test_queries_on_empty_and_null_tables(spark, tmp_path):
     for name, fn in queries.REGISTRY.items():
         assert len(fn(spark, f"{tmp_path}/empty").collect()) == (name == "op4_chat"), name
         # two rows of nulls: each is reported, but for conversations (one) and vectors (no codes)
-        expected = {"op4_chat": 2, "op7_hamming_topk": 0}.get(name, 2)
+        expected = {"op4_chat": 2, "op7_hamming_topk": 0, "op11_lsh_search": 0}.get(name, 2)
         assert len(fn(spark, f"{tmp_path}/null").collect()) == expected, name
     assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == corpus_pipeline.run(spark, f"{tmp_path}/null").count() == 0
 
