@@ -187,14 +187,17 @@ def side_totals(
 ) -> DataFrame:
     """Weighted sums of both sides' values from a table keyed (side, *more, day), as columns named by ``values``; missing keys count as 0.
 
-    The contests, unique by their carried columns, become one row for each side, which is joined once and summed.
+    Each side is looked up by an equality join and the sum is an expression of the row, so a contest stays the row it is: repeated
+    contests come out repeated, each with its own figures, and carried columns may be of any type.
     """
-    each = contests.select(*carried, F.explode(F.array(*[
-        F.struct(F.col(s).alias("side"), F.lit(w).alias("weight")) for s, w in zip("ab", weights)])).alias("_s"))
-    rows = each.select(*carried, F.col("_s.side").alias("side"), F.col("_s.weight").alias("_weight"))
-    joined = rows.join(state.select("side", *more, day, *[F.col(v).alias(f"_v_{v}") for v in values]), ["side", *more, day], "left")
-    sums = [F.sum(F.col("_weight") * F.coalesce(F.col(f"_v_{v}"), F.lit(0.0))).alias(out) for v, out in values.items()]
-    return joined.groupBy(*carried).agg(*sums).select(*carried, *values.values())
+    rows = contests.select(*carried)
+    table = state.select("side", *more, day, F.struct(*values).alias("_values"))
+    for s in "ab":
+        lookup = table.select(F.col("side").alias(f"_{s}"), *[F.col(c).alias(f"_{s}_{c}") for c in [*more, day]], F.col("_values").alias(f"_{s}_values"))
+        same = [F.col(s) == F.col(f"_{s}"), *[F.col(c) == F.col(f"_{s}_{c}") for c in [*more, day]]]
+        rows = rows.join(lookup, same, "left")
+    sums = [sum(F.lit(w) * F.coalesce(F.col(f"_{s}_values")[v], F.lit(0.0)) for s, w in zip("ab", weights)).alias(out) for v, out in values.items()]
+    return rows.select(*carried, *sums)
 
 
 def side_differences(contests: DataFrame, state: DataFrame, values: list[str], carried: list[str], *more: str, day: str = "date") -> DataFrame:

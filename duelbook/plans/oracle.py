@@ -7,9 +7,9 @@ from duelbook.plans.models import GRID, grid_points
 
 FORM = ["round_wr", "fk_percent", "acs", "kills", "assists", "deaths", "kdr"]
 _SAME = {t: t for t in fx.TABLES}
-GAMES = f"games as ({fx.GAMES.format(**_SAME)})"
-SERIES = f"series as ({fx.SERIES.format(**_SAME)})"
-WIDE_GAMES = f"games as ({fx.WIDE_GAMES.format(**_SAME)})"
+GAMES = f"games as materialized ({fx.GAMES.format(**_SAME)})"
+SERIES = f"series as materialized ({fx.SERIES.format(**_SAME)})"
+WIDE_GAMES = f"games as materialized ({fx.WIDE_GAMES.format(**_SAME)})"
 STAGED = f"staged as ({fx.staged_text('series')})"
 PLAYERS = f"players as ({fx.PLAYERS.format(**_SAME)})"
 CELLS = f"cells as ({fx.CELLS.format(**_SAME)})"
@@ -26,9 +26,9 @@ def _side_view(table: str, shared: str, columns: list[str]) -> str:
     return f"{one} union all {two}"
 
 
-GAME_SIDES = f"gs as ({_side_view('games', 'game_id, arena, date', ['rds', 'fks', 'acs5', 'kills', 'assists', 'deaths'])})"
-WIDE_SIDES = f"gs as ({_side_view('games', 'game_id, arena, date', ['rds', *fx.WIDE_RANGES])})"
-SERIES_SIDES = f"ss as ({_side_view('series', 'match_id, date, remaining', ['ban1', 'ban2', 'pick', 'past'])})"
+GAME_SIDES = f"gs as materialized ({_side_view('games', 'game_id, arena, date', ['rds', 'fks', 'acs5', 'kills', 'assists', 'deaths'])})"
+WIDE_SIDES = f"gs as materialized ({_side_view('games', 'game_id, arena, date', ['rds', *fx.WIDE_RANGES])})"
+SERIES_SIDES = f"ss as materialized ({_side_view('series', 'match_id, date, remaining', ['ban1', 'ban2', 'pick', 'past'])})"
 
 
 def _asks(table: str, *more: str) -> str:
@@ -37,21 +37,23 @@ def _asks(table: str, *more: str) -> str:
 
 
 def _last(name: str, hist: str, keys: str, key: list[str], tie: str, measures: dict[str, str], n: int) -> str:
-    """CTEs: sums over the last n rows of the key before each asked date, from frames over the sequence of its rows."""
+    """CTEs: sums over the last n rows of the key before each asked date.
+
+    Running sums give the state at the end of each day of the key; a frame over these and the asked dates gives each ask
+    the last earlier one. An ask sorts before the state of its own day.
+    """
     k = ", ".join(key)
-    on_e = " and ".join(f"q.{c} = e.{c}" for c in key)
-    on_x = " and ".join(f"q.{c} = x.{c}" for c in key)
-    qk = ", ".join(f"q.{c}" for c in key)
     order = f"partition by {k} order by date, {tie}"
     frame = f"{order} rows between {f'{n - 1} preceding' if n else 'unbounded preceding'} and current row"
     runs = ", ".join(f"sum({e}) over ({frame}) {m}" for m, e in measures.items())
-    sums = ", ".join(f"cast(coalesce(x.{m}, 0) as bigint) {m}" for m in measures)
+    found = ", ".join(f"last_value({m} ignore nulls) over earlier {m}" for m in measures)
+    sums = ", ".join(f"cast(coalesce({m}, 0) as bigint) {m}" for m in measures)
     return f"""
-    {name}_run as (select {k}, date, row_number() over ({order}) seq, {runs} from {hist}),
-    {name}_end as (select {k}, date, max(seq) seq from {name}_run group by all),
-    {name}_ask as (select {qk}, q.date, e.seq upto from (select distinct {k}, date from {keys}) q
-       asof left join {name}_end e on {on_e} and q.date > e.date),
-    {name} as (select {qk}, q.date, {sums} from {name}_ask q left join {name}_run x on {on_x} and x.seq = q.upto)"""
+    {name}_run as materialized (select {k}, date, row_number() over (partition by {k}, date order by {tie} desc) back, {runs} from {hist}),
+    {name}_both as materialized (select {k}, date, 1 kind, {", ".join(measures)} from {name}_run where back = 1
+       union all select distinct {k}, date, 0, {", ".join("null" for _ in measures)} from {keys}),
+    {name} as materialized (select {k}, date, {sums} from (select {k}, date, kind, {found} from {name}_both
+       window earlier as (partition by {k} order by date, kind rows between unbounded preceding and 1 preceding)) z where kind = 0)"""
 
 
 def ratio(num: str, den: str) -> str:
@@ -92,7 +94,7 @@ def _with_fallback(keys: str, sums: dict[str, str], figures: str, name: str = "f
     return f"""
     {_last(name + '_here', hist, keys, ['side', 'arena'], 'game_id', sums, 20)},
     {_last(name + '_any', hist, keys, ['side'], 'game_id', sums, 20)},
-    {name} as (select side, arena, date, {figures} from (select h.side, h.arena, h.date, {cols}
+    {name} as materialized (select side, arena, date, {figures} from (select h.side, h.arena, h.date, {cols}
        from {name}_here h join {name}_any w on w.side = h.side and w.date = h.date) z)"""
 
 
@@ -111,9 +113,9 @@ POOL = f"case when {OUT} is null then null else list_filter(range(0, 11), lambda
 PICKED = "[a_pick, b_pick, remaining]"
 BANNED = "[a_ban1, a_ban2, b_ban1, b_ban2]"
 ARENAS = "(select unnest(range(0, 11)) arena) ar"
-TOUCHED = f"""touched as (select series.*, cast(ar.arena as int) arena, list_contains({PICKED}, ar.arena) played from series, {ARENAS}
+TOUCHED = f"""touched as materialized (select series.*, cast(ar.arena as int) arena, list_contains({PICKED}, ar.arena) played from series, {ARENAS}
    where list_contains({PICKED}, ar.arena) or list_contains({BANNED}, ar.arena))"""
-IN_POOL = f"pooled as (select z.*, cast(unnest({POOL}) as int) arena from ss z)"
+IN_POOL = f"pooled as materialized (select z.*, cast(unnest({POOL}) as int) arena from ss z)"
 DRAFT_SUMS = {
     "total": "1", "picked": "cast(own_pick = arena as int)", "banned": "cast(own_ban1 = arena or own_ban2 = arena as int)",
     "played": "cast(own_pick = arena or opp_pick = arena or remaining = arena as int)",
@@ -130,13 +132,13 @@ def _draft_state(keys: str) -> str:
 def _averages(carried: str) -> str:
     cols = ", ".join(f"(coalesce(x.{v}, 0.0) + coalesce(y.{v}, 0.0)) / 2.0 {o}" for o, v in
                      (("avg_win", "win_rate"), ("avg_pick", "pick_rate"), ("avg_ban", "ban_rate"), ("avg_play", "play_rate")))
-    return f"""asked as ({_asks('touched', 'arena')}), {GAMES}, {GAME_SIDES}, {_draft_state('asked')},
+    return f"""asked as materialized ({_asks('touched', 'arena')}), {GAMES}, {GAME_SIDES}, {_draft_state('asked')},
     {_last('wr', 'gs', 'asked', ['side', 'arena'], 'game_id', WIN_SUMS, 20)},
-    st as (select dr.side, dr.arena, dr.date, {WIN_RATE}, {DRAFT_RATES} from dr join wr using (side, arena, date)),
+    st as materialized (select dr.side, dr.arena, dr.date, {WIN_RATE}, {DRAFT_RATES} from dr join wr using (side, arena, date)),
     av as (select {carried}, c.arena, c.played, {cols} from touched c
       left join st x on x.side = c.a and x.arena = c.arena and x.date = c.date
       left join st y on y.side = c.b and y.arena = c.arena and y.date = c.date),
-    choices as (select * from av where not (avg_win = 0 and avg_pick = 0 and avg_ban = 0 and avg_play = 0))"""
+    choices as materialized (select * from av where not (avg_win = 0 and avg_pick = 0 and avg_ban = 0 and avg_play = 0))"""
 
 
 REGIONS = "regions as (select n_nationkey team_id, 'region_' || cast(n_regionkey as varchar) region from nation where n_nationkey < 23)"
@@ -207,14 +209,14 @@ ELO_A = "1 / (1 + pow(cast(10 as double), ({rb} - {ra}) / 400))"
 
 def sql() -> dict[str, str]:
     q: dict[str, str] = {}
-    game_asks = f"asked as ({_asks('games', 'arena')})"
-    series_asks = f"asked as ({_asks('series')})"
+    game_asks = f"asked as materialized ({_asks('games', 'arena')})"
+    series_asks = f"asked as materialized ({_asks('series')})"
 
     q["form_diff"] = f"""with {GAMES}, {GAME_SIDES}, {game_asks}, {_with_fallback('asked', FORM_SUMS, FORM_FIGURES)}
       {_diff('games', 'f', 'game_id, a, b, won_a, date, arena', FORM)}"""
     q["form_all_arenas"] = f"""with {GAMES}, {GAME_SIDES}, {SERIES}, {series_asks},
-      {_last('s', 'gs', 'asked', ['side'], 'game_id', FORM_SUMS, 20)}, f as (select side, date, {FORM_FIGURES} from s),
-      c as (select *, a_past - b_past past_diff from series)
+      {_last('s', 'gs', 'asked', ['side'], 'game_id', FORM_SUMS, 20)}, f as materialized (select side, date, {FORM_FIGURES} from s),
+      c as materialized (select *, a_past - b_past past_diff from series)
       {_diff('c', 'f', 'match_id, a, b, date, won_a, past_diff, odds', FORM, arena=False)}"""
     q["form_extended"] = f"""with {WIDE_GAMES}, {WIDE_SIDES}, {game_asks}, {_with_fallback('asked', WIDE_SUMS, WIDE_FIGURES)}
       {_diff('games', 'f', 'game_id, a, b, won_a, date, arena', list(_WIDE))}"""
