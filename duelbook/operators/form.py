@@ -11,7 +11,6 @@ from duelbook.operators.history import (
     asks_of,
     last_of_day,
     side_differences,
-    states_before_own_days,
     sums_before,
     sums_before_own_days,
     sums_of_trailing_months,
@@ -126,9 +125,12 @@ def arena_form(
         # are read from the one cut table.
         sides = last_of_day(sides, key, n, TIE)
     if asks is None:
-        states = states_before_own_days(sides, names, n, TIE)
-        chosen = F.when(F.col("here.n") > 0, F.col("here")).otherwise(F.col("anywhere")).alias("state")
-        return _profile(states.select(*key, "date", chosen).select(*key, "date", "state.*"), key, figures)
+        here = sums_before_own_days(sides, key, own, n, TIE, is_cut=n > 0).filter(F.col("n") > 0)
+        # without a game on the arena so far: a side's first day there, which takes the rows before its last such day only
+        firsts = sides.groupBy(*key).agg(F.min("date").alias("date"))
+        early = sides.join(firsts.groupBy("side").agg(F.max("date").alias("_until")), "side").filter(F.col("date") < F.col("_until"))
+        anywhere = sums_before(early.drop("_until"), firsts.select("side", "date").distinct(), wide_key, own, n, TIE)
+        return _profile(here.unionByName(firsts.join(anywhere, ["side", "date"])), key, figures)
     here = sums_before(sides, asks, key, own, n, TIE, is_cut=True)
     anywhere = sums_before(sides, asks.select("side", "date").distinct(), wide_key, own, n, TIE)
     spare = anywhere.select("side", "date", *[F.col(m).alias(f"_any_{m}") for m in names])

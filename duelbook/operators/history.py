@@ -67,12 +67,13 @@ def sums_before_own_days(
         *cols, *tie, F.lag(day).over(order).alias("_prev"), *[F.coalesce(F.sum(m).over(earlier), F.lit(0)).alias(m) for m in names]
     )
     opening = F.col("_prev").isNull() | (F.col("_prev") != F.col(day))
-    return run.select(*cols, "_prev", *_last_n(names, n, order)).filter(opening).drop("_prev")
+    return _last_n(run, names, n, order).filter(opening).select(*cols, *names)
 
 
-def _last_n(names: list[str], n: int, order: WindowSpec) -> list[Column]:
-    """Running totals -> totals of the last n rows, as a difference: constant work per row."""
-    return [(F.col(m) - F.coalesce(F.lag(m, n).over(order), F.lit(0))).alias(m) for m in names]
+def _last_n(run: DataFrame, names: list[str], n: int, order: WindowSpec) -> DataFrame:
+    """Running totals -> totals of the last n rows, as a difference: constant work per row, one lag for all totals."""
+    lagged = run.withColumn("_was", F.lag(F.struct(*names), n).over(order))
+    return lagged.withColumns({m: F.col(m) - F.coalesce(F.col("_was")[m], F.lit(0)) for m in names}).drop("_was")
 
 
 def sums_before(
@@ -102,7 +103,7 @@ def sums_before(
     run = slim.select(*cols, *tie, F.lead(day).over(order).alias("_next"), *[F.sum(m).over(through).alias(m) for m in names])
     closing = F.col("_next").isNull() | (F.col("_next") != F.col(day))
     # One row per (key, day): the state after the day's last row.
-    states = run.select(*cols, "_next", *_last_n(names, n, order)).filter(closing)
+    states = _last_n(run, names, n, order).filter(closing)
     both = states.select(*cols, F.lit(1).alias("_kind"), F.struct(*names).alias("_state")).unionByName(
         asks.select(*cols, F.lit(0).alias("_kind")), allowMissingColumns=True
     )
@@ -157,31 +158,6 @@ def attach_both(contests: DataFrame, state: DataFrame, values: list[str], *more:
     return contests.withColumns({f"{s}_{v}": F.coalesce(F.col(f"{s}_{v}"), F.lit(0.0)) for s in "ab" for v in values})
 
 
-def states_before_own_days(sides: DataFrame, names: list[str], n: int, tie: list[str], day: str = "date") -> DataFrame:
-    """One row per (side, arena, day) of the history itself, with two states before that day: sums over the side's last n rows
-    on the arena, and over its last n rows on any arena (structs ``here`` and ``anywhere``, null without rows).
-
-    ``sides`` is cut by ``last_of_day`` for (side, arena), so a side has at most n rows for each arena and day. It is dealt out by
-    side once, which serves the windows of both states.
-    """
-    dealt = sides.repartition("side")
-    first_row = Window.partitionBy("side", day).orderBy(*tie).rowsBetween(Window.unboundedPreceding, 0)
-
-    def before(rows: DataFrame, out: str, *key: str) -> DataFrame:
-        order = Window.partitionBy(*key).orderBy(day, *tie)
-        earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-        run = rows.withColumns({f"_t_{m}": F.coalesce(F.sum(m).over(earlier), F.lit(0)) for m in names} | {f"_{out}_prev": F.lag(day).over(order)})
-        last = [(F.col(f"_t_{m}") - F.coalesce(F.lag(f"_t_{m}", n).over(order), F.lit(0)) if n else F.col(f"_t_{m}")).alias(m) for m in names]
-        return run.withColumn(out, F.struct(*last)).drop(*[f"_t_{m}" for m in names])
-
-    anywhere = before(dealt, "anywhere", "side")
-    # the state before a side's first row of a day holds for all its rows of the day
-    anywhere = anywhere.withColumn("anywhere", F.first("anywhere").over(first_row))
-    both = before(anywhere, "here", "side", "arena")
-    opening = F.col("_here_prev").isNull() | (F.col("_here_prev") != F.col(day))
-    return both.filter(opening).select("side", "arena", day, "here", "anywhere")
-
-
 def side_totals(
     contests: DataFrame, state: DataFrame, values: dict[str, str], carried: list[str], *more: str, weights: tuple[float, float], day: str = "date"
 ) -> DataFrame:

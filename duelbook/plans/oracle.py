@@ -214,6 +214,9 @@ def sql() -> dict[str, str]:
 
     q["form_diff"] = f"""with {GAMES}, {GAME_SIDES}, {game_asks}, {_with_fallback('asked', FORM_SUMS, FORM_FIGURES)}
       {_diff('games', 'f', 'game_id, a, b, won_a, date, arena', FORM)}"""
+    q["form_repeated"] = f"""with {GAMES}, {GAME_SIDES}, {game_asks}, {_with_fallback('asked', FORM_SUMS, FORM_FIGURES)},
+      listed as (select * from games union all select * from games where arena % 3 = 0)
+      {_diff('listed', 'f', 'game_id, a, b, won_a, date, arena', FORM)}"""
     q["form_all_arenas"] = f"""with {GAMES}, {GAME_SIDES}, {SERIES}, {series_asks},
       {_last('s', 'gs', 'asked', ['side'], 'game_id', FORM_SUMS, 20)}, f as materialized (select side, date, {FORM_FIGURES} from s),
       c as materialized (select *, a_past - b_past past_diff from series)

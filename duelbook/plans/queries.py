@@ -38,6 +38,14 @@ def form_diff(spark, folder):
     return features.game_features(fx.games(spark, folder))
 
 
+@query
+def form_repeated(spark, folder):
+    """Form differences of contests of which a third is listed twice: each row keeps its own figures."""
+    games = fx.games(spark, folder)
+    listed = games.unionByName(games.filter(F.col("arena") % 3 == 0))
+    return form.form_difference(listed, form.arena_form(games), features.GAME_KEYS)
+
+
 @query
 def form_all_arenas(spark, folder):
     return features.second_tier_features(fx.series(spark, folder), fx.games(spark, folder))

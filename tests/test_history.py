@@ -99,3 +99,31 @@ def test_raw_rows_are_cut_before_the_shuffle(spark):
     plan = history.last_of_day(sides, ["side", "arena"], 20, ["game_id"])._jdf.queryExecution().toString()
     physical = plan[plan.index("== Physical Plan =="):]
     assert physical.index("Final") < physical.index("Exchange hashpartitioning") < physical.index("Partial")
+
+
+def test_repeated_contests_keep_their_own_figures(spark):
+    games, _ = random_games(spark)
+    state = form.arena_form(games)
+    listed = games.unionByName(games.filter("arena = 1")).unionByName(games.filter("arena = 1")).withColumn("notes", F.create_map(F.lit("k"), F.col("game_id")))
+    carried = ["game_id", "a", "b", "date", "arena", "notes"]
+    once = {r.game_id: r for r in form.form_difference(games, state, ["game_id", "a", "b", "date", "arena"]).collect()}
+    found = form.form_difference(listed, state, carried).collect()
+    assert sorted(r.game_id for r in found) == sorted(r.game_id for r in listed.collect())
+    assert all(r.notes == {"k": r.game_id} and all(r[f"{v}_diff"] == once[r.game_id][f"{v}_diff"] for v in form.FORM) for r in found)
+
+
+def plain_form(rows, side, arena, when, n):
+    past = sorted((r for r in rows if side in r[1:3] and r[4] < when), key=lambda r: (r[4], r[0]))
+    kept = ([r for r in past if r[3] == arena] or past)[-n:]
+    own = [(r[6], r[6] + r[7]) if r[1] == side else (r[7], r[6] + r[7]) for r in kept]
+    return sum(x for x, _ in own) / sum(x for _, x in own) if kept and sum(x for _, x in own) else 0.0
+
+
+def test_first_day_on_an_arena_falls_back_to_any_arena(spark):
+    games, rows = random_games(spark, 120, 9)
+    # an arena first played late, twice on one day, by sides with history elsewhere and by one without
+    rows += [game(900, 1, 2, 7, 30), game(901, 1, 3, 7, 30), game(902, 1, 2, 7, 31), game(903, 8, 9, 7, 31)]
+    for n in (1, 4, 20):
+        found = {(r.side, r.arena, r.date): r.round_wr for r in form.arena_form(table(spark, rows), n=n).collect()}
+        assert found.keys() == {(s, r[3], r[4]) for r in rows for s in r[1:3]}
+        assert all(abs(v - plain_form(rows, *k, n)) < 1e-12 for k, v in found.items())
