@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The address grammar of the pages, their dates, and what HTML says of tags, attributes and character references.
 TEAM_ID = r"/team/(\d+)"
 TEAM_SLUG = r"/team/\d+/([^/]+)$"
 MATCH_ID = r"/(\d+)/"
-PAGE_DATE = r"(\d{4}[-/]\d{2}[-/]\d{2})"
-#: The address grammar of the pages. An href stands in either kind of quotes.
-HREF = r"""href=(?:"([^"]*)"|'([^']*)')"""
+PAGE_DATE = r"(?<!\d)\d{4}[-/]\d{2}[-/]\d{2}(?!\d)"
+SKIPPED = r"(?is)<!--.*?(?:--!?>|\z)|<(script|style|template|textarea|title|noscript)\b[^>]*+>.*?(?:</\1\s*+>|\z)"
+TAG = r"""<[A-Za-z/!?][^<>"']*+(?:"[^"]*+"[^<>"']*+|'[^']*+'[^<>"']*+)*+>"""
+HREF = r"""(?is)^<(?:a|area)(?:\s++(?!href\s*+=)[^\s=>"']++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]++))?+)*+\s++href\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))"""
+REFERENCE = r"&(?:#\d{1,7};?|#[xX][0-9a-fA-F]{1,6};?|(?:amp|lt|gt|quot|apos);)"
+NAMED = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'"}
 
 
 def _group(text: Column, pattern: str, group: int = 1) -> Column:
@@ -44,9 +48,51 @@ def link_kind(href: Column) -> Column:
     )
 
 
+def decoded(text: Column) -> Column:
+    """Character references as characters; each is read once, so ``&amp;#47;`` is ``&#47;``."""
+    refs, gaps = F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0)), F.split(text, REFERENCE, -1)
+
+    def character(ref: Column) -> Column:
+        hexadecimal = F.conv(F.regexp_extract(ref, "^&#[xX]([0-9a-fA-F]+)", 1), 16, 10)
+        code = F.when(ref.rlike("^&#[xX]"), hexadecimal).otherwise(F.regexp_extract(ref, r"^&#(\d+)", 1)).try_cast("int")
+        # what is no character stays as it stands
+        fits = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        told = F.when(ref.startswith("&#"), F.when(fits, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")))
+        for name, value in NAMED.items():
+            told = told.when(ref == name, F.lit(value))
+        return F.coalesce(told, ref)
+
+    pieces = F.zip_with(F.slice(gaps, F.lit(2), F.greatest(F.size(gaps) - 1, F.lit(0))), refs, lambda gap, ref: F.concat(character(ref), gap))
+    return F.when(F.contains(text, F.lit("&")), F.concat(F.get(gaps, F.lit(0)), F.array_join(pieces, ""))).otherwise(text)
+
+
+def href_of(tag: Column) -> Column:
+    """The address of an ``a`` or ``area`` tag, with or without quotes; null for other tags."""
+    found = F.coalesce(*[_group(tag, HREF, i) for i in (1, 2, 3)])
+    return decoded(F.trim(found))
+
+
+#: Marks in a stream of tokens; no text holds them, as they are taken out of it first.
+_DATE, _LINK = "\x01", "\x02"
+
+
+def dated_hrefs(html: Column) -> Column:
+    """(date, hrefs) of the stretches of a page: links behind a date mark have that date, those before the first one none.
+
+    The page is one stream of tags and dates. Comments and the bodies of scripts and the like are skipped, dates in attributes
+    are no marks, and neither are texts that only look like a date.
+    """
+    shown = F.regexp_replace(F.translate(html, _DATE + _LINK, ""), SKIPPED, " ")
+    tokens = F.regexp_extract_all(shown, F.lit(f"{TAG}|{PAGE_DATE}"), F.lit(0))
+    marks = F.transform(tokens, lambda t: F.when(t.startswith("<"), F.concat(F.lit(_LINK), href_of(t))).otherwise(F.concat(F.lit(_DATE), slash_date(t).cast("string"))))
+    stretches = F.split(F.array_join(F.filter(marks, lambda m: m.isNotNull()), ""), _DATE, -1)
+    return F.transform(stretches, lambda s: F.struct(
+        F.split(s, _LINK, -1)[0].try_cast("date").alias("date"), F.slice(F.split(s, _LINK, -1), F.lit(2), F.size(F.split(s, _LINK, -1)) - 1).alias("hrefs")))
+
+
 def links(html: Column) -> Column:
-    double, single = (F.regexp_extract_all(html, F.lit(HREF), F.lit(i)) for i in (1, 2))
-    return F.zip_with(double, single, lambda d, s: F.when(d != "", d).otherwise(s))
+    """The addresses that a page links to."""
+    return F.flatten(F.transform(dated_hrefs(html), lambda s: s["hrefs"]))
 
 
 def stamp_date(text: Column) -> Column:

@@ -45,14 +45,18 @@ def append_new(existing: DataFrame, arrived: DataFrame, key: list[str], order: l
 
 
 def dated_links(pages: DataFrame) -> DataFrame:
-    """(href, match_id, date) of match links: the newest date (yyyy/mm/dd or yyyy-mm-dd) that a linking page carries.
+    """(href, match_id, date) of match links: the newest date (yyyy/mm/dd or yyyy-mm-dd) that stands before one of them on its page.
 
-    A link on pages without a date has none.
+    A link with no date before it on any page has none: ``undated_links`` has it.
     """
-    day = F.regexp_extract("html", text.PAGE_DATE, 1)
-    each = pages.select(F.explode(text.links(F.col("html"))).alias("href"), text.slash_date(day).alias("date"))
+    stretch = pages.select(F.explode(text.dated_hrefs(F.col("html"))).alias("s")).select("s.date", F.explode("s.hrefs").alias("href"))
     h = F.col("href")
-    return each.where(text.link_kind(h) == "match").groupBy("href").agg(F.max("date").alias("date")).withColumn("match_id", text.match_id(h))
+    return stretch.where(text.link_kind(h) == "match").groupBy("href").agg(F.max("date").alias("date")).withColumn("match_id", text.match_id(h))
+
+
+def undated_links(links: DataFrame) -> DataFrame:
+    """Links that no load window can hold, as they have no date."""
+    return links.filter(F.col("date").isNull())
 
 
 def update(stored: DataFrame, links: DataFrame, staged: DataFrame, arenas: list[str], full_from: str) -> tuple[DataFrame, DataFrame]:
@@ -60,13 +64,14 @@ def update(stored: DataFrame, links: DataFrame, staged: DataFrame, arenas: list[
 
     Links dated in the load window (from the day before the newest stored row, or ``full_from``) and not yet stored pick
     the staged pages; those become records, and of the good ones the first of each match is new. A staged page is known by
-    its ``link``; pages of one link are taken in the order of their stamp.
+    its ``link``; pages of one link are taken in the order of their stamp. What is stored is compared once: wanted links are of
+    matches it does not hold. Links without a date are in no window: ``undated_links`` has them.
     """
     start = high_water_mark(stored, full_from=full_from).scalar()
     wanted = links_since(links, start).join(stored.select("match_id").distinct(), "match_id", "left_anti")
     pages = staged.join(wanted.select(F.col("href").alias("link")).distinct(), "link", "left_semi")
     good, bad = good_and_quarantined(cut(series_records(pages, arenas)))
-    return new_rows(stored, good, ["match_id"], [F.col("date"), F.col("a"), F.col("b")]), bad
+    return first_of_key(good, ["match_id"], [F.col("date"), F.col("a"), F.col("b")]), bad
 
 
 def series_records(staged: DataFrame, arenas: list[str]) -> DataFrame:

@@ -370,6 +370,9 @@ def sql() -> dict[str, str]:
         try_cast(nullif(regexp_extract(href, '/team/(\d+)', 1), '') as bigint) team_id,
         try_cast(nullif(regexp_extract(href, '/(\d+)/', 1), '') as bigint) match_id,
         case when starts_with(href, '/team/') then substr(href, 6) end team_path from l"""
+    q["dated_links"] = f"""with {SERIES} select case when match_id % 4 = 3 then concat('/', match_id, '/x?a=1&b=2') else concat('/', match_id, '/x') end href,
+        match_id, max(date) date from series group by match_id
+      union all select distinct concat('/', strftime(date, '%Y%m'), '/undated'), cast(strftime(date, '%Y%m') as bigint), null from series"""
     q["high_water_mark"] = f"with {SERIES} select cast(max(date) - interval 1 day as date) start_date from series"
     q["load_window"] = f"""with {SERIES} select match_id, date from series
       where date >= (select max(date) - interval 1 day from series where date < date '2000-01-01')"""

@@ -444,6 +444,32 @@ def distinct_links(spark, folder):
     return ingest.page_links(fx.table(spark, folder, "pages"))
 
 
+def _month_pages(series: DataFrame) -> DataFrame:
+    """Result pages of a month: each day's mark and its links, which are written in four ways, behind a link without a date.
+
+    Dates and links in comments, scripts and attributes are none.
+    """
+    m = F.col("match_id")
+    address = F.concat(F.lit("/"), m.cast("string"), F.lit("/x"))
+    link = F.when(m % 4 == 0, F.concat(F.lit('<a class="r 1999/09/09" href="'), address, F.lit('">x</a>'))) \
+        .when(m % 4 == 1, F.concat(F.lit("<A HREF = '"), address, F.lit("'>x</A>"))) \
+        .when(m % 4 == 2, F.concat(F.lit("<a data-href=/0/no href="), address, F.lit(">x</a>"))) \
+        .otherwise(F.concat(F.lit('<a title=" href=/0/no " href="&#47;'), m.cast("string"), F.lit('/x?a=1&amp;b=&#x32;">x</a>')))
+    days = series.groupBy("date").agg(F.array_join(F.array_sort(F.collect_list(link)), "").alias("links"))
+    mark = F.concat(F.lit('<h2 data-day="1999/01/01">'), F.date_format("date", "yyyy/MM/dd"), F.lit("</h2>"))
+    parts = F.array_sort(F.collect_list(F.struct("date", F.concat(mark, "links").alias("part"))))
+    months = days.groupBy(F.date_format("date", "yyyyMM").alias("month")).agg(F.array_join(F.transform(parts, lambda d: d["part"]), "\n").alias("body"))
+    head = F.lit("<html><!-- 2003/03/03 <a href='/0/no'> --><script>d = '2004/04/04'; s = \"<a href='/0/no'>\"</script><p>9999/99/99<a href=/")
+    foot = F.lit("/undated>x</a>"), F.lit("<a name=2005/05/05></a><style>a[href='/0/no'] {}</style><a href=#top>top</a>")
+    return months.select(F.concat(head, "month", foot[0], "body", foot[1]).alias("html"))
+
+
+@query
+def dated_links(spark, folder):
+    """Match links of pages with many dates, each with the date that stands before it."""
+    return ingest.dated_links(_month_pages(fx.series(spark, folder)))
+
+
 @query
 def high_water_mark(spark, folder):
     return ingest.high_water_mark(fx.series(spark, folder).select("date"), full_from="2021-03-30")

@@ -2,6 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from duelbook.functions import text
 from duelbook.operators import ingest
 from duelbook.operators.sides import first_of_key
 from duelbook.streaming import ingest as streaming
@@ -55,6 +56,29 @@ def test_links_and_append(spark):
     assert ingest.high_water_mark(empty, full_from="2021-03-30").first().start_date == dt.date(2021, 3, 30)
 
 
+def test_links_are_read_from_tags(spark):
+    def found(html):
+        return [(str(r.date) if r.date else None, r.hrefs) for r in spark.createDataFrame([(html,)], "html string").select(
+            F.explode(text.dated_hrefs(F.col("html"))).alias("s")).select("s.*").collect()]
+
+    assert found("<!-- <a href='/1/no'> 2001-01-01 --><a href=/13/q>x</a>") == [(None, ["/13/q"])]
+    assert found('<p>2024/03/05</p><a href="/1/a">x</a>2023-01-02 <A\nHREF = \'/2/b\' >2023/13/45<a href=/3/c/>x') == [
+        (None, []), ("2024-03-05", ["/1/a"]), ("2023-01-02", ["/2/b", "/3/c/"])]
+    assert found('<a title="2024/01/01 href=/0/no" data-href="/0/no" href="/5/x?a=1&amp;b=&#x20AC;&lt;&amp;#47;&#0;&bogus;">') == [(None, ["/5/x?a=1&b=€<&#47;&#0;&bogus;"])]
+    assert found("<script>'<a href=/0/no>' 2024/01/01</script><style>a</style><area href=/6/x><link href=/0/no><a name=x>12024/01/01 2024/01/012") == [(None, ["/6/x"])]
+    assert found("<a href='/7/x'><!-- 2024/01/01 <a href='/0/no'>") == [(None, ["/7/x"])] and found("") == [(None, [])]
+    for junk in ("<a " * 60_000, '<a "' * 60_000, "<a x=" + "y z=" * 60_000, "<!--" * 60_000, "<" * 200_000, '<a ' + 'x="1" ' * 30_000 + 'href="/8/x">'):
+        assert found(junk + "<a href=/9/x>")[0][1][-1:] in ([], ["/9/x"])  # in linear time, and without a deep stack
+
+
+def test_undated_links_are_not_lost(spark):
+    pages = spark.createDataFrame([("<a href=/1/x>2024/03/05<a href=/2/x>2023/01/02<a href=/3/x><a href=/2/x>",), ("<a href=/3/x>",), (None,)], "html string")
+    links = ingest.dated_links(pages)
+    assert {(r.match_id, r.date) for r in links.collect()} == {(1, None), (2, dt.date(2024, 3, 5)), (3, dt.date(2023, 1, 2))}
+    assert [r.match_id for r in ingest.undated_links(links).collect()] == [1]
+    assert [r.match_id for r in ingest.links_since(links, F.lit("2023-06-01").cast("date")).collect()] == [2]
+
+
 def test_team_rows(spark):
     df = spark.createDataFrame([("/1/one", 0, "One"), ("/1/one", 1, "O"), ("/2/two", 0, "Two"), ("/2/two", 1, "T"), ("/2/two", 2, "77")], "href string, place int, name string")
     df = df.union(spark.createDataFrame([("/x/y", 0, "Bad"), (None, 0, "None")], df.schema))
