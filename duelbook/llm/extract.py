@@ -1,21 +1,28 @@
 """Main text of web pages by text-to-tag ratios over streamed parser events.
 
 The standard library's parser streams tags and texts. Each block (paragraph, heading, list item, table row, part between line
-breaks) is a line with its text, its number of tags and the elements it stands in. A line's ratio of characters to tags is
+breaks) is a line with its text, its number of tags and the element it stands in. A line's ratio of characters to tags is
 smoothed over its neighbours with Gaussian weights; lines whose smoothed ratio is above the threshold, the mean less half a
-standard deviation, form the content cluster. The content region is the elements that hold it: all plain ``article`` elements with
-content, or the ``main`` if most of its content is outside of articles, or without them the smallest element with ``SHARE`` of the
-content's characters. All lines of the region, content lines and h1 beside it (in the ``main``, if there is one, with
-the lines from its h1 to the article) are kept, but for elements that are no article text by their tag, role, class or id (menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles, comments); headings in an article's own header stay. Without an ``article`` or
-``main`` lists of nothing but links go too.
-
-Character references are decoded, white space in a line becomes one space, lines are joined by one line end. A null, empty or
+standard deviation or half the mean, whichever is lower, form the content cluster.
+
+What is no article text is left out first. Left out for good is what stands in an element that says so by its tag or role (menus,
+headers, footers, sidebars, scripts, styles, dialogs, hidden parts) and readers' comments, also as articles of their own; headings in the header of an
+article stay. Forms and elements that only a class or id marks (sidebars, notices, adverts, related links) are left out as long as what is not
+marked is enough: it holds an h1, or ``LEAST`` of the characters. On a page whose wrappers bear such names it is not; then the
+outermost marked element with most text is plain after all, with all of the same mark, and so on inside it until it is enough.
+
+The content region is what the cluster selects of the rest: all plain ``article`` elements with content, or the ``main`` if most of
+its content is outside of them, with a main's h1, the lines behind it and content lines beside articles, and a headline before an article without one.
+Without these, or where most content is outside of them, it is everything from the first to the last content line and what shares an element with one, but for lists of nothing but links.
+
+Every step goes over the lines or elements once (open marked elements are kept in a heap), so a page takes time in proportion to its
+length, however deep it is nested. Character references are decoded, white space in a line becomes one space, lines are joined by one line end. A null, empty or
 textless page gives an empty text. Pages are read whole, malformed ones as far as the parser reads them.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from html.parser import HTMLParser
@@ -25,7 +32,8 @@ from pyspark.sql import types as T
 
 from duelbook.llm.batches import add_columns
 
-SHARE = 0.8
+#: Unmarked text of this share of a page's characters is enough.
+LEAST = 0.2
 WEIGHTS = [math.exp(-k * k / 2) for k in range(-2, 3)]
 
 # Element names of HTML.
@@ -56,14 +64,28 @@ WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Part:
-    """An open element. ``kind``: None for plain; 'tag', 'site', 'mark', 'talk', 'role' (or hidden) or 'head' for what is left out; void if not so after all."""
+    """An open element and what its ancestors say of it.
+
+    ``hard`` tells that it is left out for good, ``talk`` that it is readers' comments, ``head`` that only headings of it
+    count; ``mark`` is the nearest marked element, ``article``, ``main`` and ``list_`` the outermost plain article, the nearest main and the
+    nearest list.
+    """
+
+    __slots__ = ("tag", "above", "hard", "talk", "head", "mark", "article", "main", "list_", "title", "heading", "silent", "links")
 
-    __slots__ = ("tag", "kind", "above", "number", "void", "links", "silent")
+    def __init__(self, tag: str, above: Part | None):
+        self.tag, self.above, self.links = tag, above, True
+        for name in ("hard", "talk", "head", "mark", "article", "main", "list_", "title", "heading", "silent"):
+            setattr(self, name, getattr(above, name) if above else None)
 
-    def __init__(self, tag, kind, above, number):
-        self.tag, self.kind, self.above, self.number, self.void, self.links = tag, kind, above, number, False, True
-        # inside a line there is no line of its own to leave out: its text is not taken
-        self.silent = above is not None and above.silent or kind == "tag" or kind is not None and tag not in BREAKS
+
+class Mark:
+    """A marked element: the characters of the lines that it is the nearest marked element of, and of all lines in it."""
+
+    __slots__ = ("name", "above", "inner", "direct", "lines", "size", "plain")
+
+    def __init__(self, name: str, above: Mark | None):
+        self.name, self.above, self.inner, self.direct, self.lines, self.size, self.plain = name, above, [], 0, [], 0, False
 
 
 def mark_of(attributes: list[tuple[str, str | None]]) -> str | None:
@@ -85,8 +107,8 @@ def mark_of(attributes: list[tuple[str, str | None]]) -> str | None:
             if value.strip().lower() in ROLES:
                 return "role"
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return "role"
+    return head
 
 
 def aside_article(attributes: list[tuple[str, str | None]]) -> bool:
@@ -100,10 +122,12 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = Part("", None, None, 0)
-        self.top, self.made, self.at = self.root, 0, self.root
+        self.top = self.at = Part("", None)
+        self.open: dict[str, int] = {}
         self.lines: list[tuple[str, int, Part, bool]] = []
+        self.marks: list[Mark] = []
         self.held: list[str] = []
+        self.filled = False
         self.tags, self.links, self.outside = 0, 0, False
 
     def flush(self) -> None:
@@ -111,18 +135,55 @@ class Lines(HTMLParser):
         if text:
             self.lines.append((text, self.tags, self.at, not self.outside))
             self.tags = 0
-        self.held, self.outside = [], False
-
-    def push(self, tag: str, kind: str | None) -> None:
-        self.made += 1
-        self.top = Part(tag, kind, self.top, self.made)
+        self.held, self.filled, self.outside = [], False, False
+
+    def push(self, tag: str, kind: str | None, name: str = "") -> None:
+        """Opens an element; ``kind`` says why it is left out."""
+        part = Part(tag, self.top)
+        self.top = part
+        self.open[tag] = self.open.get(tag, 0) + 1
+        own = part.article or part.main
+        if tag in ("article", "main") and kind is None:
+            # a header or menu that is still open here was not closed
+            if part.hard == "open":
+                part.hard = None
+            part.head = None
+            if tag == "main":
+                part.main = part
+            elif part.article is None:
+                part.article = part
+        if kind == "tag":
+            part.hard = part.silent = True
+        elif kind == "role" or kind == "site" and tag not in ("form", "header"):
+            part.hard = part.hard or ("open" if tag == "nav" else True)
+        elif kind == "talk":
+            part.talk = True
+        elif tag == "header":
+            if own:
+                part.head = True
+            else:
+                part.hard = part.hard or "open"
+        elif kind == "mark" or tag == "form" or kind == "head" and not own:
+            part.mark = Mark(name, part.mark)
+            self.marks.append(part.mark)
+        if kind and tag not in BREAKS:
+            # inside a line there is no line of its own to leave out: its text is not taken
+            part.silent = True
+        if tag in HEADINGS:
+            part.heading = True
+            part.title = part.title or tag == "h1"
+        if tag in ("ul", "ol"):
+            part.list_ = part
+
+    def pop(self) -> None:
+        self.open[self.top.tag] -= 1
+        self.top = self.top.above
 
     def close_to(self, tag: str) -> None:
-        part = self.top
-        while part.above is not None and part.tag != tag:
-            part = part.above
-        if part.above is not None:
-            self.top = part.above
+        if self.open.get(tag):
+            while self.top.tag != tag:
+                self.pop()
+            self.pop()
 
     def handle_starttag(self, tag, attributes):
         self.tags += 1
@@ -131,36 +192,27 @@ class Lines(HTMLParser):
         if tag in BREAKS:
             self.flush()
             if self.top.tag == "p" or tag == "li" and self.top.tag == "li":
-                self.top = self.top.above
+                self.pop()
         elif tag in CELLS:
             self.held.append(" ")
         if tag in VOID:
             return
         if tag == "body" or tag == "html":
             while self.top.tag == "head":
-                self.top = self.top.above
+                self.pop()
             return
         wrong = mark_of(attributes) if attributes and tag != "main" and tag not in INLINE else None
-        if tag == "article" or tag == "main":
-            if tag == "article" and wrong and aside_article(attributes):
-                self.push(tag, "mark")
-                return
-            part = self.top
-            while part.above is not None:
-                if part.kind in ("mark", "role", "talk", "head") and part.tag != "article" or part.tag in ("form", "header", "nav"):
-                    part.void = True
-                part = part.above
+        name = " ".join(f"{n}={v}" for n, v in attributes if n in ("class", "id")) if wrong else tag
+        if tag == "article":
+            self.push(tag, "talk" if wrong == "talk" else "mark" if wrong and aside_article(attributes) else None, name)
+        elif tag == "main":
             self.push(tag, None)
-        elif tag in NEVER:
-            self.push(tag, "tag")
+        elif tag in NEVER or tag == "nav":
+            self.push(tag, "site" if tag == "nav" else "tag")
         elif tag in SITE:
-            self.push(tag, "site")
-        elif tag in HEADINGS:
-            self.push(tag, wrong)
-        elif wrong:
-            self.push(tag, wrong)
-        elif tag in BREAKS and tag not in ("br", "hr"):
-            self.push(tag, None)
+            self.push(tag, "talk" if wrong == "talk" else "site", name)
+        elif wrong or tag in HEADINGS or tag in BREAKS and tag not in ("br", "hr"):
+            self.push(tag, wrong, name)
 
     def handle_endtag(self, tag):
         self.tags += 1
@@ -176,33 +228,12 @@ class Lines(HTMLParser):
     def handle_data(self, data):
         if self.top.silent:
             return
-        if not data.isspace() and not any(not h.isspace() for h in self.held):
-            self.at = self.top
+        if not data.isspace():
+            if not self.filled:
+                self.at, self.filled = self.top, True
+            if not self.links:
+                self.outside = True
         self.held.append(data)
-        if not self.links and not data.isspace():
-            self.outside = True
-
-
-def left_out(part: Part, region: Part) -> bool:
-    """Whether an element between the line and the region keeps the line out."""
-    heading = False
-    while part is not None and part is not region:
-        if part.tag in HEADINGS:
-            heading = True
-        if part.kind and not part.void:
-            own = region.tag in ("article", "main")
-            if not (own and (part.kind == "head" or heading and part.tag == "header")):
-                return True
-        part = part.above
-    return False
-
-
-def above(part: Part) -> list[Part]:
-    out = []
-    while part is not None:
-        out.append(part)
-        part = part.above
-    return out
 
 
 def content(lines: list[tuple[str, int, Part, bool]]) -> list[bool]:
@@ -217,37 +248,67 @@ def content(lines: list[tuple[str, int, Part, bool]]) -> list[bool]:
                 weight += w
         smooth.append(total / weight)
     mean = sum(smooth) / len(smooth)
-    limit = mean - math.sqrt(sum((s - mean) ** 2 for s in smooth) / len(smooth)) / 2
+    limit = mean - max(math.sqrt(sum((s - mean) ** 2 for s in smooth) / len(smooth)), mean) / 2
     return [s >= limit for s in smooth]
 
 
-def overrule(lines: list[tuple[str, int, Part, bool]], chosen: list[bool]) -> None:
-    """A class, id or form does not leave out an element that holds most of the content, or the h1 and a fifth of it.
-
-    If most of the content is left out even so, no class, id or form leaves it out. Comments count only if all content is in them.
-    What is left out for its tag or role, or as links only, is no content here.
-    """
-    total, inside, marked, counted = 0, {}, {}, []
-    for (text, _, part, link), good in zip(lines, chosen):
-        parts = above(part)
-        if not good or link or any(p.kind in ("tag", "role", True) and not p.void or p.kind == "site" and p.tag != "form" for p in parts):
+def unmarked(parser: Lines) -> list[bool]:
+    """The lines that are neither left out for good nor by a mark that holds."""
+    lines = parser.lines
+    open_ = [not (p.hard or p.head and not p.heading) for _, _, p, _ in lines]
+    if any(ok and not line[2].talk for ok, line in zip(open_, lines)):
+        open_ = [ok and not line[2].talk for ok, line in zip(open_, lines)]
+    kept, size, titled, total = [False] * len(lines), 0, False, 0
+    for i, (text, _, part, link) in enumerate(lines):
+        if not open_[i]:
             continue
-        counted.append((len(text), parts))
-    if any(not any(p.kind == "talk" and not p.void for p in parts) for _, parts in counted):
-        counted = [(n, parts) for n, parts in counted if not any(p.kind == "talk" and not p.void for p in parts)]
-    for n, parts in counted:
-        total += n
-        for p in parts:
-            if p.kind and not p.void:
-                inside[p.number] = inside.get(p.number, 0) + n
-                marked[p.number] = p
-    heads = {p.number for _, _, part, _ in lines if any(x.tag == "h1" for x in above(part)) for p in above(part)}
-    for number, n in inside.items():
-        if 2 * n > total or number in heads and 5 * n > total:
-            marked[number].void = True
-    if 2 * sum(n for n, parts in counted if any(p.kind and not p.void for p in parts)) > total:
-        for p in marked.values():
-            p.void = True
+        weight = 0 if link else len(text)
+        total += weight
+        if part.mark is None:
+            kept[i] = True
+            size += weight
+            titled = titled or bool(part.title)
+        else:
+            part.mark.direct += weight
+            part.mark.lines.append(i)
+    outer: dict[str, list[Mark]] = {}
+    for mark in reversed(parser.marks):  # inner ones first
+        mark.size += mark.direct
+        if mark.above is not None:
+            mark.above.size += mark.size
+            mark.above.inner.append(mark)
+    heap: list[tuple[int, int, Mark]] = []
+
+    named: set[str] = set()
+    for k, mark in enumerate(parser.marks):
+        if mark.above is None and mark.size:
+            heapq.heappush(heap, (-mark.size, k, mark))
+            outer.setdefault(mark.name, []).append(mark)
+    order = len(parser.marks)
+    while heap and not titled and size < LEAST * total:
+        largest = heapq.heappop(heap)[2]
+        # all outermost elements of that mark are plain; what is marked inside them comes next
+        plain = [largest] if largest.plain else outer.pop(largest.name, [])
+        while plain:
+            mark = plain.pop()
+            if mark.plain:
+                continue
+            mark.plain = True
+            named.add(mark.name)
+            size += mark.direct
+            for i in mark.lines:
+                kept[i] = True
+                titled = titled or bool(lines[i][2].title)
+            for inner in mark.inner:
+                if not inner.size and not inner.lines:
+                    continue
+                if inner.name in named:
+                    plain.append(inner)
+                else:
+                    order += 1
+                    heapq.heappush(heap, (-inner.size, order, inner))
+                    outer.setdefault(inner.name, []).append(inner)
+    return kept
 
 
 def main_text(html: str) -> str:
@@ -255,65 +316,56 @@ def main_text(html: str) -> str:
     parser.feed(html)
     parser.close()
     parser.flush()
-    root = parser.root
     lines = parser.lines
     if not lines:
         return ""
-    chosen = content(lines)
-    overrule(lines, chosen)
-    inside: dict[int, tuple[int, Part]] = {}
-    total = 0
-    for (text, _, part, _), good in zip(lines, chosen):
-        if not good or left_out(part, root):
-            continue
-        total += len(text)
-        for p in above(part):
-            inside[p.number] = (inside.get(p.number, (0, p))[0] + len(text), p)
-    named: dict[int, tuple[int, Part]] = {}
-    for text, _, part, _ in lines:
-        for p in above(part):
-            if p.tag in ("article", "main") and not left_out(p, root):
-                named[p.number] = (named.get(p.number, (0, p))[0] + (0 if left_out(part, p) else len(text)), p)
-    if named:
-        size = {n: (inside.get(n, (0, p))[0], length, -n) for n, (length, p) in named.items()}
-        tops = [p for _, p in named.values() if p.tag == "article" and not any(x.tag == "article" and x.number in named for x in above(p.above))]
-        held = [p for p in tops if size[p.number][0]]
-        mains = [p for _, p in named.values() if p.tag == "main"]
-        main = max(mains, key=lambda p: size[p.number], default=None)
-        if main and size[main.number][0] > 2 * sum(size[p.number][0] for p in held if main in above(p)):
-            # most of its content is outside of articles
-            held = [main] + [p for p in held if main not in above(p)]
-        held = held or [max((p for _, p in named.values()), key=lambda p: size[p.number])]
-        kept, headed = [], False
-        for (text, _, part, link), good in zip(lines, chosen):
-            up = above(part)
-            region = next((p for p in held if p in up), None)
-            if region:
-                headed = False
-                if not left_out(part, region):
-                    kept.append(text)
-            elif main and main in up and not left_out(part, main):
-                # the headline, the lines from it to the article, and other content beside the articles
-                head = any(p.tag == "h1" for p in up)
-                headed = headed or head
-                if head or (good or headed) and not link:
+    plain = unmarked(parser)
+    good = [g and p and not line[3] for g, p, line in zip(content(lines), plain, lines)]
+    if not any(good):
+        good = [p and not line[3] for p, line in zip(plain, lines)]
+    size: dict[Part, int] = {}
+    spread: dict[Part, int] = {}
+    outside = inside = 0
+    for (text, _, part, _), is_good in zip(lines, good):
+        if is_good:
+            if part.article is None and part.main is None:
+                outside += len(text)
+            else:
+                inside += len(text)
+                for element in (part.article, part.main):
+                    if element is not None:
+                        size[element] = size.get(element, 0) + len(text)
+                if part.main is not None and part.article is not None:
+                    spread[part.main] = spread.get(part.main, 0) + len(text)
+    if inside and outside <= 2 * inside:
+        mains = {element for element in size if element.tag == "main" and size[element] > 2 * spread.get(element, 0)}
+        region = [ok and (line[2].article in size or line[2].main in mains) for ok, line in zip(plain, lines)]
+        titled = any(r and line[2].title for r, line in zip(region, lines))
+        kept, headed = [], None
+        for (text, _, part, link), ok, own, is_good in zip(lines, plain, region, good):
+            if own:
+                headed = None
+                kept.append(text)
+            elif ok:
+                # a headline before the region, the lines from it to the article, and content beside the articles of a main
+                if part.title and not kept and not titled:
+                    headed = part.main or part
+                if part.title and headed is not None or part.main is not None and (part.title or is_good or headed is part.main and not link):
                     kept.append(text)
         return "\n".join(kept)
-    region = root
-    if total:
-        enough = [p for size, p in inside.values() if size >= SHARE * total]
-        region = max(enough, key=lambda p: p.number)
-        if region.tag in ("p", "li") or region.tag in HEADINGS:
-            region = region.above
-    # content beside the region, with the other lines of the element it stands in
-    beside = {x[2].above.number for x, good in zip(lines, chosen) if good and not x[3] and x[2].above and x[2].above not in above(region)}
-    kept = [x for x, good in zip(lines, chosen) if not left_out(x[2], root) and (
-        region in above(x[2]) or good and not x[3] or any(p.tag == "h1" or p.number in beside and not x[3] for p in above(x[2])))]
-    for _, _, part, link in kept:
-        if not link:
-            for p in above(part):
-                p.links = False
-    return "\n".join(text for text, _, part, _ in kept if not any(p.tag in ("ul", "ol") and p.links for p in above(part)))
+    places = [i for i, is_good in enumerate(good) if is_good]
+    if not places:
+        return ""
+    beside = {lines[i][2].above for i in places}
+    kept = [i for i, (_, _, part, link) in enumerate(lines) if plain[i] and (
+        places[0] <= i <= places[-1] or part.title or not link and part.above in beside and part.above is not None)]
+    for i in kept:
+        if not lines[i][3]:
+            element = lines[i][2].list_
+            while element is not None and element.links:  # each list is told once that it holds more than links
+                element.links = False
+                element = element.above.list_ if element.above else None
+    return "\n".join(lines[i][0] for i in kept if not (lines[i][2].list_ and lines[i][2].list_.links))
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -209,3 +209,62 @@ def test_extract_selection_keeps_all_content():
     assert extract.main_text(f"<main><h1>Head</h1>{one('lead')}<article>{one(2, 4)}</article></main>").split("\n") == ["Head", *said("lead"), *said(2, 4)]
     assert extract.main_text(f"<body><article>{one(1, 3)}</article><article>{one(2, 2)}</article>").split("\n") == said(1, 3) + said(2, 2)
     assert extract.main_text(f"<body><h1>Head</h1><div>{one(1, 17)}</div><div>{one(2, 3)}</div>").split("\n") == ["Head", *said(1, 17), *said(2, 3)]
+
+
+LONG = "".join(f"<p>Aside {k}: {SENTENCE}</p>" for k in range(4))
+
+
+def test_extract_leaves_out_what_is_longer_than_the_article():
+    body = f"<h1>Head</h1><p>{SENTENCE}</p>"
+    want = f"Head\n{SENTENCE.strip()}"
+    for mark in ("sidebar", "footer", "cookie-notice", "widget", "related", "comments", "newsletter-signup"):
+        assert extract.main_text(f'<body><div class="content">{body}</div><div class="{mark}">{LONG}</div>') == want, mark
+        assert extract.main_text(f'<body><article>{body}<div class="{mark}">{LONG}</div></article>') == want, mark
+        assert extract.main_text(f'<body><main>{body}<div id="{mark}">{LONG}</div></main>') == want, mark
+
+
+def test_extract_leaves_out_comments_as_articles():
+    talk = "".join(f"<article><h3>Reader {k}</h3><p>{SENTENCE}</p></article>" for k in range(5))
+    body, want = f"<h1>Head</h1><p>{SENTENCE}</p>", f"Head\n{SENTENCE.strip()}"
+    assert extract.main_text(f'<article>{body}<section class="comments"><h2>Talk</h2>{talk}</section></article>') == want
+    assert extract.main_text(f'<article>{body}</article><section id="comments">{talk}</section>') == want
+    assert extract.main_text(f'<article>{body}</article><article class="comment-7"><p>{SENTENCE}</p></article>') == want
+    assert extract.main_text(f'<article>{body}<aside class="comments">{talk}</aside></article>') == want
+
+
+def test_extract_deep_pages_in_linear_time():
+    import time
+    for n, opening in ((1000, "<div>"), (100_000, "<div>"), (100_000, '<div class="widget">'), (50_000, "<span><ul><li>"), (100_000, "<article>")):
+        page = "".join(f"{opening}line {k}</b></nav>" for k in range(n))
+        start = time.process_time()
+        assert extract.main_text(page).split("\n") == [f"line {k}" for k in range(n)], (n, opening)
+        assert time.process_time() - start < 12
+
+
+def page_and_text(rng):
+    """A made page and its main text: menus, adverts, sidebars, footers and comments around an article in one of four layouts."""
+    words = lambda a, b: " ".join(rng.choice(WORDS) for _ in range(rng.randint(a, b)))
+    paragraphs = [(tag, words(*size)) for tag, size in rng.choices([("p", (20, 90)), ("p", (12, 30)), ("h2", (2, 6)), ("blockquote", (15, 40))], [6, 3, 1, 1], k=rng.randint(4, 14))]
+    paragraphs.insert(0, ("p", words(40, 80)))
+    head = words(3, 8)
+    inner = "".join(f"<{t}>{x.replace('and', '<b>and</b>')}</{t}>\n" for t, x in paragraphs)
+    noise = lambda: f"<p>{words(5, 80)}</p>" * rng.randint(1, 4)
+    junk = lambda: rng.choice([f'<div class="ad">{noise()}</div>', f'<aside>{noise()}</aside>', f'<div class="cookie-notice">{noise()}</div>', f'<form><label>{words(1, 4)}</label><input></form>',
+                               f'<div id="sidebar">{noise()}<ul><li><a href=x>{words(1, 3)}</a></li></ul></div>', f"<script>{words(3, 9)}</script>", f"<!-- {words(3, 9)} -->"])
+    talk = f'<section class="comments"><h2>Comments</h2>' + "".join(f"<article><p>{words(5, 60)}</p></article>" for _ in range(rng.randint(0, 4))) + "</section>"  # noqa: F541
+    menu = "<nav><ul>" + "".join(f"<li><a href=/{k}>{words(1, 2)}</a></li>" for k in range(rng.randint(2, 9))) + "</ul></nav>"
+    opening, closing = rng.choice([("<article>", "</article>"), ("<main>", "</main>"), ('<div class="content">', "</div>"), ('<div class="has-sidebar"><div class="post">', "</div></div>")])
+    half = len(inner) // 2
+    cut = inner.index("\n", half) if "\n" in inner[half:] else len(inner)
+    page = f"<html><head><title>{head}</title></head><body><header>{words(1, 4)}{menu}</header>{junk()}{opening}<h1>{head}</h1>{inner[:cut]}{junk()}{inner[cut:]}{rng.choice(['', talk])}{closing}{junk()}{talk}<footer>{noise()}</footer>"
+    return page, "\n".join([head, *[x for _, x in paragraphs]])
+
+
+WORDS = "time and the river of old stone houses where light falls over every narrow street until evening comes again with rain".split()
+
+
+def test_extract_against_pages_with_known_text():
+    rng = random.Random(11)
+    for _ in range(400):
+        page, want = page_and_text(rng)
+        assert extract.main_text(page) == want, page
