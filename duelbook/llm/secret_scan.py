@@ -3,9 +3,9 @@
 Strong findings stand alone: ``assign`` (a named secret with a value), ``access`` (an access key id) and ``hex`` (a long hexadecimal
 run). Weak candidates are ``ident`` (a named user or client), ``key`` (a bare 40-character token of mixed case with digits) and
 ``endpoint`` (a service address). They are reported only next to what completes them: within the same scope, the text between two
-blank lines, and at most ``reach`` code points between the end of one and the start of the other, an ident needs a secret (assign, hex or key), a key needs an
-identifier (access or ident) or an endpoint, and an endpoint needs a secret. The join is the
-latest end before and the first start behind, by frames over the parts of a scope, so no pairs are made.
+blank lines, an ident needs a secret (assign, hex or key), a key needs an identifier (access or ident) or an endpoint, and an
+endpoint needs a secret, at any distance. Scopes are the intervals between breaks; which parts a scope holds is one row for each
+scope, to which its parts are joined, so no pairs are made.
 
 Offsets are code points, end exclusive. Matches of a kind are leftmost and do not overlap; those that are too short are dropped
 after matching. Kinds may overlap each other.
@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from duelbook.llm.batches import without
 from duelbook.session import cut
 
-REACH = 300
 VALUE = "[A-Za-z0-9+/_.=-]+"
 KINDS = ("assign", "access", "hex", "ident", "key", "endpoint")
 STRONG = KINDS[:3]
@@ -60,22 +59,17 @@ def parts(documents: DataFrame, text: str = "text") -> DataFrame:
     return once.withColumn("end", end).where("m.fits").select("_key", "kind", (F.col("end") - F.col("m.size")).alias("start"), "end")
 
 
-def findings(found: DataFrame, reach: int = REACH) -> DataFrame:
+def findings(found: DataFrame) -> DataFrame:
     """(_key, kind, start, end): strong parts, and weak ones with what completes them in their scope."""
     upto = Window.partitionBy("_key").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     scoped = found.withColumn("scope", F.sum(F.when(F.col("kind") == BREAK, 1).otherwise(0)).over(upto)).where(F.col("kind") != BREAK)
-    order = Window.partitionBy("_key", "scope").orderBy("start")
-    upto, on = order.rangeBetween(Window.unboundedPreceding, Window.currentRow), order.rangeBetween(Window.currentRow, Window.unboundedFollowing)
 
-    def beside(*kinds):
-        is_it = F.col("kind").isin(*kinds)
-        ends, starts = F.max(F.when(is_it, F.col("end"))).over(upto), F.min(F.when(is_it, F.col("start"))).over(on)
-        return F.coalesce(F.col("start") - ends <= reach, F.lit(False)) | F.coalesce(starts - F.col("end") <= reach, F.lit(False))
+    def holds(*kinds):
+        return F.max(F.col("kind").isin(*kinds))
 
-    completed = (F.col("kind").isin(*STRONG) | ((F.col("kind") == "ident") & F.col("secret")) | ((F.col("kind") == "endpoint") & F.col("secret"))
-                 | ((F.col("kind") == "key") & F.col("other")))
-    return scoped.withColumns({"secret": beside("assign", "hex", "key"), "other": beside("access", "ident", "endpoint")}).where(completed).select(
-        "_key", "kind", "start", "end")
+    scopes = scoped.groupBy("_key", "scope").agg(holds("assign", "hex", "key").alias("secret"), holds("access", "ident", "endpoint").alias("other"))
+    completed = F.col("kind").isin(*STRONG) | (F.col("kind").isin("ident", "endpoint") & F.col("secret")) | ((F.col("kind") == "key") & F.col("other"))
+    return scoped.join(scopes, ["_key", "scope"]).where(completed).select("_key", "kind", "start", "end")
 
 
 def _joined(spans: Column) -> Column:
@@ -85,11 +79,11 @@ def _joined(spans: Column) -> Column:
 RESULTS = ["n_assign", "n_access", "n_hex", "base_spans", "spans"]
 
 
-def scan(documents: DataFrame, text: str = "text", reach: int = REACH) -> DataFrame:
+def scan(documents: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_assign, n_access, n_hex, base_spans and spans (``kind:start:end`` by start, then kind, joined by commas)."""
     source = without(documents, [*RESULTS, "_key"])
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int")
-    rows = findings(cut(parts(source, text)), reach).withColumn("rank", rank)
+    rows = findings(cut(parts(source, text))).withColumn("rank", rank)
     counts = [F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in STRONG]
     each = rows.groupBy("_key").agg(*counts, F.sort_array(F.collect_list(F.struct("start", "rank", "end"))).alias("all"))
     told = each.select("_key", *[f"n_{k}" for k in STRONG], _joined(F.filter("all", lambda s: s["rank"] <= len(STRONG))).alias("base_spans"), _joined(F.col("all")).alias("spans"))

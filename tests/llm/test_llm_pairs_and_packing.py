@@ -205,7 +205,7 @@ def test_weak_parts_need_their_complement(spark):
     key = "aB3" + "dEfGhIjKl+/0" * 3 + "Q"
     cases = {
         "user=bob password: hunter2222 https://x.y/z": "ident:0:8,assign:9:29,endpoint:30:43", "https://a.b/c alone": "", "user: bob": "",
-        "user: bob\n\nsecret=abcdefgh": "assign:11:26", f"user=bob {'x' * 400} secret=abcdefgh": "assign:410:425",
+        "user: bob\n\nsecret=abcdefgh": "assign:11:26", f"user=bob {'x' * 4000} secret=abcdefgh": "ident:0:8,assign:4010:4025",
         f"client_id = abc123 {key}": "ident:0:18,key:19:59", key: "", f"https://db.x {key}": "endpoint:0:12,key:13:53",
     }
     docs = spark.createDataFrame(list(enumerate(cases)), "doc_id int, text string")
@@ -311,9 +311,9 @@ def test_failed_checks_use_up_no_text(spark):
     assert got[5][1] == 2 and card not in got[5][0] and got[6][1] == 2 and "30 123456 " not in got[6][0] and got[9][1] == 2 and card not in got[9][0]
 
 
-def test_secret_parts_are_linked_from_end_to_start(spark):
+def test_secret_parts_are_linked_at_any_distance_in_a_scope(spark):
     key, address = "aB3" + "x" * 37, "https://db.x/" + "p" * 400
-    docs = spark.createDataFrame([(1, f"{address} {key}"), (2, f"{key} {address} user=bob"), (3, f"{key} {'x' * 301} user=bob")], "doc_id int, text string")
+    docs = spark.createDataFrame([(1, f"{address} {key}"), (2, f"{key} {address} user=bob"), (3, f"{key} {'x' * 301} user=bob"), (4, f"{key}\n \nuser=bob")], "doc_id int, text string")
     got = {r.doc_id: r.spans for r in secret_scan.scan(docs).collect()}
     n = len(address)
-    assert got == {1: f"endpoint:0:{n},key:{n + 1}:{n + 41}", 2: f"key:0:40,endpoint:41:{n + 41}", 3: ""}
+    assert got == {1: f"endpoint:0:{n},key:{n + 1}:{n + 41}", 2: f"key:0:40,endpoint:41:{n + 41},ident:{n + 42}:{n + 50}", 3: "key:0:40,ident:343:351", 4: ""}
