@@ -5,8 +5,9 @@ other words and every document end is one separator. Separators are ordered by p
 crosses one. The Burrows-Wheeler transform is held in a wavelet matrix; all windows of the benchmark are searched backward
 at once, and their occurrences are located by walking to sampled suffix positions. Spans of hit words are merged.
 
-The benchmark is the query set. It is measured first and handled in blocks of at most ``block_bytes`` of text, one pass
-over the documents for each block, so what a task holds does not grow with it.
+The benchmark is the query set. It is measured first and handled in blocks of about ``block_bytes`` of text, one pass
+over the documents for each block, so what a task holds does not grow with it. Long items are cut into pieces that overlap by all
+but one word of a window, so blocks hold ranges of windows, not whole items.
 
 Nulls, empty texts and texts without words have no words and no hits. Repeated documents are each reported. Repeated
 item ids are one item; an item id of null counts as ''. An empty benchmark hits nothing.
@@ -15,10 +16,12 @@ item ids are one item; an item id of null counts as ''. An empty benchmark hits
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,7 +32,7 @@ from duelbook.session import cut
 WINDOW = 10
 #: Lower-cases A-Z; every byte that is no word byte becomes a space. UTF-8 bytes from 0x80 on are word bytes.
 TABLE = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
-#: Symbols of a shard; three ranks below 2^21 fit one 63-bit sort key.
+#: Symbols of a shard.
 SHARD = 1 << 20
 SAMPLE = 8
 #: Benchmark text of one pass over the documents; a task then holds under a million windows.
@@ -49,14 +52,19 @@ def words_of(text: bytes) -> list[bytes]:
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
     """Sorted suffixes of a sequence that ends in a separator (0). Separators are distinct and ordered by place.
 
-    Each round orders by three times as many symbols and only sorts what is still tied.
+    Each round orders by three times as many symbols and only sorts what is still tied. Ranks are places in the sequence, not
+    symbols, so a sort key of three ranks has its 63 bits for any vocabulary; a sequence of 2^21 symbols or more is sorted by two.
     """
     n = len(symbols)
+    bits = max(1, n.bit_length())
+    if 2 * bits > 63:
+        raise ValueError(f"a shard of {n} symbols is too long for a sort key of two ranks")
     rank = np.zeros(n, np.int64)
     zero = symbols == 0
     count = int(zero.sum())
     rank[zero] = np.arange(count)
-    rank[~zero] = symbols[~zero].astype(np.int64) + count
+    rank[~zero] = np.unique(symbols[~zero], return_inverse=True)[1] + count
+    wide = 3 * bits <= 63
 
     def at(places: np.ndarray, step: int) -> np.ndarray:
         later = places + step
@@ -66,7 +74,9 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     slots, step = np.arange(n), 1
     while len(slots):
         here = order[slots]
-        key = (rank[here] << 42) | (at(here, step) << 21) | at(here, 2 * step)
+        key = (rank[here] << bits) | at(here, step)
+        if wide:
+            key = (key << bits) | at(here, 2 * step)
         by = np.argsort(key, kind="stable")
         here, key = here[by], key[by]
         order[slots] = here
@@ -77,7 +87,7 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
         rank[here] = slots[first]
         last = np.append(new[1:], True)
         slots = slots[~(new & last)]
-        step *= 3
+        step *= 3 if wide else 2
     return order
 
 
@@ -272,11 +282,37 @@ def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(out) + text[last:]
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> list[DataFrame]:
+def _blocks(benchmark: DataFrame, item: str, text: str, window: int, block_bytes: int) -> list[DataFrame]:
+    """(item, text) by blocks: the windows of a long text come in pieces of at most an eighth of a block."""
     rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     parts = max(1, -(-total // block_bytes))
-    return [rows.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == k) if parts > 1 else rows for k in range(parts)]
+    if parts == 1:
+        return [rows]
+    room = max(1, block_bytes // 8)
+
+    def cut_up(batches):
+        for batch in batches:
+            for name, whole in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                yield from _pieces(name, whole, window, room)
+
+    pieces = cut(rows.mapInArrow(cut_up, "item string, text binary"))
+    return [pieces.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == k) for k in range(parts)]
+
+
+def _pieces(name: str, text: bytes, window: int, room: int) -> Iterator[pa.RecordBatch]:
+    """The words of a text in pieces of about ``room`` bytes, which overlap so that each window is whole in one of them."""
+    words, first = words_of(text) if len(text) > room else [], 0
+    if len(words) <= window:
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([text], pa.binary())], names=["item", "text"])
+        return
+    while first == 0 or first + window <= len(words):
+        last, size = first + window, sum(map(len, words[first:first + window]))
+        while last < len(words) and size < room:
+            size += len(words[last]) + 1
+            last += 1
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([b" ".join(words[first:last])], pa.binary())], names=["item", "text"])
+        first = last - window + 1
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -296,7 +332,7 @@ def find_spans(documents: DataFrame, benchmark: DataFrame, text: str = "text", i
     Input columns of these names are replaced.
     """
     results = None
-    for k, block in enumerate(_blocks(benchmark, item, item_text, block_bytes)):
+    for k, block in enumerate(_blocks(benchmark, item, item_text, window, block_bytes)):
         windows = Windows.of([(r["item"], bytes(r["text"])) for r in block.toLocalIterator()], window)
 
         def start(windows=windows):
@@ -326,7 +362,7 @@ def remove_spans(documents: DataFrame, benchmark: DataFrame, text: str = "text",
     Cutting goes on until the text has none, as a cut may join the ends of another window. Clean texts stay as they are,
     null texts too.
     """
-    blocks = _blocks(benchmark, item, item_text, block_bytes)
+    blocks = _blocks(benchmark, item, item_text, window, block_bytes)
     out = documents.withColumn("n_hit", F.lit(0).cast("long"))
     return _remove_one(out, blocks[0], text, window) if len(blocks) == 1 else _remove_blocks(out, blocks, text, window)
 

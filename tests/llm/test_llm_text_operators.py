@@ -268,3 +268,32 @@ def test_extract_against_pages_with_known_text():
     for _ in range(400):
         page, want = page_and_text(rng)
         assert extract.main_text(page) == want, page
+
+
+def test_a_large_vocabulary_and_a_long_item(spark):
+    # more distinct benchmark words than three ranks of a 63-bit key could hold side by side
+    names = [f"w{k}" for k in range(2_150_000)]
+    texts = [" ".join(["before", *names[k:k + 12 + k % 9], "behind"]).encode() for k in range(0, 2_100_000, 14_000)]
+    windows = decontaminate.Windows.of([("i", " ".join(names).encode())], 10)
+    counts, spans, items = decontaminate.hits(texts, windows)
+    assert [(c, s, i) for c, s, i in zip(counts, spans, items)] == [(n + 2, [(1, n + 1)], ["i"]) for n in (12 + k % 9 for k in range(0, 2_100_000, 14_000))]
+
+
+def test_windows_of_a_long_item_in_blocks(spark):
+    words = [f"w{k}" for k in range(30_000)]
+    bench = spark.createDataFrame([("long", " ".join(words)), ("short", "one two"), ("none", "")], "item_id string, text string")
+    rows = [(k, f"x {' '.join(words[k:k + 3 + k % 5])} y one two") for k in range(0, 29_000, 97)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(decontaminate._blocks(bench, "item_id", "text", 3, 20_000)) > 5
+    got = {r.doc_id: ([tuple(s) for s in r.hit_spans], r["items"]) for r in decontaminate.find_spans(docs, bench, window=3, block_bytes=20_000).collect()}
+    assert got == {k: ([(1, 4 + k % 5), (5 + k % 5, 7 + k % 5)], ["long", "short"]) for k, _ in rows}
+
+
+def test_suffix_array_by_two_ranks():
+    import numpy as np
+    rng = np.random.default_rng(2)
+    symbols = np.append(rng.integers(1, 3, (1 << 21) + 5), 0).astype(np.int32)
+    order = decontaminate.suffix_array(symbols)
+    assert len(np.unique(order)) == len(symbols)
+    text = symbols.astype(np.uint8).tobytes()
+    assert all(text[a:a + 200] <= text[b:b + 200] for a, b in zip(order[:-1:9973].tolist(), order[1::9973].tolist()))
