@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from duelbook.functions import prices, text
 from duelbook.functions.draft_text import FIELDS, with_draft
 from duelbook.operators.players import player_totals
 from duelbook.operators.sides import decided, first_of_key
 from duelbook.session import cut
+from duelbook.sources.store import KeyedStore
 
 
 def page_links(pages: DataFrame) -> DataFrame:
@@ -74,6 +76,24 @@ def update(stored: DataFrame, links: DataFrame, staged: DataFrame, arenas: list[
     return first_of_key(good, ["match_id"], [F.col("date"), F.col("a"), F.col("b")]), bad
 
 
+PROBLEMS = T.StructType([T.StructField("match_id", T.LongType()), T.StructField("date", T.DateType()), T.StructField("problem", T.StringType())])
+
+
+def run_update(store: KeyedStore, batch: str, links: DataFrame, staged: DataFrame, arenas: list[str], full_from: str) -> bool:
+    """One update as a job: new rows, and records and undated links with their problem, become visible with one commit.
+
+    The load window begins the day before the newest date that the commits note, and stored matches are found by the store's
+    filters, so what is stored is not read but for buckets that may hold a wanted match. False if the batch was committed before.
+    """
+    start = F.date_sub(F.lit(store.newest()).cast("date"), 1) if store.newest() else F.lit(full_from).cast("date")
+    unknown = store.absent(links.where(F.col("date").isNull() | (F.col("date") >= start)))
+    wanted = cut(unknown)
+    pages = staged.join(links_since(wanted, start).select(F.col("href").alias("link")).distinct(), "link", "left_semi")
+    good, bad = good_and_quarantined(cut(series_records(pages, arenas)))
+    undated = undated_links(wanted).select("match_id", "date", F.lit("undated link").alias("problem"))
+    return store.append(batch, good, [F.col("date"), F.col("a"), F.col("b")], bad.select("match_id", "date", "problem").unionByName(undated), checked=True)
+
+
 def series_records(staged: DataFrame, arenas: list[str]) -> DataFrame:
     """Extracted page fields -> series rows; ``problem`` names why a row cannot be used (null = good).
 

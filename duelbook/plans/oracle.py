@@ -397,6 +397,11 @@ def sql() -> dict[str, str]:
       from wanted where {good}"""
     q["update_quarantine"] = f"""with {SERIES}, {window} select match_id, date,
       case when not (won_a or match_id % 2 = 0) then 'no score' else 'no draft' end problem from wanted where not ({good})"""
+    rows = "match_id, cast(a as bigint) a, cast(b as bigint) b, date, won_a, cast(remaining as int) remaining"
+    q["committed_update"] = f"""with {SERIES}, {window} select {rows} from series where match_id in (select match_id from stored)
+      union all select {rows} from wanted where {good}"""
+    q["committed_quarantine"] = q["update_quarantine"] + """
+      union all select distinct cast(strftime(date, '%Y%m') as bigint), null, 'undated link' from series"""
     q["season_table"] = f"with {SERIES} select {KEYS} from series where year(date) = 1999"
 
     q["player_totals"] = f"with {PLAYERS}, {totals} select * from totals"

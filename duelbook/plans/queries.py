@@ -15,7 +15,7 @@ from duelbook.plans import fixtures as fx
 from duelbook.session import cut, scratch_path
 from duelbook.sources import dictionaries
 from duelbook.sources import models as stored_models
-from duelbook.sources import tables
+from duelbook.sources import store, tables
 from duelbook.streaming import ingest as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -539,6 +539,34 @@ def update_quarantine(spark, folder):
     return _update(spark, folder)[1].select("match_id", "date", "problem")
 
 
+def _committed(spark, folder):
+    """A store filled by one append, then updated by a job that runs twice; pages carry a link without a date too."""
+    staged = fx.staged(spark, folder)
+    records = cut(ingest.series_records(staged, fx.ARENA_NAMES))
+    good, _ = ingest.good_and_quarantined(records)
+    kept = store.KeyedStore(spark, scratch_path(spark, "series-store"), ["match_id"], good.schema, dated="date")
+    order = [F.col("date"), F.col("a"), F.col("b")]
+    kept.append("load", good.filter((F.col("date") < UPDATE_FROM) & (F.col("match_id") % 3 != 0)), order)
+    links = ingest.dated_links(_month_pages(staged.select("match_id", "date")))
+    pages = staged.withColumn("link", F.when(F.col("match_id") % 4 == 3, F.concat(F.lit("/"), F.col("match_id").cast("string"), F.lit("/x?a=1&b=2"))).otherwise(
+        F.concat(F.lit("/"), F.col("match_id").cast("string"), F.lit("/x"))))
+    for _ in range(2):  # the second run finds its batch committed
+        ingest.run_update(kept, "update", links, pages, fx.ARENA_NAMES, "1990-01-01")
+    return kept
+
+
+@query
+def committed_update(spark, folder):
+    """The series table after a committed load and a committed update."""
+    return _committed(spark, folder).read().select("match_id", "a", "b", "date", "won_a", "remaining")
+
+
+@query
+def committed_quarantine(spark, folder):
+    """What the update has set aside in the same commit: bad records, and links without a date."""
+    return _committed(spark, folder).set_aside(ingest.PROBLEMS)
+
+
 @query
 def csv_bad_rows(spark, folder):
     """Series written as CSV with a leading index, columns in reverse order and some broken texts, read back by name."""
