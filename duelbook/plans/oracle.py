@@ -383,6 +383,7 @@ def sql() -> dict[str, str]:
       select {line} from held union all select {line} from (select *, {first} from lineitem l
         where not exists (select 1 from held h where h.l_orderkey = l.l_orderkey and h.l_linenumber = l.l_linenumber)) z where rn = 1"""
     q["stream_ingest"] = "select event_id, user_id, event_type, value from events"
+    q["stream_state"] = q["stream_ingest"]
     wins = "2 a_gamewins, 0 b_gamewins"
     ints = ", ".join(f"cast({f} as int) {f}" for f in DRAFT_FIELDS)
     q["csv_round_trip"] = f"""with {SERIES} select match_id, cast(a as bigint) a, cast(b as bigint) b, won_a, {ints}, {wins}, cast(net_h2h as double) net_h2h,

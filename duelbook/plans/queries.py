@@ -17,6 +17,7 @@ from duelbook.sources import dictionaries
 from duelbook.sources import models as stored_models
 from duelbook.sources import store, tables
 from duelbook.streaming import ingest as streaming
+from duelbook.streaming import state
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -512,6 +513,19 @@ def stream_ingest(spark, folder):
     return streaming.ingest(spark, twice, ["event_id"], [F.col("ts")]).select("event_id", "user_id", "event_type", "value")
 
 
+@query
+def stream_state(spark, folder):
+    """Events that land in two runs, some again and some late, kept first by state and committed to a store."""
+    events = fx.table(spark, folder, "events")
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    scratch = scratch_path(spark, "stream-state")
+    kept = store.KeyedStore(spark, f"{scratch}/store", ["event_id"], events.schema, buckets=16)
+    for landed in (events.filter("event_id % 4 <> 3"), events.filter("event_id % 4 = 3 or event_id % 5 = 0")):
+        landed.write.mode("append").parquet(f"{scratch}/landed")
+        state.run_to_store(streaming.landed(spark, f"{scratch}/landed", events.schema), kept, f"{scratch}/checkpoint", "ts", ["event_type"])
+    return kept.read().select("event_id", "user_id", "event_type", "value")
+
+
 def _pages(series: DataFrame) -> DataFrame:
     """Result pages of a day, with links to its matches."""
     links = F.array_join(F.transform(F.array_sort(F.collect_set("link")), lambda h: F.concat(F.lit('<a href="'), h, F.lit('">x</a>'))), "")

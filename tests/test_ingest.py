@@ -1,11 +1,14 @@
 import datetime as dt
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from duelbook.functions import text
 from duelbook.operators import ingest
 from duelbook.operators.sides import first_of_key
+from duelbook.sources.store import KeyedStore
 from duelbook.streaming import ingest as streaming
+from duelbook.streaming import state
 
 NAMES = ["Alpha", "Bravo", "Coda", "Dune", "Echo", "Forge", "Grove"]
 DRAFT = "A ban Alpha; B ban Bravo; A pick Coda; B pick Dune; A ban Echo; B ban Forge; Grove remains"
@@ -122,3 +125,27 @@ def test_unknown_agents_are_a_problem(spark):
                                    "game_id long, side_no int, agent int, fks int, kills int, deaths int, assists int, acs int, rating double")
     row = ingest.game_records(people, spark.createDataFrame([(1,)], "game_id long"), list(range(5))).first()
     assert row.a_agents == [0, 1, 2, 3, 4] and row.b_agents == [0, 1, 2, 3] and row.problem == "unknown agent"
+
+
+def test_stateful_stream_counts_and_late_rows(spark, tmp_path):
+    at = lambda day, hour: dt.datetime(2024, 1, day, hour)
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("v", T.StringType()), T.StructField("ts", T.TimestampType())])
+    store = KeyedStore(spark, f"{tmp_path}/store", ["id"], schema, buckets=4)
+    landed = [
+        [(1, "b", at(9, 1)), (1, "a", at(9, 1)), (2, "x", at(9, 2)), (1, "c", at(9, 1)), (3, "x", at(9, 3))],
+        [(2, "y", at(9, 2)), (4, "late", at(2, 1)), (5, "far", at(20, 1)), (3, "z", at(9, 4)), (4, "late too", at(2, 2))],
+        [(1, "old", at(9, 1)), (6, "late", at(9, 1)), (2, "new again", at(21, 1)), (5, "f", at(20, 1)), (7, "new", at(20, 2))],
+    ]
+    every = []
+    for rows in landed:
+        every += rows
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/src")
+        stream = streaming.landed(spark, f"{tmp_path}/src", schema, files_per_trigger=1)
+        state.run_to_store(stream, store, f"{tmp_path}/check", "ts", ["v"])
+        state.run_to_store(stream, store, f"{tmp_path}/check", "ts", ["v"])  # nothing new
+    assert sorted((r.id, r.v) for r in store.read().collect()) == [(1, "a"), (2, "x"), (3, "x"), (4, "late"), (5, "far"), (6, "late"), (7, "new")]
+    counts = {r.kind: r.rows for r in state.told(store).collect()}
+    # late: 4 twice, and in the third batch 1 (its state is gone) and 6; repeats: 1 twice, 2, 3 and 5
+    assert counts == {"late": 4, "repeat": 5}
+    # 2 comes again with a new time when its state is gone: the filters find it
+    assert len(every) - len({r[0] for r in every}) == counts["repeat"] + 2 + 1
