@@ -20,6 +20,12 @@ STEPS = [
 ]
 TIE = ["match_id"]
 RATES = ["pick_rate", "ban_rate", "play_rate"]
+DRAFT_SUMS: Measures = {
+    "total": "1",
+    "picked": "cast(own_pick = arena as int)",
+    "banned": "cast(arena in (own_ban1, own_ban2) as int)",
+    "played": "cast(arena in (own_pick, opp_pick, remaining) as int)",
+}
 
 
 def touched_arenas(series: DataFrame, arenas: list[int], carried: list[str]) -> DataFrame:
@@ -63,19 +69,26 @@ def draft_rates(
     in the pool depends on the date alone, so cutting each (side, day) to n series before spreading
     them over arenas loses nothing.
     """
-    sides = side_rows(series, keep=["match_id", "date", "remaining"]).select(
-        "side", "date", *TIE, "own_ban1", "own_ban2", "own_pick", "opp_pick", "remaining"
-    )
+    sides = _drafting(series)
     if n > 0:
         sides = last_of_day(sides, ["side"], n, TIE)
     spread = sides.withColumn("arena", F.explode(pool_on(calendar, F.col("date"), arenas)))
-    sums: Measures = {
-        "total": "1",
-        "picked": "cast(own_pick = arena as int)",
-        "banned": "cast(arena in (own_ban1, own_ban2) as int)",
-        "played": "cast(arena in (own_pick, opp_pick, remaining) as int)",
-    }
-    state = sums_before(spread, asks, ["side", "arena"], sums, n, TIE, is_cut=True)
+    return rates_of_sums(sums_before(spread, asks, ["side", "arena"], DRAFT_SUMS, n, TIE, is_cut=True))
+
+
+def _drafting(series: DataFrame) -> DataFrame:
+    return side_rows(series, keep=["match_id", "date", "remaining"]).select(
+        "side", "date", *TIE, "own_ban1", "own_ban2", "own_pick", "opp_pick", "remaining"
+    )
+
+
+def drafting_sides(series: DataFrame, arenas: list[int], calendar: Calendar) -> DataFrame:
+    """Side rows of the drafts, one for each arena in the pool on their date."""
+    return _drafting(series).withColumn("arena", F.explode(pool_on(calendar, F.col("date"), arenas)))
+
+
+def rates_of_sums(state: DataFrame) -> DataFrame:
+    """Adds the rates to the sums of ``DRAFT_SUMS``."""
     total = F.col("total")
     return state.withColumns({
         "pick_rate": ratio(F.col("picked"), total),

@@ -133,12 +133,21 @@ def arena_form(
         return _profile(here.unionByName(firsts.join(anywhere, ["side", "date"])), key, figures)
     here = sums_before(sides, asks, key, own, n, TIE, is_cut=True)
     anywhere = sums_before(sides, asks.select("side", "date").distinct(), wide_key, own, n, TIE)
+    return _profile(or_anywhere(here, anywhere, names), key, figures)
+
+
+def or_anywhere(here: DataFrame, anywhere: DataFrame, names: list[str]) -> DataFrame:
+    """The sums on the arena, or those on any arena where a side has no game there; ``n`` counts the games."""
     spare = anywhere.select("side", "date", *[F.col(m).alias(f"_any_{m}") for m in names])
-    merged = here.join(spare, ["side", "date"], "left").select(
-        *key, "date",
+    return here.join(spare, ["side", "date"], "left").select(
+        "side", "arena", "date",
         *[F.when(F.col("n") > 0, F.col(m)).otherwise(F.col(f"_any_{m}")).alias(m) for m in names],
     )
-    return _profile(merged, key, figures)
+
+
+def form_of_sums(sums: DataFrame) -> DataFrame:
+    """The seven figures of sums by (side, arena, date)."""
+    return _profile(sums, ["side", "arena"], form_figures())
 
 
 def side_form(games: DataFrame, asks: DataFrame, n: int = 20) -> DataFrame:

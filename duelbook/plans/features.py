@@ -2,24 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelbook.operators.draft import draft_asks, draft_choices, draft_rates, with_mean_rates
+from duelbook.functions.numbers import ratio
+from duelbook.operators.draft import DRAFT_SUMS, draft_asks, draft_choices, draft_rates, drafting_sides, rates_of_sums, with_mean_rates
+from duelbook.operators.draft import TIE as DRAFT_TIE
 from duelbook.operators.form import (
     FORM,
+    FORM_SUMS,
     WIDE,
     WIDE_SUMS,
     arena_form,
     arena_win_rate,
     form_difference,
+    form_of_sums,
+    or_anywhere,
     side_form,
     wide_figures,
 )
+from duelbook.operators.form import TIE as FORM_TIE
 from duelbook.operators.history import asks_of
 from duelbook.operators.pool import Calendar, for_each_arena
 from duelbook.operators.ratings import month_number, with_period_elo
-from duelbook.operators.sides import drop_nulls, fill_zero, with_difference
+from duelbook.operators.sides import drop_nulls, fill_zero, side_rows, with_difference
+from duelbook.sources.kept import LastRows
 
 DIFFS = [f"{v}_diff" for v in FORM]
 WIDE_DIFFS = [f"{v}_diff" for v in WIDE]
@@ -78,6 +87,50 @@ def upcoming_features(
     return with_form(with_mean_rates(rows, win, draft_rates(series, asks, arenas, calendar, n)), games, n, asks)
 
 
+@dataclass
+class KeptCard:
+    """What the card needs of the past, kept between runs: each side's last games on an arena and on any, and last drafts."""
+
+    spark: SparkSession
+    path: str
+    arenas: list[int]
+    calendar: Calendar
+    n: int = 20
+
+    def _parts(self) -> tuple[LastRows, LastRows, LastRows]:
+        games = FORM_SUMS | {"wins": "cast(won as int)"}
+        return (LastRows(self.spark, f"{self.path}/here", ["side", "arena"], games, FORM_TIE, self.n),
+                LastRows(self.spark, f"{self.path}/anywhere", ["side"], FORM_SUMS, FORM_TIE, self.n),
+                LastRows(self.spark, f"{self.path}/drafts", ["side", "arena"], DRAFT_SUMS, DRAFT_TIE, self.n))
+
+    def update(self, series: DataFrame, games: DataFrame, through: str) -> None:
+        """Moves the state on to a day. A run that ended between its parts is made whole by the next run for that day."""
+        here, anywhere, drafts = self._parts()
+        sides = side_rows(games, keep=["arena", "date", *FORM_TIE])
+        here.update(sides, through)
+        anywhere.update(sides, through)
+        drafts.update(drafting_sides(series, self.arenas, self.calendar), through)
+
+    def through(self) -> str | None:
+        """The day the state is through; an error if its parts differ."""
+        days = {(part.state() or {}).get("through") for part in self._parts()}
+        if len(days) > 1:
+            raise RuntimeError(f"the kept state is through different days, {sorted(map(str, days))}: run the update again")
+        return days.pop()
+
+    def features(self, upcoming: DataFrame) -> DataFrame:
+        """As ``upcoming_features``, for contests behind the state's day, without a look at the history."""
+        self.through()
+        here, anywhere, drafts = self._parts()
+        rows = for_each_arena(upcoming, self.calendar, self.arenas)
+        asks = asks_of(rows, "arena")
+        sums = here.sums(asks)
+        win = sums.select("side", "arena", "date", ratio(F.col("wins"), F.col("n")).alias("win_rate"))
+        form = form_of_sums(or_anywhere(sums, anywhere.sums(asks.select("side", "date").distinct()), list(FORM_SUMS)))
+        averaged = with_mean_rates(rows, win, rates_of_sums(drafts.sums(asks)))
+        return form_difference(averaged, form, averaged.columns)
+
+
 def second_tier_features(series: DataFrame, games: DataFrame, n: int = 20) -> DataFrame:
     """Series-level form differences over all arenas, with past_diff and the line."""
     carried = ["match_id", "a", "b", "date", "won_a", "past_diff", "odds"]

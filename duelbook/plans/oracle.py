@@ -459,6 +459,19 @@ def sql() -> dict[str, str]:
     q["train_backtest"] = f"""with {shared}, {REGIONS}, ex as (select n_nationkey k from nation where n_regionkey = 3)
       select match_id, date, won_a, {stated} from shared join regions x on x.team_id = a join regions y on y.team_id = b
       where {bet_window} and x.region = y.region and a not in (select k from ex) and b not in (select k from ex)"""
+    draft_means = ", ".join(f"(coalesce(x.{v}, 0.0) + coalesce(y.{v}, 0.0)) / 2.0 {o}" for o, v in
+                            (("avg_win", "win_rate"), ("avg_pick", "pick_rate"), ("avg_ban", "ban_rate"), ("avg_play", "play_rate")))
+    q["kept_features"] = f"""with {GAMES}, {GAME_SIDES}, {SERIES}, {SERIES_SIDES}, {IN_POOL},
+      past as materialized (select * from gs where date < date '2000-10-01'), drafted as materialized (select * from pooled where date < date '2000-10-01'),
+      later as materialized (select match_id, a, b, date, cast(unnest({POOL}) as int) arena from series where date >= date '2000-10-01'
+        union all select match_id, a, b, date, null from series where date >= date '2000-10-01' and {OUT} is null),
+      asked as materialized ({_asks('later', 'arena')}),
+      {_last('dr', 'drafted', 'asked', ['side', 'arena'], 'match_id', DRAFT_SUMS, 20)}, {_last('wr', 'past', 'asked', ['side', 'arena'], 'game_id', WIN_SUMS, 20)},
+      st as materialized (select dr.side, dr.arena, dr.date, {WIN_RATE}, {DRAFT_RATES} from dr join wr using (side, arena, date)),
+      av as materialized (select c.*, {draft_means} from later c left join st x on x.side = c.a and x.arena = c.arena and x.date = c.date
+        left join st y on y.side = c.b and y.arena = c.arena and y.date = c.date),
+      {_with_fallback('asked', FORM_SUMS, FORM_FIGURES, hist='past')}
+      {_diff('av', 'f', 'match_id, a, b, date, arena, avg_win, avg_pick, avg_ban, avg_play', FORM)}"""
     q["upcoming_card"] = f"""with {SERIES}, ex as (select n_nationkey k from nation where n_regionkey = 3)
       select match_id, date, a, b, x.n_name a_name, y.n_name b_name, {OUT} is null no_chance, true in_range, true bet_as_stated
       from series join nation x on x.n_nationkey = a join nation y on y.n_nationkey = b

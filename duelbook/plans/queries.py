@@ -839,6 +839,22 @@ def train_backtest(spark, folder):
 CARD_FROM = "2000-10-01"
 
 
+def _kept(spark, past: DataFrame, games: DataFrame) -> features.KeptCard:
+    """State of the past, brought to the card's eve by three updates."""
+    state_of = features.KeptCard(spark, scratch_path(spark, "kept"), fx.ARENAS, fx.CALENDAR)
+    for through in ("1997-12-31", "2000-09-29", "2000-09-30"):
+        state_of.update(past, games, through)
+    return state_of
+
+
+@query
+def kept_features(spark, folder):
+    """Mean rates and form differences of the card's contests from kept state."""
+    series, games = fx.series(spark, folder), fx.games(spark, folder)
+    later = series.filter(F.col("date") >= CARD_FROM).select("match_id", "a", "b", "date")
+    return _kept(spark, series, games).features(later)
+
+
 @query
 def upcoming_card(spark, folder):
     """Models trained before the card's first day score every later series as if it were upcoming."""
@@ -850,7 +866,7 @@ def upcoming_card(spark, folder):
     card = later.withColumns({"a_odds": 1.0 / F.col("best_odds"), "b_odds": 1.0 / (1.0 - F.col("worst_odds"))})
     rows = backtest.upcoming_card(
         card, past, earlier_games, trained, fx.teams(spark, folder), fx.ARENAS, fx.CALENDAR,
-        known=fx.first_tier(spark, folder), excluded=fx.excluded(spark, folder), period=_quarter(),
+        known=fx.first_tier(spark, folder), excluded=fx.excluded(spark, folder), period=_quarter(), kept=_kept(spark, past, earlier_games),
     )
     p = F.col("pred")
     bet = prices.pick_bet(prices.expected_value(p, F.col("a_odds")), prices.expected_value(1.0 - p, F.col("b_odds")))

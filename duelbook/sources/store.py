@@ -14,7 +14,6 @@ for each 3,000 keys of a bucket keeps wrong hints near one in fifty. Fewer pages
 
 from __future__ import annotations
 
-import json
 import uuid
 from dataclasses import dataclass
 
@@ -24,16 +23,13 @@ from pyspark.sql import types as T
 
 from duelbook.operators.sides import first_of_key
 from duelbook.session import cut
+from duelbook.sources.commits import CommitLog
 
 PAGE_BITS = 1 << 15
 HASHES = 3
 _COMMIT = "version long, batch string, folder string, rows long, newest string"
 
 
-class CommitConflict(RuntimeError):
-    """Another append has taken the version; nothing of this one is visible."""
-
-
 @dataclass
 class KeyedStore:
     """``schema`` has the key columns; ``dated`` names a date column whose newest value each commit notes."""
@@ -48,11 +44,7 @@ class KeyedStore:
 
     def commits(self) -> list[dict]:
         """The commits in their order."""
-        folder = f"{self.path}/_commits"
-        if not self._files().exists(self._path(folder)):
-            return []
-        rows = self.spark.read.schema(_COMMIT).json(f"{folder}/*.json").collect()  # one small row an append
-        return sorted((r.asDict() for r in rows), key=lambda r: r["version"])
+        return self._log().entries()
 
     def newest(self) -> str | None:
         """The newest date of all commits, without a look at the rows."""
@@ -70,7 +62,7 @@ class KeyedStore:
     def set_aside(self, schema: T.StructType) -> DataFrame:
         """What committed appends have set aside."""
         folders = [f"{self.path}/aside/append={c['folder']}" for c in self.commits()]
-        folders = [f for f in folders if self._files().exists(self._path(f))]
+        folders = [f for f in folders if self._log().exists(f)]
         return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
     def suspected(self, keys: DataFrame) -> DataFrame:
@@ -121,27 +113,10 @@ class KeyedStore:
         return tuple(written.agg(F.count(F.lit(1)), newest).first())
 
     def _commit(self, entry: dict) -> None:
-        """The one step that makes an append visible: a rename that fails if the version is taken."""
-        files, jvm = self._files(), self.spark._jvm
-        files.mkdirs(self._path(f"{self.path}/_commits"))
-        draft, final = self._path(f"{self.path}/_drafts/{uuid.uuid4().hex}.json"), self._path(f"{self.path}/_commits/{entry['version']:08d}.json")
-        out = files.create(draft, True)
-        out.write(bytearray(json.dumps(entry).encode()))
-        out.close()
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.spark._jsc.hadoopConfiguration())
-        nothing = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
-        try:
-            context.rename(files.makeQualified(draft), files.makeQualified(final), nothing)
-        except Exception as error:
-            if files.exists(final):
-                raise CommitConflict(f"version {entry['version']} of {self.path} is taken") from error
-            raise
-
-    def _path(self, path: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
-
-    def _files(self):
-        return self._path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        self._log().commit(entry)
+
+    def _log(self) -> CommitLog:
+        return CommitLog(self.spark, self.path, _COMMIT)
 
     def _hashed(self, seed: int) -> Column:
         return F.xxhash64(F.lit(seed), *[F.col(k).cast(self.schema[k].dataType) for k in self.key])

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from duelbook.sources.store import CommitConflict, KeyedStore
+from duelbook.sources.commits import CommitConflict
+from duelbook.sources.store import KeyedStore
 
 SCHEMA = T.StructType([T.StructField("k", T.LongType()), T.StructField("v", T.StringType()), T.StructField("day", T.DateType())])
 ORDER = ["v"]
