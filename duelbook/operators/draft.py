@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from duelbook.functions.numbers import ratio
 from duelbook.operators.form import arena_win_rate
 from duelbook.operators.history import Measures, asks_of, last_of_day, side_totals, sums_before
-from duelbook.operators.pool import Calendar, pool_on
+from duelbook.operators.pool import Calendar, with_pool
 from duelbook.operators.sides import pair_key, side_rows
 
 PLAYED = ["a_pick", "b_pick", "remaining"]
@@ -50,8 +50,7 @@ def draft_steps(series: DataFrame, arenas: list[int], calendar: Calendar) -> Dat
         F.struct(F.lit(who).alias("side_no"), F.lit(what).alias("action"), F.col(col).alias("arena"))
         for col, who, what in STEPS
     ])
-    pool = pool_on(calendar, F.col("date"), arenas)
-    rows = series.select("match_id", "a", "b", "date", pool.alias("_pool"), F.array(*[s[0] for s in STEPS]).alias("_drafted"),
+    rows = with_pool(series, calendar, arenas).select("match_id", "a", "b", "date", "_pool", F.array(*[s[0] for s in STEPS]).alias("_drafted"),
                          F.posexplode(moves).alias("step", "_move"))
     return rows.select(
         "match_id", "a", "b", "date", "step", F.col("_move.side_no"), F.col("_move.action"), F.col("_move.arena"),
@@ -72,7 +71,7 @@ def draft_rates(
     sides = _drafting(series)
     if n > 0:
         sides = last_of_day(sides, ["side"], n, TIE)
-    spread = sides.withColumn("arena", F.explode(pool_on(calendar, F.col("date"), arenas)))
+    spread = with_pool(sides, calendar, arenas).withColumn("arena", F.explode("_pool")).drop("_pool")
     return rates_of_sums(sums_before(spread, asks, ["side", "arena"], DRAFT_SUMS, n, TIE, is_cut=True))
 
 
@@ -84,7 +83,7 @@ def _drafting(series: DataFrame) -> DataFrame:
 
 def drafting_sides(series: DataFrame, arenas: list[int], calendar: Calendar) -> DataFrame:
     """Side rows of the drafts, one for each arena in the pool on their date."""
-    return _drafting(series).withColumn("arena", F.explode(pool_on(calendar, F.col("date"), arenas)))
+    return with_pool(_drafting(series), calendar, arenas).withColumn("arena", F.explode("_pool")).drop("_pool")
 
 
 def rates_of_sums(state: DataFrame) -> DataFrame:

@@ -391,6 +391,7 @@ def sql() -> dict[str, str]:
     fits = "match_id % 19 <> 4 and match_id % 23 <> 5"
     q["csv_bad_rows"] = f"with {SERIES} select match_id, not ({fits}) bad from series"
     q["names_file"], q["calendar_file"], q["region_files"] = q["named_sides"], q["pool_flags"], q["regional"]
+    q["calendar_index"], q["calendar_draft_rates"] = q["pool_arenas"], q["draft_rates"]
     good = f"(won_a or match_id % 2 = 0) and {COMPLETE}"
     window = f"""stored as (select match_id, date from series where date < date '2000-01-01' and match_id % 3 <> 0 and {good}),
       wanted as (select * from series where date >= (select cast(max(date) - interval 1 day as date) from stored) and match_id not in (select match_id from stored))"""
@@ -445,6 +446,14 @@ def sql() -> dict[str, str]:
     q["gbt_arena_pick"] = f"""with {choices} select match_id, arena, cast(played as int) label, {checked} from choices
       where {held_out(f"{id_text} || '|' || cast(arena as varchar)")}"""
     q["gbt_game_winner"] = f"with {GAMES} select game_id, cast(won_a as int) label, {checked} from games where {held_out(game_text)}"
+    flags = "true accurate, true beats_majority, true repeats, count(*) scored"
+    q["gbt_planted"] = f"""with {GAMES}, {GAME_SIDES}, {game_asks}, {_with_fallback('asked', FORM_SUMS, FORM_FIGURES)},
+      t as ({_diff('games', 'f', 'game_id, a, b, won_a, date, arena', FORM)}), {SERIES}, series_asked as ({_asks('series')}),
+      {_last('s', 'gs', 'series_asked', ['side'], 'game_id', FORM_SUMS, 20)}, sf as materialized (select side, date, {FORM_FIGURES} from s),
+      u as ({_diff('series', 'sf', 'match_id, a, b, date', FORM, arena=False)})
+      select 'game' model, count(*) held_out, count(*) filter (kdr_diff > 0) positives, {flags}, 'kdr_diff' top_feature from t where {held_out(game_text)}
+      union all select 'series', count(*), count(*) filter (a_past > b_past), {flags}, 'past_diff' from series where {held_out(id_text)}
+      union all select 'second_tier', count(*), count(*) filter (round_wr_diff > 0), {flags}, 'round_wr_diff' from u where {held_out(id_text)}"""
     q["gbt_one_arena"] = f"""with {GAMES}, t as (select game_id from games where arena = 3 and {held_out(game_text)})
       select game_id, 3 arena, false no_model, true chance_in_range from t union all select game_id, 9, true, false from t"""
     q["gbt_series_winner"] = f"with {shared} select match_id, cast(won_a as int) label, {checked} from shared where {held_out(id_text)}"

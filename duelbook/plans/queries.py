@@ -617,6 +617,26 @@ def calendar_file(spark, folder):
     return pool.with_pool_flags(fx.series(spark, folder).select("match_id", "date"), calendar, fx.ARENAS)
 
 
+def _calendar_table(spark, label: str) -> DataFrame:
+    path = scratch_path(spark, label)
+    spark.createDataFrame([(f"{until};{','.join(map(str, out))}",) for until, out in fx.CALENDAR], "value string").write.text(path)
+    return dictionaries.read_calendar(spark, path)
+
+
+@query
+def calendar_index(spark, folder):
+    """Contests by arena in the pool, with the calendar joined as a table."""
+    rows = fx.series(spark, folder).select("match_id", "a", "b", "date")
+    return pool.for_each_arena(rows, _calendar_table(spark, "calendar-index"), fx.ARENAS)
+
+
+@query
+def calendar_draft_rates(spark, folder):
+    """Draft rates with the calendar joined as a table."""
+    series = fx.series(spark, folder)
+    return draft.draft_rates(series, history.asks_of(_touched(series), "arena"), fx.ARENAS, _calendar_table(spark, "calendar-rates"))
+
+
 @query
 def region_files(spark, folder):
     """One file for each region, read back with the region from the file name, used to find regional series."""
@@ -753,6 +773,34 @@ def gbt_game_winner(spark, folder):
     return _checked(_fit_and_score(_game_rows(spark, folder), ["game_id"], features.DIFFS, "won_a"), "game_id")
 
 
+def _planted(rows: DataFrame, key: list[str], names: list[str], top: str, model: str) -> DataFrame:
+    """What a model says of a label planted on one feature: a constant or shuffled one fails every flag."""
+    rows = cut(rows.withColumn("planted", F.coalesce(F.nanvl(F.col(top), F.lit(0.0)) > 0, F.lit(False))))
+    train, test = models.split(rows, key)
+    first, second = (models.train(train, names, "planted", maxIter=10) for _ in range(2))
+    told = models.predicted(first, test, names, "planted", *key).join(
+        models.predicted(second, test, names, "planted", *key).select(*key, F.col("chance").alias("again")), key)
+    # every third row loses a feature that is not the planted one; it is scored all the same
+    broken = test.withColumn(names[0], F.when(F.crc32(F.col(key[0]).cast("string").cast("binary")) % 3 == 0, F.lit(float("nan"))).otherwise(F.col(names[0])))
+    scored = models.score(first, broken, names, "chance").agg(F.count("chance").alias("scored"))
+    best = models.importances(first, names, rows).limit(1).select(F.col("feature").alias("top_feature"))
+    hits, n, positives = F.avg((F.col("prediction") == F.col("label")).cast("double")), F.count(F.lit(1)), F.count_if(F.col("label") == 1)
+    figures = told.agg(n.alias("held_out"), positives.alias("positives"), (hits > 0.95).alias("accurate"),
+                       (hits - F.greatest(positives, n - positives) / n > 0.02).alias("beats_majority"), F.bool_and(F.col("chance") == F.col("again")).alias("repeats"))
+    return figures.crossJoin(scored).crossJoin(best).withColumn("model", F.lit(model))  # one row each
+
+
+@query
+def gbt_planted(spark, folder):
+    """Game, series and second-tier models on labels planted on one of their features."""
+    series, games = fx.series(spark, folder), fx.games(spark, folder)
+    timed = sides.with_difference(series, "past").withColumns({"elo_diff": F.col("a_past") * 3.0 - F.col("match_id") % 7, "winshare": F.col("pred")})
+    return tables.append_all(
+        _planted(_game_rows(spark, folder), ["game_id"], features.DIFFS, "kdr_diff", "game"),
+        _planted(timed.select("match_id", *models.SERIES_FEATURES), ["match_id"], models.SERIES_FEATURES, "past_diff", "series"),
+        _planted(features.second_tier_features(series, games), ["match_id"], features.DIFFS, "round_wr_diff", "second_tier"))
+
+
 @query
 def gbt_one_arena(spark, folder):
     """The game-winner model of arena 3, and none for an arena that was never played."""

@@ -61,3 +61,20 @@ def test_zero_history_rows_go(spark):
     rows = spark.createDataFrame([(0.0, 0.0, 0.0, 0.0), (0.0, 0.1, 0.0, 0.0)], "avg_win double, avg_pick double, avg_ban double, avg_play double")
     assert draft.has_history(rows).count() == 1
     assert rows.filter(F.col("avg_pick") > 0).count() == 1
+
+
+def test_a_calendar_table_of_any_length(spark):
+    table = spark.createDataFrame([(D.fromisoformat(u), o) for u, o in CAL] + [(None, [1]), (D(2024, 2, 10), [1, 2])], "until_date date, out_arenas array<int>")
+    days = spark.createDataFrame([(k, D(2024, 1, 1) + dt.timedelta(days=k % 50)) for k in range(120)] + [(-1, None), (-2, D(1971, 1, 1)), (-3, D(2030, 1, 1))], "k int, date date")
+    for name in ("with_pool_flags", "for_each_arena"):
+        call = getattr(pool, name)
+        assert sorted(map(tuple, call(days, table, [1, 2, 6]).collect()), key=str) == sorted(map(tuple, call(days, CAL, [1, 2, 6]).collect()), key=str)
+    assert sorted(r.k for r in pool.uncovered(days, table).collect()) == sorted(r.k for r in pool.uncovered(days, CAL).collect())
+    assert pool.with_pool_flags(days.limit(0), table, [1]).isEmpty()
+    # a hundred thousand entries: one a day, whose arena is the day's number
+    long = spark.range(100_000).select(F.date_add(F.lit("1900-01-02").cast("date"), F.col("id").cast("int")).alias("until_date"), F.array(F.col("id").cast("int")).alias("out_arenas"))
+    asked = spark.createDataFrame([(D(1900, 1, 1),), (D(1950, 6, 1),), (D(2024, 2, 29),), (D(2173, 10, 14),), (D(2173, 10, 15),), (D(1899, 1, 1),)], "date date")
+    got = {r.date: r._out for r in pool.with_out(asked, long).collect()}
+    number = lambda d: (d - D(1900, 1, 1)).days
+    assert got == {d: [max(0, number(d))] if number(d) < 100_000 else None for d in got}
+    assert len(pool.with_out(asked, long)._jdf.queryExecution().optimizedPlan().toString()) < 20_000
