@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from duelbook.plans import fixtures as fx
-from duelbook.plans.models import GRID, grid_points
 
 FORM = ["round_wr", "fk_percent", "acs", "kills", "assists", "deaths", "kdr"]
 _SAME = {t: t for t in fx.TABLES}
@@ -460,8 +459,10 @@ def sql() -> dict[str, str]:
     stated = "true in_range, true bet_as_stated, true outcome_as_stated"
     bet_window = "date between date '2000-06-01' and date '2001-08-01'"
     q["gbt_second_tier"] = f"with {SERIES} select match_id, date, won_a, {stated} from series where {bet_window}"
-    points = ", ".join("('" + str(sorted(p.items())).replace("'", "''") + "')" for p in grid_points(GRID, 2))
-    q["gbt_search"] = f"select point, true accuracy_in_range from (values {points}) z(point)"
+    q["gbt_search"] = f"""with {GAMES}, {GAME_SIDES}, {SERIES}, {series_asks}, {_last('s', 'gs', 'asked', ['side'], 'game_id', FORM_SUMS, 20)},
+      f as materialized (select side, date, {FORM_FIGURES} from s), u as ({_diff('series', 'f', 'match_id', FORM, arena=False)})
+      select trees, count(*) as rows, count(*) filter (round_wr_diff > 0) positives, true accurate from u, (select unnest([100, 200, 300]) trees) z
+      where not {held_out(id_text)} group by trees"""
     q["classification_report"] = f"""with {GAMES} select cast(won_a as int) label, count(*) support, true precision_in_range, true recall_in_range, true f1_in_range
       from games where {held_out(game_text)} group by won_a"""
     q["importances"] = f"select feature, true importance_in_range, cast(1 as double) total from (values {', '.join(f"('{v}_diff')" for v in FORM)}) z(feature)"
