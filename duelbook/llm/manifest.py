@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from duelbook.llm.batches import without
+from duelbook.llm.batches import give_back, without
 from duelbook.session import cut
 
 FAN, DEPTH = 16, 2
@@ -142,7 +142,10 @@ def _down(nodes: DataFrame, above: DataFrame, also: Sequence[str] = ()) -> DataF
         runs = climb(table.column("digest").to_pylist(), table.column("levels")[0].as_py())
         proofs = descend(runs, message.column("proof")[0].as_py())
         told = {c: pa.array([message.column(c)[0].as_py()] * len(table), pa.string()) for c in ("subroot", "root")}
-        return pa.table({"tree": table.column("tree"), "pos": table.column("pos"), "proof": pa.array(proofs, _STEP)} | told | {c: table.column(c) for c in also})
+        out = pa.table({"tree": table.column("tree"), "pos": table.column("pos"), "proof": pa.array(proofs, _STEP)} | told | {c: table.column(c) for c in also})
+        del runs, proofs
+        give_back()
+        return out
 
     rows = nodes.select("tree", "pos", "digest", *[c for c in also if c != "digest"], _levels(F.col("n")).alias("levels"), F.expr(f"pos div {SPAN}").alias("span"))
     messages = above.select(F.col("tree").alias("t"), F.col("pos").alias("s"), "proof", "subroot", "root")
