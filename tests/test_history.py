@@ -127,3 +127,16 @@ def test_first_day_on_an_arena_falls_back_to_any_arena(spark):
         found = {(r.side, r.arena, r.date): r.round_wr for r in form.arena_form(table(spark, rows), n=n).collect()}
         assert found.keys() == {(s, r[3], r[4]) for r in rows for s in r[1:3]}
         assert all(abs(v - plain_form(rows, *k, n)) < 1e-12 for k, v in found.items())
+
+
+def test_both_sides_are_looked_up_by_one_join(spark):
+    from pyspark.sql import functions as F
+
+    from duelbook.operators.history import side_totals
+    contests = spark.createDataFrame([(1, 1, 2, 5), (1, 1, 2, 5), (2, None, 2, 5), (3, 1, 9, 5), (4, 2, 1, None)], "id int, a int, b int, date int")
+    state = spark.createDataFrame([(1, 5, 0.5), (2, 5, 2.0), (None, 5, 7.0), (1, None, 7.0)], "side int, date int, x double")
+    got = side_totals(contests, state, {"x": "x_diff"}, ["id", "a", "b", "date"], weights=(1.0, -1.0))
+    assert sorted((r.id, r.x_diff) for r in got.collect()) == [(1, -1.5), (1, -1.5), (2, -2.0), (3, 0.5), (4, 0.0)]
+    # a second state of the same keys finds the contests where they lie
+    twice = side_totals(got, state.withColumn("y", F.col("x")), {"y": "y_sum"}, got.columns, weights=(1.0, 1.0))
+    assert twice._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
