@@ -11,6 +11,8 @@ from duelbook.operators.history import sums_of_trailing_months
 from duelbook.operators.sides import side_rows
 
 TEAM = 5
+#: Parts of the games of an arena where rates are those of all time.
+PARTS = 64
 
 
 def player_totals(players: DataFrame, agents: list[int]) -> DataFrame:
@@ -77,7 +79,9 @@ def comp_strength(games: DataFrame, months: int | None = 3) -> DataFrame:
     """
     lineup = side_rows(games, keep=["game_id", "arena", "date"]).select("game_id", "side_no", "arena", "date", "own_agents")
     if months is None:
-        rates, place = agent_win_rate(games), ["arena"]
+        # a few arenas have all the games: each arena's rates are handed to every part of its games
+        lineup = lineup.withColumn("_part", F.pmod(F.xxhash64("game_id", "side_no", "date"), F.lit(PARTS)).cast("int"))
+        rates, place = agent_win_rate(games).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))), ["arena", "_part"]
     else:
         place = ["arena", "date"]
         asks = lineup.select(*place, F.explode("own_agents").alias("agent")).distinct()

@@ -78,3 +78,13 @@ def test_a_calendar_table_of_any_length(spark):
     number = lambda d: (d - D(1900, 1, 1)).days
     assert got == {d: [max(0, number(d))] if number(d) < 100_000 else None for d in got}
     assert len(pool.with_out(asked, long)._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+
+
+def test_games_of_an_arena_are_dealt_out_when_rates_are_of_all_time(spark):
+    from duelbook.operators.players import comp_strength
+
+    games = spark.createDataFrame([(f"g{i}", 1, 2, 0, dt.date(2024, 1, 1), i % 2 == 0, [1, 2], [2, 3]) for i in range(40)],
+                                  "game_id string, a int, b int, arena int, date date, won_a boolean, a_agents array<int>, b_agents array<int>")
+    found = comp_strength(games, months=None)
+    assert {(r.side_no, r.comp_wr) for r in found.collect()} == {(1, 0.5), (2, 0.5)} and found.count() == 80
+    assert "_part" in found._jdf.queryExecution().optimizedPlan().toString()
