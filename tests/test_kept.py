@@ -73,3 +73,20 @@ def test_parts_that_are_through_different_days_are_an_error(spark, tmp_path):
                             .withColumn("game_id", F.lit("g")), "2024-01-01")
     with pytest.raises(RuntimeError):
         card.through()
+
+
+def test_the_new_days_are_gone_through_once_for_both_parts_of_games(spark, tmp_path, monkeypatch):
+    figures = ("rds", "fks", "acs5", "kills", "assists", "deaths")
+    rng = random.Random(3)
+    rows = [(f"g{i}", rng.randrange(4), 4 + rng.randrange(3), rng.randrange(2), DAY(rng.randrange(9)), rng.random() < 0.5, *[rng.randrange(1, 20) for _ in range(12)]) for i in range(600)]
+    games = spark.createDataFrame(rows, "game_id string, a int, b int, arena int, date date, won_a boolean, " + ", ".join(f"{s}_{x} int" for x in figures for s in "ab"))
+    series = spark.createDataFrame([], "match_id int, a int, b int, date date, a_ban1 int, a_ban2 int, b_ban1 int, b_ban2 int, a_pick int, b_pick int, remaining int")
+    seen, stored = [], features.stored
+    monkeypatch.setattr(features, "stored", lambda df, label: (seen.append(stored(df, label)), seen[-1])[1])
+    card = features.KeptCard(spark, str(tmp_path), [0, 1], [("2030-01-01", [])], n=5)
+    for day in (4, 8):
+        card.update(series, games, str(DAY(day)))
+    assert len(seen) == 2 and all(s.count() <= 7 * 2 * 5 for s in seen)  # at most n rows of a side and arena
+    upcoming = spark.createDataFrame([(1, a, b, DAY(20)) for a in range(4) for b in range(4, 7)], "match_id int, a int, b int, date date")
+    kept, whole = card.features(upcoming), features.upcoming_features(upcoming, series, games, [0, 1], [("2030-01-01", [])], 5)
+    assert sorted(map(str, kept.select(*whole.columns).collect())) == sorted(map(str, whole.collect()))
