@@ -1,5 +1,6 @@
 import datetime as dt
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -149,3 +150,69 @@ def test_stateful_stream_counts_and_late_rows(spark, tmp_path):
     assert counts == {"late": 4, "repeat": 5}
     # 2 comes again with a new time when its state is gone: the filters find it
     assert len(every) - len({r[0] for r in every}) == counts["repeat"] + 2 + 1
+
+
+class _Handle:
+    """State and timers of one shard, with the number of calls."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, *_):  # noqa: N802 (Spark calls it by this name)
+        return self
+
+    def exists(self):
+        self.calls += 1
+        return self.value is not None
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def clear(self):
+        self.calls, self.value = self.calls + 1, None
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.discard(at)
+
+
+class _Time:
+    def __init__(self, watermark, fired=None):
+        self.getCurrentWatermarkInMs, self.getExpiryTimeInMs = lambda: watermark, lambda: fired
+
+
+def test_state_is_asked_for_once_a_shard(spark):
+    row, handle = Row("id", "v", "_at", "_key"), _Handle()
+    keep = state.KeepFirst(["id", "v"], ["v"], 100)
+    keep.init(handle)
+    opened = keep.handleInputRows((0,), iter([row(i, "x", 1000 + i, f"[{i}]") for i in range(500)]), _Time(0))
+    assert [tuple(r) for r in opened] == [(i, "x", "first", 1) for i in range(500)]
+    assert handle.calls <= 3 and handle.timers == {1100}
+    keep.handleExpiredTimer((0,), _Time(1590, 1100), _Time(1590, 1100))  # keys 0 to 489 end before the watermark
+    handle.timers.discard(1100)
+    assert handle.timers == {1590} and handle.calls <= 6
+    got = keep.handleInputRows((0,), iter([row(3, "x", 1003, "[3]"), row(495, "y", 1495, "[495]"), row(495, "z", 9, "[495]"), row(600, "b", 1600, "[600]"), row(600, "a", 1600, "[600]")]), _Time(1590))
+    assert [tuple(r) for r in got] == [(3, "x", "late", 1), (600, "a", "first", 1), (None, None, "repeat", 2), (None, None, "repeat", 1)]
+    keep.handleExpiredTimer((0,), _Time(9000, 1590), _Time(9000, 1590))
+    assert handle.value is None
+
+
+def test_stateful_stream_keys_of_any_kind(spark, tmp_path):
+    at, stamp = dt.datetime(2024, 1, 9, 1), dt.datetime(2024, 1, 1, 0, 0, 0, 1)
+    schema = T.StructType([T.StructField("a", T.StringType()), T.StructField("d", T.DoubleType()), T.StructField("t", T.TimestampType()),
+                           T.StructField("v", T.LongType()), T.StructField("ts", T.TimestampType())])
+    keys = [("x", 0.0, stamp), ("x", float("nan"), stamp), ("x", 1.0, None), ('x","', 1.0, stamp), ("x", 1.0, stamp + dt.timedelta(microseconds=1)), ("", 1.0, stamp)]
+    again = [("x", -0.0, stamp), *keys[1:]]
+    spark.createDataFrame([(*k, 2**53 + 1, at) for k in keys] + [(*k, 2**53 + 3, at) for k in again], schema).write.parquet(f"{tmp_path}/src")
+    store = KeyedStore(spark, f"{tmp_path}/store", ["a", "d", "t"], schema, buckets=2)
+    state.run_to_store(streaming.landed(spark, f"{tmp_path}/src", schema), store, f"{tmp_path}/check", "ts", ["v"])
+    assert [r.v for r in store.read().collect()] == [2**53 + 1] * len(keys)
+    assert {r.kind: r.rows for r in state.told(store).collect()} == {"repeat": len(keys)}
