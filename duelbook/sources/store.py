@@ -46,6 +46,10 @@ class KeyedStore:
         """The commits in their order."""
         return self._log().entries()
 
+    def holds(self, batch: str) -> bool:
+        """Whether a batch is committed."""
+        return any(c["batch"] == batch for c in self.commits())
+
     def newest(self) -> str | None:
         """The newest date of all commits, without a look at the rows."""
         return max((c["newest"] for c in self.commits() if c["newest"]), default=None)

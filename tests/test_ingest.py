@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 from duelbook.functions import text
 from duelbook.operators import ingest
 from duelbook.operators.sides import first_of_key
+from duelbook.plans import queries
 from duelbook.sources.store import KeyedStore
 from duelbook.streaming import ingest as streaming
 from duelbook.streaming import state
@@ -216,3 +217,40 @@ def test_stateful_stream_keys_of_any_kind(spark, tmp_path):
     state.run_to_store(streaming.landed(spark, f"{tmp_path}/src", schema), store, f"{tmp_path}/check", "ts", ["v"])
     assert [r.v for r in store.read().collect()] == [2**53 + 1] * len(keys)
     assert {r.kind: r.rows for r in state.told(store).collect()} == {"repeat": len(keys)}
+
+
+def test_a_committed_update_is_not_worked_on_again(spark, tmp_path):
+    pages = spark.createDataFrame([("<a href=/5/x>2024/05/02<a href=/121/x-vs-y><a href=/123/x-vs-y>",)], "html string")
+    staged = spark.createDataFrame([page(), page(link="/121/x-vs-y", draft="none")], STAGED)
+    schema = ingest.series_records(staged, NAMES).drop("problem").schema
+    store = KeyedStore(spark, f"{tmp_path}/store", ["match_id"], schema, buckets=2, dated="date")
+    links = ingest.dated_links(pages)
+    assert ingest.run_update(store, "one", links, staged, NAMES, "2024-04-20") and store.holds("one") and not store.holds("two")
+    never = links.withColumn("date", F.raise_error(F.lit("read again")).cast("date"))
+    assert not ingest.run_update(store, "one", never, staged, NAMES, "2024-04-20")
+    assert [r.match_id for r in store.read().collect()] == [123]
+    assert sorted(tuple(r)[::2] for r in store.set_aside(ingest.PROBLEMS).collect()) == [(5, "undated link"), (121, "no draft")]
+
+
+def test_update_reads_each_draft_once(spark, monkeypatch):
+    rows = [page(link=f"/{i}/x-vs-y", stamp=f"{1990 + i}-05-01 12:00:00") for i in range(1, 13)]
+    staged = spark.createDataFrame(rows, STAGED).withColumns({
+        "match_id": text.match_id(F.col("link")), "date": text.stamp_date(F.col("stamp"))})
+    monkeypatch.setattr(queries.fx, "staged", lambda *_: staged)
+    monkeypatch.setattr(queries.fx, "ARENA_NAMES", NAMES)
+    plans = []
+    for name in ("cut", "stored"):
+        def noted(df, *more, real=getattr(queries, name)):
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+            return real(df, *more)
+        monkeypatch.setattr(queries, name, noted)
+    fresh, bad = queries._update(spark, "")
+    assert plans and not [p for plan in plans for p in plan.splitlines() if "Filter" in p and "regexp_extract_all" in p]
+    assert sorted(r.match_id for r in fresh.collect()) == [9, 10, 11, 12] and bad.isEmpty()
+
+
+def test_pages_of_few_bytes_are_read_by_many_tasks(spark):
+    series = spark.range(3000).select(F.col("id").alias("match_id"), F.date_add(F.lit("1999-01-01").cast("date"), (F.col("id") % 900).cast("int")).alias("date"))
+    for pages in (queries._month_pages(series), queries._pages(series.select("date", F.concat(F.lit("/"), F.col("match_id"), F.lit("/x")).alias("link")))):
+        assert pages.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        assert ingest.dated_links(pages).where("date is not null").count() == 3000
