@@ -123,6 +123,31 @@ def test_packing_whole_ids_and_padding(spark):
     assert packing.pack(docs.limit(0), path).count() == 0
 
 
+def test_packing_encodes_a_word_once_whatever_signs_follow(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    exact = Tokenizer.from_file(path)
+    texts = ["left out", "Thebler thebler, thebler&&& thebler,*** THEBLER.###", None, "", " \n", "chßé! chßé?% 48.5. 48.5", "it's it's, 'tis x' <|endoftext|>. Y<|",
+             "c\u0327\u030c. — —. İ. Σ, a\x1cb.\xa0. 中. ×. ÷! É! \ufb01."]
+    sliced = pa.array(texts).slice(1)
+    want = [np.array(exact.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts[1:]]
+    ids = packing.Ids(path)
+    seen = []
+    encode_plain = ids.encode_plain
+    ids.encode_plain = lambda words: seen.extend(words) or encode_plain(words)
+    assert ids.of(sliced) == want and ids.of(sliced) == want
+    assert seen.count(b"thebler") == 1 and seen.count("chßé".encode()) == 1
+    assert not any(p.startswith(b"thebler") for p in ids.known.to_pylist() if p != b"thebler")
+    monkeypatch.setattr(packing, "REMEMBERED", 3)
+    for at in (0, 3, 1, 0):
+        assert ids.of(sliced.slice(at, 2)) == want[at:at + 2]
+        assert len(ids.known) == len(ids.ids) == len(ids.used)
+    odd = pa.array([b"a\xc3. \xa9! \xff.", b"b\xc3\xa9."]).view(pa.string())
+    assert ids.of(odd) == [np.array(exact.encode(b.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes() for b in odd.cast(pa.binary()).to_pylist()]
+
+
 def test_level_choice_is_the_smallest_sum_of_squares():
     rng, levels = random.Random(4), packing.Levels(32)
     for _ in range(400):
