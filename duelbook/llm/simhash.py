@@ -94,7 +94,8 @@ def links(distinct: DataFrame, bits: str = "bits", radius: int = RADIUS, crowd:
     spread = distinct.select(bits).repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), bits)
     entered = spread.select(F.col(bits).alias("x"), F.explode(cells(F.col(bits))).alias("cell"))
     sizes = entered.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    placed = cut(entered.join(sizes, "cell"))
+    # Spark counts rows that are exploded behind a shuffle as the rows before: it would broadcast them, so both joins are to be merges
+    placed = cut(entered.join(sizes.hint("merge"), "cell"))
     left = placed.where(F.col("n") <= crowd).select("cell", "x")
     right = left.withColumnRenamed("x", "y")
     near = F.col("x") < F.col("y")
@@ -105,7 +106,7 @@ def links(distinct: DataFrame, bits: str = "bits", radius: int = RADIUS, crowd:
     fine = placed.where(F.col("n") > crowd).select("x").distinct().select(
         "x", F.explode(F.array(F.col("x"), *[F.col("x").bitwiseXOR(F.lit(_signed(1 << k))) for k in range(64)])).alias("cell"))
     smallest = fine.groupBy("cell").agg(F.min("x").alias("src"))
-    stars = fine.join(smallest, "cell").where("src < x").select("src", F.col("x").alias("dst"))
+    stars = fine.join(smallest.hint("merge"), "cell").where("src < x").select("src", F.col("x").alias("dst"))
     return pairs.union(stars).distinct()
 
 
