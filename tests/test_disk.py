@@ -53,3 +53,8 @@ def test_repeated_contests_are_read_once(spark, folder):
     assert plan.count("l_linenumber#") and sum("Relation" in line and "l_orderkey" in line for line in plan.splitlines()) == 1
     games = fx.games(spark, folder)
     assert found.count() == games.count() + games.where("arena % 3 = 0").count()
+
+
+def test_wide_sums_are_all_asked_for(spark):
+    asked = " ".join(str(c) for c in form.wide_figures().values())
+    assert all(name in asked for name in form.WIDE_SUMS)
