@@ -114,15 +114,15 @@ def has_history(df: DataFrame) -> DataFrame:
 
 def draft_choices(
     series: DataFrame, games: DataFrame, arenas: list[int], calendar: Calendar, carried: list[str], n: int = 20,
-    asks: DataFrame | None = None,
+    asks: DataFrame | None = None, win: DataFrame | None = None,
 ) -> DataFrame:
     """Arenas touched by each draft with both sides' mean rates before the series.
 
-    ``asks`` can be handed in from ``draft_asks`` of a cheaper form of the same series.
+    ``asks`` can be handed in from ``draft_asks`` of a cheaper form of the same series, ``win`` as the games' win rates for them.
     """
     rows = touched_arenas(series, arenas, carried)
     asks = draft_asks(series, arenas) if asks is None else asks
-    win = arena_win_rate(games, asks, n)
+    win = arena_win_rate(games, asks, n) if win is None else win
     return has_history(with_mean_rates(rows, win, draft_rates(series, asks, arenas, calendar, n)))
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from duelbook.operators import form
-from duelbook.plans import features
 from duelbook.plans import fixtures as fx
 from duelbook.session import cut, stored
 
@@ -58,3 +57,18 @@ def test_repeated_contests_are_read_once(spark, folder):
 def test_wide_sums_are_all_asked_for(spark):
     asked = " ".join(str(c) for c in form.wide_figures().values())
     assert all(name in asked for name in form.WIDE_SUMS)
+
+
+def test_draft_features_read_games_once(spark, folder):
+    found = entry.queries()["feature_tables_draft"](spark, folder)
+    assert not any("lineitem" in f for f in found.inputFiles())
+
+
+def test_rates_and_form_are_those_of_each(spark, folder):
+    games, asks = fx.games(spark, folder), form.asks_of(fx.games(spark, folder), "arena")
+    asks = asks.union(asks.withColumn("date", F.date_add("date", 1))).distinct().localCheckpoint()
+    for n in (2, 20, 0):
+        win, state = form.rates_and_form(games, asks, n)
+        order = ["side", "arena", "date"]
+        assert win.orderBy(order).select(*order, "games", "wins", "win_rate").collect() == form.arena_win_rate(games, asks, n).orderBy(order).select(*order, "games", "wins", "win_rate").collect()
+        assert state.orderBy(order).collect() == form.arena_form(games, asks, n).orderBy(order).collect()
