@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from duelbook.operators import form
 from duelbook.plans import fixtures as fx
-from duelbook.session import cut, stored
+from duelbook.plans import models
+from duelbook.session import cut, discard, shared_dir, stored
 
 
 @pytest.fixture(scope="module")
@@ -72,3 +73,21 @@ def test_rates_and_form_are_those_of_each(spark, folder):
         order = ["side", "arena", "date"]
         assert win.orderBy(order).select(*order, "games", "wins", "win_rate").collect() == form.arena_win_rate(games, asks, n).orderBy(order).select(*order, "games", "wins", "win_rate").collect()
         assert state.orderBy(order).collect() == form.arena_form(games, asks, n).orderBy(order).collect()
+
+
+def test_discarded_tables_are_gone(spark):
+    table, plain = stored(spark.range(3).toDF("x"), "test"), spark.range(3)
+    path = table.inputFiles()[0].removeprefix("file://")
+    discard(table, plain)
+    assert not glob.glob(path) and plain.count() == 3
+
+
+@pytest.mark.parametrize("name, label", [("gbt_series_winner", "choices"), ("gbt_planted", "planted"), ("train_backtest", "game-rows"), ("upcoming_card", "choices")])
+def test_learned_tables_are_not_kept(spark, folder, monkeypatch, name, label):
+    """What models were learned from goes before the result is read."""
+    trees = models.classifier
+    monkeypatch.setattr(models, "classifier", lambda names, label="label", **params: trees(names, label, **(params | {"maxIter": 1})))
+    at = f"{shared_dir(spark).removeprefix('file://')}/duelbook"
+    before = set(glob.glob(f"{at}/{label}-*"))
+    entry.queries()[name](spark, folder).collect()
+    assert not set(glob.glob(f"{at}/{label}-*")) - before
