@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from duelbook.operators import form
+from duelbook.operators import draft, form
 from duelbook.plans import fixtures as fx
 from duelbook.plans import models
 from duelbook.session import cut, discard, shared_dir, stored
@@ -91,3 +91,13 @@ def test_learned_tables_are_not_kept(spark, folder, monkeypatch, name, label):
     before = set(glob.glob(f"{at}/{label}-*"))
     entry.queries()[name](spark, folder).collect()
     assert not set(glob.glob(f"{at}/{label}-*")) - before
+
+
+def test_stored_rates_are_not_broadcast(spark, folder):
+    """The rows of both sides are one for each ask, many times what their compressed files say."""
+    games, series = fx.games(spark, folder), fx.series(spark, folder)
+    asks = stored(draft.draft_asks(series, fx.ARENAS), "asks")
+    win, _ = form.rates_and_form(games, asks)
+    plan = draft.with_mean_rates(draft.touched_arenas(series, fx.ARENAS, ["match_id", "a", "b", "date"]), win, draft.draft_rates(series, asks, fx.ARENAS, fx.CALENDAR))
+    joins = [line for line in plan._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in line and "arena" in line and "side" in line]
+    assert joins and not any("Broadcast" in line for line in joins)
